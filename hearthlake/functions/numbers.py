@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from hearthlake import vocab
 
-#: What Python's float() takes, minus names for infinity and NaN; also keeps '12d' from parsing.
+#: One number and nothing else; no names for infinity or NaN, and no '12d'.
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NON_NEGATIVE_SHAPE = r"^[+]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 PLAIN_DECIMAL_SHAPE = r"^(\d+\.?\d*|\.\d+)$"
 
 
@@ -22,36 +23,35 @@ def strip_space(col: Column) -> Column:
 
 
 def to_double(text: Column, shape: str = NUMBER_SHAPE) -> Column:
-    """Strict text-to-double: NULL unless the whole text is one number."""
-    return F.when(text.rlike(shape), text.try_cast("double"))
+    """Strict text-to-double: NULL unless the whole text is one number.
 
+    The text is referred to once, so nested parsers stay small enough for generated code.
+    """
+    return F.regexp_extract(text, shape, 0).try_cast("double")
 
-def _non_negative(value: Column) -> Column:
-    return F.when(value >= 0, value)
 
-
-def parse_price(col: Column | str) -> Column:
-    """Currency text. Dots are thousands marks only when every later part has three characters."""
-    text = F.regexp_replace(strip_space(_as_text(col)), r"R\$| ", "")
-    grouped = text.rlike(r"^[^.]*(\.[^.]{3})+$")
-    plain = (
+def _decimal_mark(text: Column, thousands: str) -> Column:
+    """Comma as decimal mark if there is one, else dots dropped where `thousands` matches."""
+    return (
         F.when(F.contains(text, F.lit(",")), F.translate(text, ",.", "."))
-        .when(grouped, F.translate(text, ".", ""))
+        .when(text.rlike(thousands), F.translate(text, ".", ""))
         .otherwise(text)
     )
-    return F.when(~text.isin(vocab.NULL_TOKENS), _non_negative(to_double(plain)))
+
+
+def parse_price(col: Column | str) -> Column:
+    """Currency text. Dots are thousands marks only when every later part has three characters.
+
+    Tokens that mean "no value" are no numbers and come out NULL like any other word.
+    """
+    text = F.regexp_replace(_as_text(col), r"(?U)^\s+|\s+$|R\$| ", "")
+    return to_double(_decimal_mark(text, r"^[^.]*(\.[^.]{3})+$"), NON_NEGATIVE_SHAPE)
 
 
 def parse_number(col: Column | str) -> Column:
     """Measure text such as '85,5 m²'. The minus sign is lost with the other non-digits."""
-    text = strip_space(_as_text(col))
-    kept = F.regexp_replace(text, r"[^\d,.]", "")
-    plain = (
-        F.when(F.contains(kept, F.lit(",")), F.translate(kept, ",.", "."))
-        .when(kept.rlike(r"\.[^.]{3}$"), F.translate(kept, ".", ""))
-        .otherwise(kept)
-    )
-    return F.when(~text.isin(vocab.NULL_TOKENS), to_double(plain))
+    kept = F.regexp_replace(_as_text(col), r"[^\d,.]", "")
+    return to_double(_decimal_mark(kept, r"\.[^.]{3}$"))
 
 
 def is_numeric(col: Column | str) -> Column:

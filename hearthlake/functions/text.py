@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
@@ -45,7 +45,7 @@ def strip_accents(col: Column | str) -> Column:
 def slug_text(col: Column | str) -> Column:
     """Identifier form: no accents, no punctuation, spaces to '_'."""
     text = strip_space(F.lower(strip_accents(F.coalesce(_col(col).cast("string"), F.lit("")))))
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]", ""), r"(?U)\s+", "_")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+", "_")
 
 
 def slug_name(name: str) -> str:
@@ -108,28 +108,49 @@ def match_gazetteer(
     return case
 
 
-def resolve_place(
-    address: Column | str,
-    given: Column | str | None = None,
+def place_from_folded(
+    address: Column,
+    given: Column | None = None,
     gazetteer: list[str] | None = None,
     longest_match: bool = False,
 ) -> Column:
-    """Given place if it says anything, else gazetteer hit, else first long word of the address."""
-    folded = fold_text(address)
-    first_long_word = F.try_element_at(
-        F.filter(F.split(folded, " "), lambda w: F.length(w) > 3), F.lit(1)
-    )
+    """Place from already folded texts; the gazetteer test refers to the address many times, so
+    callers with a frame at hand should fold into a column first, see `with_place`."""
+    first_long_word = F.nullif(F.regexp_extract(address, r"(?:^| )([^ ]{4,})", 1), F.lit(""))
     candidates = [
-        match_gazetteer(folded, gazetteer, longest_match), first_long_word,
+        match_gazetteer(address, gazetteer, longest_match), first_long_word,
         F.lit(vocab.UNKNOWN_PLACE),
     ]
     if given is not None:
-        named = fold_text(given)
-        informative = (named != "") & ~named.isin(vocab.UNINFORMATIVE_PLACES)
-        candidates.insert(0, F.when(informative, F.replace(named, F.lit(" "), F.lit("_"))))
+        informative = (given != "") & ~given.isin(vocab.UNINFORMATIVE_PLACES)
+        candidates.insert(0, F.when(informative, F.translate(given, " ", "_")))
     return F.coalesce(*candidates)
 
 
+def resolve_place(
+    address: Column | str,
+    given: Column | str | None = None,
+    gazetteer: list[str] | None = None,
+    longest_match: bool = False,
+) -> Column:
+    """Given place if it says anything, else gazetteer hit, else first long word of the address."""
+    folded = None if given is None else fold_text(given)
+    return place_from_folded(fold_text(address), folded, gazetteer, longest_match)
+
+
+def with_place(
+    df: DataFrame, out: str, address: Column | str, given: Column | str | None = None, **options
+) -> DataFrame:
+    """Add the resolved place; each text is folded once."""
+    folds = {"_address": fold_text(address)}
+    if given is not None:
+        folds["_given"] = fold_text(given)
+    place = place_from_folded(
+        F.col("_address"), F.col("_given") if given is not None else None, **options
+    )
+    return df.withColumns(folds).withColumn(out, place).drop(*folds)
+
+
 def place_slug_from_url(url: Column | str, city_slug: str = "pb-joao-pessoa") -> Column:
     pattern = re.escape(city_slug).replace(r"\-", "-") + r"-(.+?)-(?:[\d.,]+m2-)?rs\d+"
     found = F.nullif(F.regexp_extract(F.lower(_col(url)), pattern, 1), F.lit(""))
@@ -246,14 +267,23 @@ def canonical_term(term: Column) -> Column:
     return case.otherwise(term)
 
 
-def canonical_flag(name: Column) -> Column:
-    """Canonical name of a flag from any of its generators."""
-    slug = slug_text(F.regexp_replace(name, "^" + vocab.SCRAPED_FLAG_PREFIX, ""))
+def flag_slug(name: Column) -> Column:
+    return slug_text(F.regexp_replace(name, "^" + vocab.SCRAPED_FLAG_PREFIX, ""))
+
+
+def canonical_slug(slug: Column) -> Column:
+    """Canonical name of a flag slug, exceptions first."""
     return F.when(slug.isin(vocab.SYNONYM_EXCEPTIONS), slug).otherwise(canonical_term(slug))
 
 
+def with_canonical_flag(df: DataFrame, name: str, out: str = "canonical") -> DataFrame:
+    """Add the canonical name of a flag from any of its generators; the slug is computed once."""
+    slugged = df.withColumn("_slug", flag_slug(F.col(name)))
+    return slugged.withColumn(out, canonical_slug(F.col("_slug"))).drop("_slug")
+
+
 def canonical_flag_name(name: str) -> str:
-    """`canonical_flag` for a column name, which only the driver holds."""
+    """`with_canonical_flag` for a column name, which only the driver holds."""
     slug = slug_name(name.removeprefix(vocab.SCRAPED_FLAG_PREFIX))
     if slug in vocab.SYNONYM_EXCEPTIONS:
         return slug
@@ -271,16 +301,16 @@ def category_value(col: Column | str) -> Column:
 # --- prose -------------------------------------------------------------------------------------
 
 def prose_pattern(unit_words: str) -> str:
-    """Count or number word right before one of the unit words."""
-    return r"(\d+|" + "|".join(vocab.NUMBER_WORDS) + r")\s*(?:" + unit_words + r")\b"
+    """Count or number word right before one of the unit words; leading zeros stay outside the group."""
+    return r"0*(\d+|" + "|".join(vocab.NUMBER_WORDS) + r")\s*(?:" + unit_words + r")\b"
 
 
-def number_from_prose(plain: Column, unit_words: str, low: float, high: float) -> Column:
-    """First mention only; out of range is NULL, with no second try."""
-    found = F.regexp_extract(plain, prose_pattern(unit_words), 1)
-    words = F.create_map(*[F.lit(x) for w, n in vocab.NUMBER_WORDS.items() for x in (w, float(n))])
-    value = F.coalesce(F.try_element_at(words, found), found.try_cast("double"))
-    return F.when(value.between(low, high), value)
+def number_from_prose(plain: Column, unit_words: str, low: int, high: int) -> Column:
+    """First mention only; a count outside [low, high] is NULL, with no second try."""
+    counts = {str(n): float(n) for n in range(low, high + 1)}
+    counts |= {w: float(n) for w, n in vocab.NUMBER_WORDS.items() if low <= n <= high}
+    lookup = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    return F.try_element_at(lookup, F.regexp_extract(plain, prose_pattern(unit_words), 1))
 
 
 def field_from_prose(plain: Column, name: str) -> Column:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from hearthlake import vocab
 from hearthlake.functions.text import (
     amenity_only,
-    canonical_flag,
     canonical_flag_name,
     canonical_term,
     comma_tokens,
     scraped_flag_name,
     slug_text,
+    with_canonical_flag,
 )
 
 #: Columns a matrix may have; beyond it the long form is the way to go.
@@ -84,8 +84,8 @@ def top_counts(counts: DataFrame, term: str, count: str, k: int) -> DataFrame:
 
 def canonical_set(*columns: Column | str) -> Column:
     """Array of the distinct canonical amenities in the comma lists."""
-    slugs = F.transform(comma_tokens(*columns), lambda t: canonical_term(slug_text(t)))
-    return F.array_distinct(F.filter(slugs, lambda s: s != ""))
+    slugs = F.transform(comma_tokens(*columns), slug_text)
+    return F.array_distinct(F.transform(F.filter(slugs, lambda s: s != ""), canonical_term))
 
 
 def portal_b_flags(column: Column | str) -> Column:
@@ -139,14 +139,14 @@ def fold_flags(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fold_flags_long(flags: DataFrame, key: str, flag: str = "flag") -> DataFrame:
     """The same OR on (key, flag) rows of set flags: distinct canonical pairs."""
-    return flags.select(key, canonical_flag(F.col(flag)).alias("canonical")).distinct()
+    return with_canonical_flag(flags, flag).select(key, "canonical").distinct()
 
 
 def folded_groups(flags: DataFrame, flag: str = "flag") -> DataFrame:
     """Canonical names fed by more than one source. Sources are flag names, so the sets are small."""
     names = flags.select(flag).distinct()
     return (
-        names.groupBy(canonical_flag(F.col(flag)).alias("canonical"))
+        with_canonical_flag(names, flag).groupBy("canonical")
         .agg(F.count(F.lit(1)).alias("sources"), F.array_join(F.array_sort(F.collect_set(flag)), ",").alias("merged"))
         .where(F.col("sources") > 1)
     )

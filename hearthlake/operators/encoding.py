@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
-from hearthlake.functions.text import category_value, resolve_place
+from hearthlake.functions.text import category_value, with_place
 from hearthlake.operators.amenities import bounded_values, column_shares
 from hearthlake.operators.joins import MAX_BROADCAST_ROWS, skew_join
 
@@ -15,7 +15,7 @@ def fill_place(df: DataFrame, address: str = vocab.ADDRESS, place: str = vocab.P
     """Resolve the place of every listing from its own field or its address."""
     given = F.col(place).cast("string") if place in df.columns else F.lit(None).cast("string")
     source = F.col(address) if address in df.columns else F.lit(None).cast("string")
-    return df.withColumn(place, resolve_place(source, given))
+    return with_place(df, place, source, given)
 
 
 def common_categories(df: DataFrame, column: str, at_least: int) -> DataFrame:

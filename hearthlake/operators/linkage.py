@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthlake import vocab
 from hearthlake.functions.arrays import json_string_array
 from hearthlake.functions.numbers import parse_number, parse_price
-from hearthlake.functions.text import resolve_place
+from hearthlake.functions.text import with_place
 
 LINK_HELPERS = ["preco_norm", "area_norm", "quartos_norm", "bairro_norm", "origem_portal"]
 
@@ -42,13 +42,11 @@ def new_per_source(df: DataFrame, key: str, source: str, order: list[str]) -> Da
 
 def with_link_columns(df: DataFrame, portal: Column, place_column: str | None = None) -> DataFrame:
     """Add the normalised price, area, bedrooms and place plus the portal label."""
-    given = None if place_column is None else F.col(place_column)
-    return df.withColumns({
+    return with_place(df, "bairro_norm", vocab.ADDRESS, place_column).withColumns({
         "origem_portal": portal,
         "preco_norm": parse_price(vocab.PRICE),
         "area_norm": parse_number(vocab.AREA),
         "quartos_norm": parse_number("quartos"),
-        "bairro_norm": resolve_place(vocab.ADDRESS, given),
     })
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthlake import vocab
 from hearthlake.functions import numbers as N
@@ -175,9 +176,7 @@ def deduplicate_portals(
     )
     surrogate = F.concat_ws(":", "_portal_rank", seq)
     keyed = linked.withColumn("unit_key", linkage.unit_key(surrogate=surrogate))
-    flags = filters.boolean_columns(keyed.limit(0)) or [
-        f.name for f in keyed.schema.fields if f.dataType.simpleString() == "boolean"
-    ]
+    flags = [f.name for f in keyed.schema.fields if isinstance(f.dataType, T.BooleanType)]
     units = linkage.merge_units(keyed, "unit_key", ["_portal_rank", seq], flags)
     if vocab.EXTRAS in keyed.columns:
         packed = linkage.pack_extras(linkage.unit_extras(keyed, "unit_key"), "unit_key")
