@@ -16,6 +16,15 @@ def _col(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind_column(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later expressions read many times, computed once per row.
+
+    A plain projection would be copied into every filter that is pushed below it; a one-element
+    explode is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _contains_any(text: Column, words) -> Column:
     hit = F.lit(False)
     for word in words:
@@ -142,13 +151,12 @@ def with_place(
     df: DataFrame, out: str, address: Column | str, given: Column | str | None = None, **options
 ) -> DataFrame:
     """Add the resolved place; each text is folded once."""
-    folds = {"_address": fold_text(address)}
-    if given is not None:
-        folds["_given"] = fold_text(given)
+    own = F.lit("") if given is None else fold_text(given)
+    folded = bind_column(df, "_folded", F.struct(fold_text(address).alias("address"), own.alias("given")))
     place = place_from_folded(
-        F.col("_address"), F.col("_given") if given is not None else None, **options
+        F.col("_folded.address"), None if given is None else F.col("_folded.given"), **options
     )
-    return df.withColumns(folds).withColumn(out, place).drop(*folds)
+    return folded.withColumn(out, place).drop("_folded")
 
 
 def place_slug_from_url(url: Column | str, city_slug: str = "pb-joao-pessoa") -> Column:
@@ -278,7 +286,7 @@ def canonical_slug(slug: Column) -> Column:
 
 def with_canonical_flag(df: DataFrame, name: str, out: str = "canonical") -> DataFrame:
     """Add the canonical name of a flag from any of its generators; the slug is computed once."""
-    slugged = df.withColumn("_slug", flag_slug(F.col(name)))
+    slugged = bind_column(df, "_slug", flag_slug(F.col(name)))
     return slugged.withColumn(out, canonical_slug(F.col("_slug"))).drop("_slug")
 
 

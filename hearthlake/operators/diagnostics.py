@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from hearthlake.operators.ranks import cumulative_counts, exact_medians, exact_percentiles
@@ -86,7 +87,7 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     )
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Normal two-sided p-value of |z|; meant for the one-row test result."""
     return z.map(lambda v: math.erfc(max(v, 0.0) / math.sqrt(2.0)) if pd.notna(v) else None)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import to_double
-from hearthlake.functions.text import field_from_prose, plain_text
+from hearthlake.functions.text import bind_column, field_from_prose, plain_text
 
 PLAIN = "_plain"
 
@@ -25,7 +25,7 @@ def _number(df: DataFrame, name: str) -> Column:
 
 def _with_plain(df: DataFrame, text: str) -> DataFrame:
     """Normalise the text once; every field pattern reads the result."""
-    return df.withColumn(PLAIN, plain_text(text))
+    return bind_column(df, PLAIN, plain_text(text))
 
 
 def _found(name: str) -> Column:

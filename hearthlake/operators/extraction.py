@@ -112,13 +112,13 @@ def aligned_items(response: Column, size: Column) -> Column:
         F.try_variant_get(F.try_parse_json(response), "$.resultados", "array<variant>"),
         F.array().cast("array<variant>"),
     )
-    placed = F.transform(results, lambda x, i: F.struct(
-        F.when(
-            _kind(_field(x, "id_lote")).isin("BIGINT", "INT")
-            & F.try_variant_get(x, "$.id_lote", "bigint").between(0, size - 1),
-            F.try_variant_get(x, "$.id_lote", "bigint"),
-        ).otherwise(i.cast("bigint")).alias("item_no"),
-        x.alias("item"),
+    def own_number(x: Column) -> Column:
+        whole = _kind(_field(x, "id_lote")).isin("BIGINT", "INT")
+        number = F.try_variant_get(x, "$.id_lote", "bigint")
+        return F.when(whole & number.between(0, size - 1), number)
+
+    placed = F.transform(results, lambda x, i: F.named_struct(
+        F.lit("item_no"), F.coalesce(own_number(x), i.cast("bigint")), F.lit("item"), x
     ))
     return F.filter(placed, lambda p: p["item_no"] < size)
 

@@ -119,19 +119,19 @@ def listing_attributes(source: Column) -> Column:
     cells = F.filter(
         F.transform(
             F.slice(items, 2, 100_000),
-            lambda i: F.struct(
-                F.regexp_extract(i, r"""(?is)<p\b[^>]*aria-label\s*=\s*["']([^"']*)["']""", 1).alias("label"),
-                inner_text(F.regexp_extract(i, r"(?is)<p\b(?=[^>]*aria-label)[^>]*>(.*?)</p\s*>", 1)).alias("value"),
-                i.rlike(r"""(?is)^[^>]*role\s*=\s*["']listitem["']""").alias("listed"),
+            lambda i: F.named_struct(
+                F.lit("label"), F.regexp_extract(i, r"""(?is)<p\b[^>]*aria-label\s*=\s*["']([^"']*)["']""", 1),
+                F.lit("value"), inner_text(F.regexp_extract(i, r"(?is)<p\b(?=[^>]*aria-label)[^>]*>(.*?)</p\s*>", 1)),
+                F.lit("listed"), i.rlike(r"""(?is)^[^>]*role\s*=\s*["']listitem["']"""),
             ),
         ),
         lambda c: (c["label"] != "") & c["listed"],
     )
     entries = F.transform(
         cells,
-        lambda c: F.struct(
-            label_key(unescape(c["label"])).alias("key"),
-            clean_label_value(c["value"], F.lower(unescape(c["label"]))).alias("value"),
+        lambda c: F.named_struct(
+            F.lit("key"), label_key(unescape(c["label"])),
+            F.lit("value"), clean_label_value(c["value"], F.lower(unescape(c["label"]))),
         ),
     )
     return _last_wins(entries)
@@ -159,14 +159,15 @@ def listing_sections(source: Column, key_prefix: str = "comodidades_") -> Column
     lists = F.regexp_extract_all(block, F.lit(r"(?is)<span\b[^>]*>\s*<b\b[^>]*>.*?</b\s*>.*?<ul\b[^>]*>(.*?)</ul\s*>"), 1)
     entries = F.zip_with(
         heads, lists,
-        lambda h, l: F.struct(
-            F.concat(F.lit(key_prefix), F.translate(F.lower(inner_text(h)), " á", "_a")).alias("key"),
-            F.array_join(
+        lambda h, l: F.named_struct(
+            F.lit("key"), F.concat(F.lit(key_prefix), F.translate(F.lower(inner_text(h)), " á", "_a")),
+            F.lit("value"), F.array_join(
                 F.transform(
-                    F.regexp_extract_all(l, F.lit(r"(?is)<li\b[^>]*>(.*?)(?:</li\s*>|(?=<li\b)|$)"), 1), inner_text
+                    F.regexp_extract_all(l, F.lit(r"(?is)<li\b[^>]*>(.*?)(?:</li\s*>|(?=<li\b)|$)"), 1),
+                    lambda i: inner_text(i),
                 ),
                 ", ",
-            ).alias("value"),
+            ),
         ),
     )
     return _last_wins(F.filter(entries, lambda e: e["value"] != ""))
@@ -210,7 +211,7 @@ def legacy_fields(df: DataFrame, html: str = "html") -> DataFrame:
     block = first_element(source, "ul", class_has("listContent"))
     labels = F.regexp_extract_all(block, F.lit(r"(?is)<small\b[^>]*>(.*?)</small\s*>"), 1)
     values = F.regexp_extract_all(block, F.lit(r"(?is)<b\b[^>]*>(.*?)</b\s*>"), 1)
-    pairs = F.zip_with(labels, values, lambda l, v: F.struct(inner_text(l).alias("key"), inner_text(v).alias("value")))
+    pairs = F.zip_with(labels, values, lambda l, v: F.named_struct(F.lit("key"), inner_text(l), F.lit("value"), inner_text(v)))
     return df.withColumn("_s", visible_source(html)).select(
         *[c for c in df.columns if c != html],
         F.coalesce(image, F.lit("Imagem não encontrada")).alias("imagem"),
