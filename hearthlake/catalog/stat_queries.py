@@ -88,13 +88,20 @@ def select_features(spark, sf_dir):
     return pipelines.select_features(matrix).selected
 
 
-@query("pruning_decisions", f"""{WITH_UNITS}, {PRICED}, pairs AS ({_matrix_sql('spearman', NUMERIC, 'priced')}),
-  s AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS f, abs(round({_spearman_sql(f, 'preco_venda', 'priced')}, 6)) AS forca" for f in NUMERIC) + """)
-  SELECT CASE WHEN a.forca < b.forca THEN feature_b ELSE feature_a END AS mantida,
-    CASE WHEN a.forca < b.forca THEN feature_a ELSE feature_b END AS descartada, abs(r) AS correlacao_entre_elas,
-    greatest(a.forca, b.forca) AS forca_mantida, least(a.forca, b.forca) AS forca_descartada
-  FROM pairs JOIN s a ON a.f = feature_a JOIN s b ON b.f = feature_b WHERE abs(r) >= 0.85
-  QUALIFY row_number() OVER (PARTITION BY least(feature_a, feature_b) ORDER BY abs(r) DESC) = 1""")
+STRENGTHS = " UNION ALL ".join(
+    f"SELECT '{f}' AS f, {i} AS pos, abs({_spearman_sql(f, 'preco_venda', 'priced')}) AS forca" for i, f in enumerate(NUMERIC)
+)
+
+
+@query("pruning_decisions", f"""WITH RECURSIVE {UNITS_CTE}, {PRICED}, pairs AS ({_matrix_sql('spearman', NUMERIC, 'priced')}), s AS ({STRENGTHS}),
+  ordered AS (SELECT CASE WHEN a.forca < b.forca THEN feature_b ELSE feature_a END AS keep, CASE WHEN a.forca < b.forca THEN feature_a ELSE feature_b END AS lose,
+      abs(r) AS c, greatest(a.forca, b.forca) AS fk, least(a.forca, b.forca) AS fl, row_number() OVER (ORDER BY abs(r) DESC, a.pos, b.pos) AS i
+    FROM pairs JOIN s a ON a.f = feature_a JOIN s b ON b.f = feature_b WHERE abs(r) >= 0.85),
+  walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone, false AS hit UNION ALL
+    SELECT o.i, CASE WHEN list_contains(gone, keep) OR list_contains(gone, lose) THEN gone ELSE list_append(gone, lose) END,
+      NOT (list_contains(gone, keep) OR list_contains(gone, lose)) FROM walk w JOIN ordered o ON o.i = w.i + 1)
+  SELECT keep AS mantida, lose AS descartada, c AS correlacao_entre_elas, round(fk, 6) AS forca_mantida, round(fl, 6) AS forca_descartada
+  FROM walk JOIN ordered USING (i) WHERE hit""")
 def pruning_decisions(spark, sf_dir):
     df, targets = correlation.with_targets(units(spark, sf_dir))
     pairs = correlation.spearman_pairs(df, correlation.all_pairs(NUMERIC))
