@@ -17,6 +17,7 @@ from hearthlake import vocab
 from hearthlake.functions.numbers import log_price, price_per_area
 from hearthlake.operators.joins import skew_join
 from hearthlake.operators.ranks import cumulative_counts
+from hearthlake.session import cut_lineage
 
 #: Variance below this share of the second moment is rounding noise of a constant.
 FLAT = 1e-12
@@ -141,7 +142,11 @@ def _rank_times_flags(df: DataFrame, numbers: list[str], flags: list[str]) -> Da
 
 
 def _rank_times_rank(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Spearman of number pairs, ranks taken over the rows where both are present."""
+    """Spearman of number pairs, ranks taken over the rows where both are present.
+
+    Rows are first reduced to counts per (pair, value, value), written once. Both sides are ranked in one table
+    and looked up in one join; a value that meets very many partners is split over tasks.
+    """
     rows = F.explode(F.array(*[
         F.struct(
             F.lit(i).alias("pair"),
@@ -155,36 +160,36 @@ def _rank_times_rank(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         .where(F.col("va").isNotNull() & F.col("vb").isNotNull())
         .groupBy("pair", "va", "vb").agg(F.count(F.lit(1)).alias("cnt"))
     )
+    joint = cut_lineage(joint)
     sides = F.explode(F.array(
         F.struct(F.lit("a").alias("side"), F.col("va").alias("v")),
         F.struct(F.lit("b").alias("side"), F.col("vb").alias("v")),
     ))
-    margins = (
-        joint.select("pair", "cnt", sides.alias("_s")).select("pair", "cnt", "_s.*")
-        .groupBy("pair", "side", "v").agg(F.sum("cnt").alias("cnt"))
-    )
+    cells = joint.select("pair", "va", "vb", "cnt", sides.alias("_s")).select("pair", "va", "vb", "cnt", "_s.*")
+    margins = cells.groupBy("pair", "side", "v").agg(F.sum("cnt").alias("cnt"))
     ranked = cumulative_counts(margins, ["pair", "side"], "v")
     centred = F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0
-    ranks = ranked.select("pair", "side", "v", "cnt", "n", centred.alias("rc"))
-    spread = ranks.groupBy("pair").agg(
-        F.max("n").alias("n"),
-        F.sum(F.when(F.col("side") == "a", F.col("cnt") * F.col("rc") * F.col("rc"))).alias("saa"),
-        F.sum(F.when(F.col("side") == "b", F.col("cnt") * F.col("rc") * F.col("rc"))).alias("sbb"),
+    ranks = ranked.select("pair", "side", "v", "n", centred.alias("rc"))
+    keys = ["pair", "side", "v"]
+    looked_up = skew_join(
+        cells, ranks, keys, "inner", spread_by=["va", "vb"],
+        key_counts=margins.select(*keys, F.col("cnt").alias("_rows")),
     )
-    rank_a = ranks.where("side = 'a'").select("pair", F.col("v").alias("va"), F.col("rc").alias("ra"))
-    rank_b = ranks.where("side = 'b'").select("pair", F.col("v").alias("vb"), F.col("rc").alias("rb"))
-    # A popular vb meets many va: split it, sum it away, and only then look up va, one row each.
-    with_b = skew_join(joint, rank_b, ["pair", "vb"], "inner", spread_by=["va"])
-    per_a = with_b.groupBy("pair", "va").agg(F.sum(F.col("cnt") * F.col("rb")).alias("srb"))
-    cross = per_a.join(rank_a, ["pair", "va"]).groupBy("pair").agg(
-        F.sum(F.col("ra") * F.col("srb")).alias("sab")
+    both = looked_up.groupBy("pair", "va", "vb").agg(
+        F.max("n").alias("n"), F.max("cnt").alias("cnt"),
+        F.max(F.when(F.col("side") == "a", F.col("rc"))).alias("ra"),
+        F.max(F.when(F.col("side") == "b", F.col("rc"))).alias("rb"),
+    )
+    sums = both.groupBy("pair").agg(
+        F.max("n").alias("n"),
+        *[F.sum(F.col("cnt") * F.col(x) * F.col(y)).alias(name)
+          for name, x, y in (("saa", "ra", "ra"), ("sbb", "rb", "rb"), ("sab", "ra", "rb"))],
     )
     names = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string"
     )
-    return (
-        F.broadcast(names).join(spread, "pair").join(cross, "pair")
-        .select("feature_a", "feature_b", "n", _ratio(F.col("sab"), F.col("saa"), F.col("sbb")).alias("r"))
+    return sums.join(F.broadcast(names), "pair").select(
+        "feature_a", "feature_b", "n", _ratio(F.col("sab"), F.col("saa"), F.col("sbb")).alias("r")
     )
 
 
@@ -244,12 +249,20 @@ def with_targets(df: DataFrame, price: str = vocab.PRICE, area: str = vocab.AREA
 
 
 def rank_features(
-    df: DataFrame, features: list[str], targets: list[str], strength_target: str = vocab.PRICE
+    df: DataFrame, features: list[str], targets: list[str], strength_target: str = vocab.PRICE,
+    same_order: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Coverage, mean, Pearson and Spearman against each target, and strength = |Spearman|."""
+    """Coverage, mean, Pearson and Spearman against each target, and strength = |Spearman|.
+
+    `same_order` maps a target to another one it is a rising function of, as log price is of price;
+    their ranks agree, so only one is ranked.
+    """
     pairs = [(f, t) for f in features for t in targets]
+    same_order = {"log_preco": strength_target} if same_order is None else same_order
+    twin = {t: same_order.get(t, t) if same_order.get(t) in targets else t for t in targets}
+    ranked = [(f, t) for f in features for t in targets if twin[t] == t]
     links = pearson_pairs(df, pairs).withColumn("kind", F.lit("pearson")).unionByName(
-        spearman_pairs(df, pairs).withColumn("kind", F.lit("spearman"))
+        spearman_pairs(df, ranked).withColumn("kind", F.lit("spearman"))
     )
     stats = df.agg(*[
         F.struct(
@@ -259,8 +272,8 @@ def rank_features(
         for c in features
     ]).unpivot([], [F.col(f"`{c}`") for c in features], "feature", "m").select("feature", "m.*")
     cells = [
-        F.max(F.when((F.col("kind") == kind) & (F.col("feature_b") == t), F.col("r"))).alias(f"{kind}_{t}")
-        for t in targets for kind in ("pearson", "spearman")
+        F.max(F.when((F.col("kind") == kind) & (F.col("feature_b") == source), F.col("r"))).alias(f"{kind}_{t}")
+        for t in targets for kind, source in (("pearson", t), ("spearman", twin[t]))
     ]
     wide = links.groupBy(F.col("feature_a").alias("feature")).agg(*cells)
     return stats.join(wide, "feature").withColumn("forca", F.abs(F.col(f"spearman_{strength_target}")))

@@ -20,19 +20,22 @@ def skew_join(
     how: str = "left",
     spread_by: list[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    key_counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner or left equi-join whose hot left keys are spread over several tasks.
 
     Keys are counted with map-side combine. Up to MAX_SPLIT_KEYS keys above `rows_per_task` get a
     salt computed from `spread_by` on the left, and their right rows are repeated once per salt.
-    NULL keys match nothing and are spread as well.
+    NULL keys match nothing and are spread as well. `key_counts` hands in (on..., _rows) where
+    the caller has counted the keys already.
     """
     if how not in ("inner", "left"):
         raise ValueError("skew_join handles inner and left joins")
     spread = spread_by or [c for c in left.columns if c not in on]
+    if key_counts is None:
+        key_counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     hot = F.broadcast(
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_task)
+        key_counts.where(F.col("_rows") > rows_per_task)
         .where(F.concat(*[F.col(c).cast("string") for c in on]).isNotNull())
         .orderBy(F.desc("_rows"), *on).limit(MAX_SPLIT_KEYS)
         .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("bigint").alias("_salts"))

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
-from hearthlake.functions.text import strip_space
+from hearthlake.functions.text import bind_column, strip_space
 from hearthlake.operators.filters import price_area_guard
-from hearthlake.operators.ranks import exact_medians
+from hearthlake.operators.ranks import exact_medians, hash_shard
 
 
 def median_price_per_area(df: DataFrame, place: str, price: str, area: str) -> DataFrame:
     """Rows (name, median): guarded price per area by place, exact, before any rounding."""
+    cells = F.struct(F.col(place).alias("name"), F.col(price).alias("price"), F.col(area).alias("area"))
+    bound = bind_column(df.select(place, price, area), "_m", cells).select("_m.*")
     rate = (
-        df.where(price_area_guard(F.col(price), F.col(area)) & F.col(place).isNotNull())
-        .select(F.col(place).alias("name"), (F.col(price) / F.col(area)).alias("_rate"))
+        bound.where(price_area_guard(F.col("price"), F.col("area")) & F.col("name").isNotNull())
+        .select("name", (F.col("price") / F.col("area")).alias("_rate"))
     )
     return exact_medians(rate, ["name"], "_rate").select("name", "n", "median")
 
@@ -74,8 +76,6 @@ def property_totals(properties: DataFrame) -> DataFrame:
 
 def run_plan(links: DataFrame, seen: DataFrame, key: str, shards: int = 1, shard: int = 0) -> DataFrame:
     """One row: links in scope, already seen, pending overall and for this worker (by key hash)."""
-    from hearthlake.operators.ranks import hash_shard
-
     marks = seen.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_seen", F.lit(True))
     flagged = links.select(key).distinct().join(marks, key, "left")
     todo = F.col("_seen").isNull()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -292,15 +291,15 @@ def select_features(matrix: DataFrame) -> Selection:
 
 # --- Models ------------------------------------------------------------------------------------
 
-def model_stages(name: str, numeric: list[str], flags: list[str], boosting_params: dict | None = None) -> list:
-    prepare = Preparation(numeric=numeric, flags=flags)
-    regressors = {
+def regressors(models: list[str], boosting_params: dict | None = None) -> dict:
+    """The named regressors in their default or tuned settings."""
+    make = {
         "baseline_mediana": lambda: MedianBaseline(),
         "ridge": lambda: Ridge(alpha=1.0),
         "gradient_boosting": lambda: boosting(**(boosting_params or vocab.BOOSTING_DEFAULT)),
         "gradient_boosting_ajustado": lambda: boosting(**(boosting_params or vocab.BOOSTING_TUNED)),
     }
-    return [prepare, regressors[name]()]
+    return {name: make[name]() for name in models}
 
 
 def train_models(
@@ -312,18 +311,25 @@ def train_models(
     require_no_leak(frame, "group_key")
     train, test = frame.where(~F.col("is_test")), frame.where("is_test")
     numeric, flags = column_roles(features)
-    out = None
-    for name in models:
-        scores = cross_validate(train, lambda: model_stages(name, numeric, flags, boosting_params), folds)
-        fitted = Pipeline(stages=model_stages(name, numeric, flags, boosting_params)).fit(train)
-        mean = sum(scores) / len(scores)
-        spread = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-        row = regression_metrics(fitted.transform(test)).select(
-            F.lit(name).alias("modelo"), F.lit(mean).alias("cv_mae_log_media"),
-            F.lit(spread).alias("cv_mae_log_desvio"), "*",
+    prepare = Preparation(numeric=numeric, flags=flags)
+    chosen = regressors(models, boosting_params)
+    scores = cross_validate(train, prepare, chosen, folds)
+    prepared = prepare.fit(train)
+    vectors, held = prepared.transform(train), prepared.transform(test)
+    out, summary = None, []
+    for name, regressor in chosen.items():
+        predicted = regressor.fit(vectors).transform(held).select(
+            F.lit(name).alias("modelo"), "label", "prediction"
         )
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy("cv_mae_log_media")
+        out = predicted if out is None else out.unionByName(predicted)
+        mean = sum(scores[name]) / len(scores[name])
+        spread = (sum((s - mean) ** 2 for s in scores[name]) / len(scores[name])) ** 0.5
+        summary.append((name, mean, spread))
+    cv = matrix.sparkSession.createDataFrame(
+        summary, "modelo string, cv_mae_log_media double, cv_mae_log_desvio double"
+    )
+    metrics = regression_metrics(out, by=["modelo"])
+    return F.broadcast(cv).join(metrics, "modelo").orderBy("cv_mae_log_media")
 
 
 def tune_models(

@@ -184,20 +184,19 @@ def description(source: Column) -> Column:
 
 def listing_fields(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One raw listing per page: fixed fields plus a MAP of everything the page labels."""
-    source = visible_source(html)
-    return df.select(F.col(url).alias(vocab.URL), source.alias("_s")).select(
+    cleaned = df.select(F.col(url).alias(vocab.URL), visible_source(html).alias("_s"))
+    source = F.col("_s")
+    parts = cleaned.select(
+        "*", listing_attributes(source).alias("_cells"), listing_sections(source).alias("_sections")
+    )
+    only_sections = F.map_filter("_sections", lambda k, _: ~F.map_contains_key("_cells", k))
+    return parts.select(
         vocab.URL,
-        listing_title(F.col("_s")).alias(vocab.TITLE),
-        listing_price(F.col("_s")).alias(vocab.PRICE),
-        listing_address(F.col("_s")).alias(vocab.ADDRESS),
-        F.map_concat(
-            listing_attributes(F.col("_s")),
-            F.map_filter(
-                listing_sections(F.col("_s")),
-                lambda k, _: ~F.map_contains_key(listing_attributes(F.col("_s")), k),
-            ),
-        ).alias("attrs"),
-        description(F.col("_s")).alias(vocab.DESCRIPTION),
+        listing_title(source).alias(vocab.TITLE),
+        listing_price(source).alias(vocab.PRICE),
+        listing_address(source).alias(vocab.ADDRESS),
+        F.map_concat("_cells", only_sections).alias("attrs"),
+        description(source).alias(vocab.DESCRIPTION),
     )
 
 
