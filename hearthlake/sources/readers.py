@@ -58,7 +58,10 @@ def read_listings(
         .option("columnNameOfCorruptRecord", "_bad")
         .json(paths)
     )
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    # Spark refuses a scan of the corrupt-record column alone, as a bare count would be.
+    first = F.col(schema.fields[0].name).cast("string")
+    parsed = F.length(F.coalesce(first, F.lit(""))) >= 0
+    return rows.where(F.col("_bad").isNull() & parsed).drop("_bad")
 
 
 def read_parts(
