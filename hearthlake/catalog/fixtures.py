@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthlake.session import spread_small_scan
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process: parsed, matched or turned into vectors."""
+    return spread_small_scan(table(spark, sf_dir, name))
+
+
 def dots(x: str, spark: bool) -> str:
     """Whole number with dots between thousands."""
     grouped = f"format_number({x}, 0)" if spark else f"format('{{:,}}', {x})"
@@ -97,12 +104,13 @@ FROM {lineitem}"""
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "nation")}
+    frames = {n: table(spark, sf_dir, n) for n in ("customer", "nation")}
+    frames["orders"] = spread_table(spark, sf_dir, "orders")
     return spark.sql(listings_sql(True, "{orders}", "{customer}", "{nation}"), **frames)
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(units_sql("{lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.sql(units_sql("{lineitem}"), lineitem=spread_table(spark, sf_dir, "lineitem"))
 
 
 NUMERIC = ["area_util", "area_total", "quartos", "suites", "banheiros", "garagens", "condominio", "iptu"]

@@ -15,7 +15,7 @@ from hearthlake.catalog.link_queries import _signature_sql
 from hearthlake.catalog.registry import query
 from hearthlake.models import estimators, preparation, scoring, search, splitting
 from hearthlake.plans import pipelines
-from hearthlake.session import ensure_checkpoint_dir
+from hearthlake.session import cut_lineage, ensure_checkpoint_dir
 from hearthlake.streaming import incremental
 
 WITH_UNITS = D.with_ctes(UNITS_CTE)
@@ -152,7 +152,9 @@ def _frame(spark, sf_dir):
     matrix = units(spark, sf_dir).select("url_anuncio", "preco_venda", *NUMERIC, *FLAGS)
     frame, features = preparation.modelling_frame(matrix)
     numeric, flags = preparation.column_roles(features)
-    return frame, numeric, flags
+    # Fitting passes over the rows several times: build them once.
+    kept = frame.select(*features, "label", "group_key", "is_test", "fold")
+    return cut_lineage(kept), numeric, flags
 
 
 PREP_SQL = f"""{WITH_UNITS}, m AS (SELECT quantile_cont(condominio, 0.5) AS md FROM units),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.catalog import duck as D
-from hearthlake.catalog.fixtures import LISTINGS_CTE, listings, table
+from hearthlake.catalog.fixtures import LISTINGS_CTE, listings, spread_table, table
 from hearthlake.catalog.registry import query
 from hearthlake.operators import extraction, filters
 from hearthlake.operators.amenities import portal_b_flags
@@ -53,7 +53,7 @@ def sitemap_shards(spark, sf_dir):
    SELECT url, false, false, false FROM pages""")
 def link_scope_filter(spark, sf_dir):
     links = markup.sitemap_links(sitemaps(spark, sf_dir), "xml").distinct()
-    urls = links.unionByName(table(spark, sf_dir, "pages").select("url"))
+    urls = links.unionByName(spread_table(spark, sf_dir, "pages").select("url"))
     return urls.select("url", *[
         filters.link_in_scope("url", "nation-1", "apartamento", d).alias(d) for d in ("venda", "aluguel", "ambos")
     ])
@@ -81,14 +81,14 @@ def _decoded(x: str) -> str:
 
 @query("html_links", f"""SELECT page_id, href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all({VISIBLE}, '<a\\b[^>]*?\\bhref="([^"]*)"', 1)) AS href FROM pages)""")
 def html_links(spark, sf_dir):
-    return markup.page_links(table(spark, sf_dir, "pages"), "page_id")
+    return markup.page_links(spread_table(spark, sf_dir, "pages"), "page_id")
 
 
 @query("html_fields", f"""SELECT page_id, {D.strip(_decoded(r"regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)"))} AS titulo,
   {D.strip(_decoded(r"regexp_extract(html, '(?is)<footer>(.*?)</footer>', 1)"))} AS footer,
   {D.strip(_decoded(r"regexp_extract(html, '(?is)<div class=.ad.>(.*?)</div>', 1)"))} AS notice FROM pages""")
 def html_fields(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("s", markup.visible_source("html"))
+    pages = spread_table(spark, sf_dir, "pages").withColumn("s", markup.visible_source("html"))
     return pages.select(
         "page_id", markup.listing_title(F.col("s")).alias("titulo"),
         markup.inner_text(markup.first_element(F.col("s"), "footer")).alias("footer"),
@@ -98,7 +98,7 @@ def html_fields(spark, sf_dir):
 
 # A listing page around each part, in the markup the listing extractor reads.
 def listing_pages(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = spread_table(spark, sf_dir, "part")
     size, price = F.col("p_size").cast("string"), F.floor("p_retailprice").cast("bigint").cast("string")
     html = F.concat(
         F.lit("<html><!-- <h1>old</h1> --><body><h1> "), F.col("p_name"), F.lit(" &amp; co </h1><b>Venda<span class='x clampA'>R$ "),
@@ -126,7 +126,7 @@ def listing_page_fields(spark, sf_dir):
 
 @query("description_text", f"""SELECT page_id, '{vocab.NO_DESCRIPTION}' AS described, {D.strip(_decoded(r"regexp_extract(html, '(?is)<footer>(.*?)</footer>', 1)"))} AS block FROM pages""")
 def description_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("s", markup.visible_source("html"))
+    pages = spread_table(spark, sf_dir, "pages").withColumn("s", markup.visible_source("html"))
     return pages.select(
         "page_id", markup.description(F.col("s")).alias("described"),
         markup.inner_text(markup.first_element(F.col("s"), "footer"), "\n").alias("block"),
@@ -135,7 +135,7 @@ def description_text(spark, sf_dir):
 
 @query("legacy_page_fields", """SELECT p_partkey, 'img' || p_partkey || '.png' AS imagem, p_name AS titulo, p_size::VARCHAR AS area, p_type AS comum FROM part""")
 def legacy_page_fields(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = spread_table(spark, sf_dir, "part")
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     html = F.concat(
         F.lit("<picture><img src='a.png'></picture><picture id='ssrImage'><img alt='' src='img"), key,
@@ -176,7 +176,7 @@ def _item():
   CASE WHEN event_type = 'view' THEN 'vista mar' ELSE '' END AS extras, event_type = 'view' AS piscina,
   event_type IN ('click', 'error') AS festas, event_type NOT IN ('view', 'click', 'error', 'signup') AS k FROM events""")
 def sanitize_response(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(_item()).alias("item"))
+    df = spread_table(spark, sf_dir, "events").select("event_id", F.try_parse_json(_item()).alias("item"))
     record = df.select("event_id", extraction.sanitize(F.col("item"), TERMS).alias("r"))
     return record.select(
         "event_id", "r.posicao_solar", "r.distancia_praia_m", "r.status_construcao", "r.tipo_unidade",
@@ -212,7 +212,7 @@ def batch_warnings(spark, sf_dir):
 @query("term_ranking", """SELECT lower(trim(t)) AS term, count(*) AS cnt FROM (SELECT unnest(string_split(p_name || ' ' || p_type, ' ')) AS t FROM part)
   WHERE len(trim(t)) > 2 GROUP BY 1""")
 def term_ranking(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("term"))
+    words = spread_table(spark, sf_dir, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("term"))
     return extraction.term_ranking(words)
 
 
@@ -226,14 +226,14 @@ def vocabulary_terms(spark, sf_dir):
 @query("response_terms", """SELECT lower(trim(t)) AS term, count(*) AS cnt FROM (SELECT unnest([p_brand, p_name]) AS t FROM part) GROUP BY 1""")
 def response_terms(spark, sf_dir):
     found = F.to_json(F.struct(F.array(F.struct(F.array("p_brand", F.concat(F.lit(" "), "p_name")).alias("atributos_encontrados"))).alias("resultados")))
-    return extraction.term_ranking(extraction.response_terms(table(spark, sf_dir, "part").select(found.alias("r")), "r"))
+    return extraction.term_ranking(extraction.response_terms(spread_table(spark, sf_dir, "part").select(found.alias("r")), "r"))
 
 
 @query("discover_terms", f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({D.plain('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t
     FROM documents WHERE len({D.strip('text')}) >= 10)
   SELECT term, count(*) AS cnt FROM (SELECT DISTINCT doc_id, unnest(list_filter(t, lambda x: len(x) > 2)) AS term FROM w) GROUP BY 1""")
 def discover_terms(spark, sf_dir):
-    return extraction.discover_terms(table(spark, sf_dir, "documents"), "text", words=1)
+    return extraction.discover_terms(spread_table(spark, sf_dir, "documents"), "text", words=1)
 
 
 @query("extract_attributes", f"""{WITH_LISTINGS} SELECT url_anuncio, usable AND contains(p, 'elevador') AS elevador,
@@ -253,7 +253,7 @@ def extract_attributes(spark, sf_dir):
   contains(lower(text), 'que') AS que FROM documents WHERE len({D.strip('text')}) >= 10
   UNION ALL SELECT cast(doc_id AS VARCHAR), false, false FROM documents WHERE len({D.strip('text')}) < 10""")
 def extract_attributes_plugged(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url_anuncio"), "text")
+    docs = spread_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url_anuncio"), "text")
     out = extraction.extract_attributes(docs, ["the and", "que"], extraction.keyword_extractor, "text")
     flags = F.col("extraction.flags")
     return out.select("url_anuncio", flags["the_and"].alias("the_and"), flags["que"].alias("que"))

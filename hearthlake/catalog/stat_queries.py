@@ -141,6 +141,13 @@ def column_medians(spark, sf_dir):
     return ranks.column_medians(units(spark, sf_dir), NUMERIC).withColumn("median", F.round("median", 6))
 
 
+@query("bracketed_medians", f"{WITH_UNITS} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median FROM units" for c in FEATURES))
+def bracketed_medians(spark, sf_dir):
+    found = ranks.bracketed_medians(units(spark, sf_dir), FEATURES)
+    return spark.createDataFrame([(c, round(m, 6)) for c, m in found.items()], "feature string, median double")
+
+
 @query("skew_kurtosis", """SELECT count(*) AS n, round(skewness(x), 6) AS skew_raw, round(kurtosis(x), 6) AS kurtosis_raw,
   round(skewness(ln(x)), 6) AS skew_log, round(kurtosis(ln(x)), 6) AS kurtosis_log FROM (SELECT o_totalprice AS x FROM orders WHERE o_totalprice > 0)""")
 def skew_kurtosis(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.catalog import duck as D
-from hearthlake.catalog.fixtures import LISTINGS_CTE, UNITS_CTE, listings, table, units
+from hearthlake.catalog.fixtures import LISTINGS_CTE, UNITS_CTE, listings, spread_table, table, units
 from hearthlake.catalog.registry import query
 from hearthlake.functions import arrays, numbers, text
 from hearthlake.operators import enrichment, filters, repair
@@ -121,12 +121,12 @@ def target_transforms(spark, sf_dir):
 
 @query("fold_text", f"SELECT doc_id, {D.fold('text')} AS folded FROM documents")
 def fold_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.fold_text("text").alias("folded"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", text.fold_text("text").alias("folded"))
 
 
 @query("slug_text", f"SELECT doc_id, {D.slug('text')} AS slug FROM documents")
 def slug_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug_text("text").alias("slug"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", text.slug_text("text").alias("slug"))
 
 
 @query("plain_text", f"SELECT conv_id, turn, {D.plain('text')} AS plain FROM conversations")
@@ -145,7 +145,7 @@ def place_from_url(spark, sf_dir):
     UNION ALL SELECT url, 'prop-' || coalesce(nullif(regexp_extract(url, '/id-(\d+)', 1), ''), sha256(url)) FROM pages""",
 )
 def listing_id_from_url(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("url_anuncio"))
+    pages = spread_table(spark, sf_dir, "pages").select(F.col("url").alias("url_anuncio"))
     both = listings(spark, sf_dir).select("url_anuncio").unionByName(pages)
     return both.select("url_anuncio", text.listing_id("url_anuncio").alias("id"))
 
@@ -184,7 +184,7 @@ def split_address(spark, sf_dir):
     """SELECT doc_id, contains(lower(text), 'que') AS has_que, contains(lower(text), 'the and') AS has_the_and FROM documents""",
 )
 def contains_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", text.contains_flag("text", "QUE").alias("has_que"),
         text.contains_flag("text", "the and").alias("has_the_and"),
     )
@@ -196,7 +196,7 @@ def contains_flags(spark, sf_dir):
     cast(p_size AS VARCHAR) AS cleaned FROM part""",
 )
 def label_values(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = spread_table(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
     raw = F.when(F.col("p_type") == "SMALL", F.concat(size, F.lit(" "))).when(
         F.col("p_type") == "LARGE", F.concat(size, F.lit(" m²"))
@@ -353,7 +353,7 @@ def pattern_precision(spark, sf_dir):
     FROM events""",
 )
 def json_array_union(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    ev = spread_table(spark, sf_dir, "events")
     k = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
     left = F.when(F.col("event_type") == "error", F.lit("[broken")).otherwise(F.to_json(F.array("event_type", k)))
     right = F.to_json(F.array(F.lit("base"), F.col("event_type")))
@@ -367,7 +367,7 @@ def json_array_union(spark, sf_dir):
     'fixed' AS extra FROM events""",
 )
 def overlay_maps(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    ev = spread_table(spark, sf_dir, "events")
     base = F.create_map(F.lit("kind"), F.lit("none"), F.lit("k"), F.lit("base"), F.lit("extra"), F.lit("fixed"))
     update = F.when(
         F.col("event_type") == "view", F.create_map(F.lit("kind"), F.col("event_type"))

@@ -134,6 +134,56 @@ def column_medians(df: DataFrame, columns: list[str], group: list[str] = []) ->
     return exact_percentiles(long, [*group, "feature"], "_v", {"median": 0.5})
 
 
+def bracketed_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of whole columns without shuffling the data.
+
+    A mergeable sketch brackets each median, a second scan counts what lies below, and only the
+    values inside the bracket, about 0.2 percent, are ranked. The counts prove that the bracket holds
+    the middle; a column for which they do not is ranked in full. One number per column comes back.
+    """
+    if not columns:
+        return {}
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    sketch = df.agg(*[
+        F.struct(
+            F.count(value[c]).alias("n"),
+            F.percentile_approx(value[c], [0.499, 0.501], 10_000).alias("q"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]).first()
+    held = [c for i, c in enumerate(columns) if sketch[i]["n"]]
+    if not held:
+        return {c: None for c in columns}
+    size = {c: sketch[i]["n"] for i, c in enumerate(columns)}
+    low, high = ({c: sketch[i]["q"][e] for i, c in enumerate(columns) if c in held} for e in (0, 1))
+    counted = df.agg(*[
+        F.struct(
+            F.count_if(value[c] < low[c]).alias("below"),
+            F.count_if(value[c].between(low[c], high[c])).alias("inside"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(held)
+    ]).first()
+    first, last, cells = {}, {}, []
+    for i, c in enumerate(held):
+        below, inside = counted[i]["below"], counted[i]["inside"]
+        first[c], last[c] = (size[c] - 1) // 2, size[c] // 2
+        if below <= first[c] and last[c] < below + inside:
+            first[c], last[c] = first[c] - below, last[c] - below
+            cells.append(F.when(value[c].between(low[c], high[c]), value[c]).alias(c))
+        else:
+            cells.append(value[c].alias(c))
+    long = df.select(*cells).unpivot([], [F.col(f"`{c}`") for c in held], "feature", "_v")
+    ranked = cumulative_counts(value_counts(long, ["feature"], "_v"), ["feature"], "_v")
+
+    def value_at(place: dict[str, int]) -> Column:
+        index = F.element_at(F.create_map(*[F.lit(x) for pair in place.items() for x in pair]), F.col("feature"))
+        return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("cnt")), F.col("_v")))
+
+    rows = ranked.groupBy("feature").agg(value_at(first).alias("a"), value_at(last).alias("b")).collect()
+    found = {r["feature"]: r["a"] + (r["b"] - r["a"]) * 0.5 for r in rows}
+    return {c: found.get(c) for c in columns}
+
+
 def row_numbers(df: DataFrame, order: list[str], out: str = "row_seq") -> DataFrame:
     """Zero-based positions in the global order of `order`, which should identify a row.
 

@@ -48,3 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and read it back, so later reads agree."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a plain scan with fewer splits than cores, such as one small file, over all cores.
+
+    A large table has more splits than cores and comes back as it is, without a shuffle. Meant for
+    scans: asking a plan with shuffles for its partitions would run it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,6 +24,15 @@ def test_ranks_match_brute_force(spark):
     assert medians == {g: statistics.median([v for h, v in rows if h == g]) for g in "ab"}
 
 
+def test_bracketed_medians_are_exact(spark):
+    for n in (1, 2, 3, 4, 5, 1000, 1001):
+        pdf = pd.DataFrame({"x": [float((i * 7919) % 997) for i in range(n)], "y": [None if i % 3 else float(i) for i in range(n)], "z": [1.0] * n})
+        df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in pdf.values.tolist()], "x double, y double, z double")
+        assert ranks.bracketed_medians(df, ["x", "y", "z"]) == pdf.median().to_dict()
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert ranks.bracketed_medians(empty, ["x"]) == {"x": None}
+
+
 def test_one_value_may_hold_most_rows(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
     assert ranks.exact_medians(df, [], "v").first().median == df.toPandas().v.median()
