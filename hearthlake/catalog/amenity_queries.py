@@ -148,8 +148,8 @@ def flag_or_fold_wide(spark, sf_dir):
     return amenities.fold_flags(df, ["piscina", "comodidade_piscina_privativa", "comodidade_suites", "supermercados"])
 
 
-@query("folded_groups", f"""{WITH_FOLDED} SELECT canonical, count(*) AS sources, array_to_string(list_sort(list(flag)), ',') AS merged
-  FROM (SELECT DISTINCT flag, {D.flag('flag')} AS canonical FROM setflags) GROUP BY canonical HAVING count(*) > 1""")
+@query("folded_groups", f"""{WITH_FOLDED}, d AS (SELECT DISTINCT flag, {D.flag('flag')} AS canonical FROM setflags)
+  SELECT canonical, count(*) OVER (PARTITION BY canonical) AS sources, flag FROM d QUALIFY sources > 1""")
 def folded_groups(spark, sf_dir):
     return amenities.folded_groups(set_flags(spark, sf_dir))
 

@@ -143,13 +143,13 @@ def fold_flags_long(flags: DataFrame, key: str, flag: str = "flag") -> DataFrame
 
 
 def folded_groups(flags: DataFrame, flag: str = "flag") -> DataFrame:
-    """Canonical names fed by more than one source. Sources are flag names, so the sets are small."""
-    names = flags.select(flag).distinct()
-    return (
-        with_canonical_flag(names, flag).groupBy("canonical")
-        .agg(F.count(F.lit(1)).alias("sources"), F.array_join(F.array_sort(F.collect_set(flag)), ",").alias("merged"))
-        .where(F.col("sources") > 1)
-    )
+    """Rows (canonical, sources, flag) for canonical names fed by more than one source name.
+
+    One row per source: a canonical name may have any number of them.
+    """
+    names = with_canonical_flag(flags.select(flag).distinct(), flag)
+    sizes = names.groupBy("canonical").agg(F.count(F.lit(1)).alias("sources")).where(F.col("sources") > 1)
+    return names.join(sizes, "canonical").select("canonical", "sources", flag)
 
 
 def without_generic(flags: DataFrame, flag: str = "canonical") -> DataFrame:

@@ -133,6 +133,15 @@ def test_csv_round_trip_and_ranking_contract(spark, tmp_path):
     assert len(readers.vocabulary_terms(None)) == 45
 
 
+def test_portal_folders(spark, tmp_path):
+    rows = [("a", "x", "portal_a"), ("b", "y", "portal_b")]
+    df = spark.createDataFrame(rows, "url_anuncio string, titulo string, portal string")
+    writers.write_parquet(df, str(tmp_path / "t"), ["portal"])
+    schema = df.select("url_anuncio", "titulo").schema
+    got = readers.read_portal(spark, str(tmp_path / "t"), "portal_b", schema).collect()
+    assert [(r.url_anuncio, r.portal) for r in got] == [("b", "portal_b")]
+
+
 def test_listing_page(spark):
     html = """<h1> Apto &amp; Cia </h1><!-- <h1>no</h1> --><b><i></i><span class="a clampX">R$ 450.000</span></b>
     <address>Endereço indisponível Bessa, João Pessoa</address>
