@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,17 @@ from hearthlake.functions.text import clean_address, clean_label_value, label_ke
 from hearthlake.operators.filters import sitemap_shard
 
 
+#: Named character references as one JSON constant, which Spark folds into a literal map.
+ENTITIES = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
+
+
 def _col(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def unescape(text: Column) -> Column:
     """Named, decimal and hexadecimal character references to characters."""
-    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+    names = F.from_json(F.lit(ENTITIES), "map<string,string>")
 
     def decode(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
