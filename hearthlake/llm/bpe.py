@@ -268,8 +268,15 @@ class Decoder:
         return rest
 
 
-_encoder = lru_cache(maxsize=2)(Encoder)
-_decoder = lru_cache(maxsize=2)(Decoder)
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """A worker's own encoder: read once, with its word cache kept between batches."""
+    return Encoder(path)
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str, words: bool) -> Decoder:
+    return Decoder(path, words)
 
 
 def encode(
