@@ -9,7 +9,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -20,7 +20,7 @@ from hearthlake.llm.common import with_python
 #: Characters that a text is read in. Longer texts go through in pieces of this length.
 BUFFER = 65_536
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Below this code point no character changes under NFC, and the character classes of all Unicode versions agree.
 PLAIN_BELOW = "ɐ"
 
@@ -85,9 +85,14 @@ class Encoder:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.controls = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.symbols = byte_symbols()
-        self.library = Tokenizer.from_file(path)  # text rules beyond PLAIN_BELOW; never its merges
+        self.path = path
         self.words: dict[str, list[int]] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's text rules, for texts beyond PLAIN_BELOW; its merges are not used."""
+        return Tokenizer.from_file(self.path)
+
     def spelled(self, piece: str) -> list[str]:
         return [self.symbols[b] for b in piece.encode()]
 
@@ -262,6 +267,11 @@ class Decoder:
                     out.append(" ")
         return "".join(out)
 
+    def text(self, ids: list[int], step: int) -> str:
+        """The whole text of `ids`, pushed `step` at a time."""
+        parts = [self.push(ids[i : i + step]) for i in range(0, len(ids), step)]
+        return "".join([*parts, self.finish()])
+
     def finish(self) -> str:
         rest = self.utf8.decode(b"", True) if self.words else ""
         self.reset()
@@ -302,10 +312,19 @@ def decode(
     """`df` with the text of its ids, read `step` ids at a time; null ids give an empty text, unknown ids nothing."""
     def work(rows: list) -> dict:
         decoder = _decoder(tokenizer, words)
-        texts = []
-        for row in rows:
-            parts = [decoder.push(row[i : i + step]) for i in range(0, len(row or ()), step)]
-            texts.append("".join([*parts, decoder.finish()]))
-        return {text: texts}
+        return {text: [decoder.text(row or [], step) for row in rows]}
 
     return with_python(df, ids, f"`{text}` string", work)
+
+
+def round_trip(
+    df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
+    keep: list[str] | None = None, step: int = 4096,
+) -> DataFrame:
+    """`encode` and then `decode` in one pass over the rows, as one Python stage."""
+    def work(texts: list) -> dict:
+        encoder, decoder = _encoder(tokenizer), _decoder(tokenizer, False)
+        rows = [encoder.encode(t) for t in texts]
+        return {ids: rows, decoded: [decoder.text(row, step) for row in rows]}
+
+    return with_python(df, text, f"`{ids}` array<int>, `{decoded}` string", work, keep)

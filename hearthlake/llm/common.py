@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthlake.session import ensure_checkpoint_dir
 
-#: Characters of text that a Python stage holds at once; one longer text makes a batch of its own.
-BATCH_CHARS = 2_000_000
+#: Bytes of text that a Python stage works on at once; one longer text makes a piece of its own.
+PIECE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,16 +37,20 @@ def id_hash(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0).cast("bigint"))
 
 
-def text_chunks(texts: list, limit: int = BATCH_CHARS) -> Iterator[slice]:
-    """Consecutive slices of `texts` with about `limit` characters each."""
+def pieces(column: pa.Array, limit: int) -> Iterator[slice]:
+    """Consecutive slices of a column with about `limit` bytes of text, or ids, each."""
+    if pa.types.is_list(column.type):
+        sizes = pc.multiply(pc.list_value_length(column), 4)
+    else:
+        sizes = pc.binary_length(column)
     start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text) if text else 0
+    for i, size in enumerate(pc.fill_null(sizes, 0).to_pylist()):
+        total += size
         if total >= limit:
             yield slice(start, i + 1)
             start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(column):
+        yield slice(start, len(column))
 
 
 def with_python(
@@ -54,11 +59,11 @@ def with_python(
     new: str,
     work: Callable[[list], dict[str, Iterable]],
     keep: list[str] | None = None,
-    limit: int = BATCH_CHARS,
+    limit: int = PIECE_BYTES,
 ) -> DataFrame:
     """`df`, or its columns `keep`, with the columns of the DDL `new`, computed by `work` from `source`.
 
-    `work` gets pieces of about `limit` characters. Other columns travel as Arrow arrays; a column
+    `work` gets pieces of about `limit` bytes. Other columns travel as Arrow arrays; a column
     of `df` that is named like a new one is replaced. A row depends on itself alone, so a lost task
     is simply run again.
     """
@@ -71,10 +76,9 @@ def with_python(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(passed).to_pylist()
-            for part in text_chunks(texts, limit):
-                got = work(texts[part])
+            for part in pieces(batch.column(passed), limit):
                 rows = batch.slice(part.start, part.stop - part.start)
+                got = work(rows.column(passed).to_pylist())
                 arrays = [c.cast(arrow.field(i).type) for i, c in enumerate(rows.columns[:passed])]
                 arrays += [pa.array(got[f.name], type=arrow.field(f.name).type) for f in added.fields]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -23,7 +23,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.decode(bpe.encode(docs, path, keep=["doc_id"]), path)
+    tokens = bpe.round_trip(docs, path, keep=["doc_id"])
     return tokens.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
