@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe
-from hearthlake.llm.common import table
+from hearthlake.llm import bpe, language
+from hearthlake.llm.common import id_hash, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,15 @@ def query(fn):
     return fn
 
 
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.held_out(id_hash(F.col("doc_id"))))
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests."""
