@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe, language
+from hearthlake.llm import bpe, language, leaks
 from hearthlake.llm.common import id_hash, table
 
 QUERIES = {}
@@ -18,6 +18,14 @@ def query(fn):
     return fn
 
 
+def oracle(sql: str):
+    """The SQL that gives a query's rows on the same tables."""
+    def add(fn):
+        ORACLES[fn.__name__] = sql
+        return fn
+    return add
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from documents that are not held out."""
@@ -27,6 +35,43 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+_LEAK_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query
+@oracle(f"""
+WITH items AS (SELECT item_id, {_LEAK_WORDS} AS ws FROM benchmark),
+windows AS (
+    SELECT item_id, 10 AS n, unnest([array_to_string(ws[i:i + 9], ' ') FOR i IN range(1, len(ws) - 8)]) AS w
+    FROM items WHERE len(ws) >= 10
+    UNION SELECT item_id, len(ws), array_to_string(ws, ' ') FROM items WHERE len(ws) BETWEEN 1 AND 9),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_LEAK_WORDS} AS ws FROM documents),
+starts AS (
+    SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+    FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n),
+hits AS (
+    SELECT rid, i, s.n, item_id FROM starts s
+    JOIN windows w ON w.n = s.n AND w.w = array_to_string(s.ws[s.i:s.i + s.n - 1], ' ')),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+found AS (
+    SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hits) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered c USING (rid) LEFT JOIN found f USING (rid)
+""")
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole document that lie inside a window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests."""
