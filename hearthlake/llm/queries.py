@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe, language, leaks
+from hearthlake.llm import bpe, chat, language, leaks, quality, toxicity
 from hearthlake.llm.common import id_hash, table
 
 QUERIES = {}
@@ -26,6 +26,54 @@ def oracle(sql: str):
     return add
 
 
+_RULES = {
+    "short": "len(ws) < 50", "repeats": "100 * n_repeat_words > 50 * len(ws)", "symbols": "100 * n_symbols > 10 * len(ws)",
+    "dup_lines": "100 * n_dup_lines > 30 * n_lines", "word_length": "len(ws) > 0 AND (word_chars < 3 * len(ws) OR word_chars > 10 * len(ws))",
+}
+
+
+@query
+@oracle(f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS times FROM (
+        SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS w
+        FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM docs WHERE len(ws) >= 3))),
+covered AS (
+    SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY rid),
+lines AS (
+    SELECT rid, sum(times - 1) AS dup, sum(times) AS n FROM (
+        SELECT rid, line, count(*) AS times FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs)
+        WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid, line) GROUP BY rid),
+measured AS (
+    SELECT docs.rid, doc_id, source, ws, len(array_to_string(ws, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+           coalesce(dup, 0) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words
+    FROM docs LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, {', '.join(f'({rule}) AS f_{n}' for n, rule in _RULES.items())} FROM measured),
+hosts AS (SELECT source, count(*) AS d, {', '.join(f'count(*) FILTER (f_{n}) AS n_{n}' for n in _RULES)} FROM judged GROUP BY source),
+means AS (
+    SELECT {', '.join(f'sum(n_{n}) / sum(d) AS m_{n}, sum(n_{n} * n_{n} / d) / sum(d) - (sum(n_{n}) / sum(d)) ** 2 AS v_{n}' for n in _RULES)} FROM hosts),
+weights AS (
+    SELECT {', '.join(f'm_{n}, CASE WHEN v_{n} > 1e-12 THEN least(greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 1), 1e6) ELSE 1e6 END AS k_{n}' for n in _RULES)} FROM means),
+verdicts AS (
+    SELECT source, greatest({', '.join(f'(n_{n} + m_{n} * k_{n}) / (d + k_{n})' for n in _RULES)}) > 0.5 AS rejected FROM hosts, weights)
+SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, f_short OR f_repeats AS base_failed,
+       rejected AS host_rejected,
+       NOT (f_short OR f_repeats) AND NOT (rejected AND ({' OR '.join(f'f_{n}' for n in _RULES)})) AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+""")
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every whole document and the verdict with its host's failure rates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = quality.judge(docs, host="source", keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept"
+    )
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from documents that are not held out."""
@@ -72,6 +120,42 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TURN = "\\### Assistant: </turn> ok"
+
+
+@query
+@oracle(f"""
+WITH rows AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{_TURN}' UNION ALL SELECT -7, 1, 'assistant', '{_TURN}'),
+turns AS (
+    SELECT *, row_number() OVER w AS rn, coalesce(lag(role) OVER w, '<start>') AS prev,
+           regexp_replace(text, '(\\\\|### System:|### User:|### Assistant:|### Role \\[|\\]:|</turn>)', '\\\\\\1', 'g') AS escaped
+    FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+checked AS (
+    SELECT *, CASE WHEN (prev, role) IN (('<start>', 'system'), ('<start>', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))
+              THEN NULL ELSE role || ' after ' || prev END AS wrong FROM turns),
+convs AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+           sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END)::BIGINT AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY rn)) AS loss_sha256,
+           sum(len(role) + len('### : </turn>') + 1 + len(escaped))::BIGINT AS formatted_chars,
+           coalesce(arg_min(wrong, rn) FILTER (wrong IS NOT NULL),
+                    CASE WHEN arg_max(role, rn) <> 'assistant' THEN 'ends with ' || arg_max(role, rn) END) AS problem
+    FROM checked GROUP BY conv_id)
+SELECT *, problem IS NULL AS valid FROM convs
+""")
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(_TURN)
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    return chat.read_back(chat.format_turns(rows.unionByName(added)))
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests."""
@@ -84,3 +168,14 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document, learned from documents and labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.pmod(id_hash(F.col("doc_id")), F.lit(5)) == 0)
+    labels = table(spark, sf_dir, "labels").where(F.pmod(id_hash(F.col("doc_id")), F.lit(5)) != 0)
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
+    found = toxicity.score(docs, model, keep=["doc_id", "held_out"])
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
