@@ -1,7 +1,8 @@
-"""Toxicity by non-negative positive-unlabelled learning: a linear numpy classifier over words."""
+"""Toxicity by non-negative positive-unlabelled learning: a linear numpy classifier over words and their beginnings."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,17 +12,30 @@ from pyspark.sql import functions as F
 
 from hearthlake.llm.common import with_python
 
-#: Bounds of the fit: confirmed examples and unlabelled texts that are read on the driver, and words that get a weight.
-POSITIVES, UNLABELLED, VOCABULARY = 2_000, 8_000, 20_000
-#: A word needs this share of the sample's texts, and MIN_TEXTS of them.
-MIN_SHARE, MIN_TEXTS = 0.002, 5
-STEPS, RATE, PENALTY = 200, 0.05, 1e-3
+#: Bounds of the fit: confirmed examples and unlabelled texts that are read on the driver.
+POSITIVES, UNLABELLED = 3_000, 12_000
+#: Lengths of the word beginnings that are features besides whole words.
+PREFIXES = (4, 5, 6)
+#: A feature gets a weight if it is in so many sampled texts, and its shares differ by so many standard errors.
+MIN_TEXTS, CONTRAST = 5, 6.0
+STEPS, RATE, PENALTY = 300, 0.05, 1e-4
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORDS.findall(text.lower())) if text else set()
+def features(text: str | None) -> set[str]:
+    """The lower-cased words of a whole text and their beginnings: insults take endings.
+
+    Each is one feature if it occurs, and a second one, marked by +, if it occurs twice or more.
+    """
+    seen = Counter(_WORDS.findall(text.lower())) if text else Counter()
+    starts: Counter = Counter()
+    for w, times in seen.items():
+        for n in PREFIXES:
+            if len(w) > n:
+                starts[w[:n] + "*"] += times
+    seen.update(starts)
+    return {*seen, *[f + "+" for f, times in seen.items() if times > 1]}
 
 
 @dataclass
@@ -30,8 +44,7 @@ class ToxicityModel:
     bias: float
 
     def score(self, text: str | None) -> float:
-        get = self.weights.get
-        z = self.bias + sum(w for w in map(get, words(text)) if w)
+        z = self.bias + sum(self.weights[f] for f in features(text) & self.weights.keys())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -59,12 +72,12 @@ def nn_risk_step(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float,
 
 
 class Sparse:
-    """Rows of word numbers, each with the weight 1."""
+    """Rows of feature numbers, each with the weight 1."""
 
-    def __init__(self, rows: list[list[int]]) -> None:
+    def __init__(self, rows: list[np.ndarray]) -> None:
         self.n = len(rows)
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.array([c for r in rows for c in r], np.int64)
+        self.col = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
@@ -73,20 +86,30 @@ class Sparse:
         return np.bincount(self.col, d[self.row], size)
 
 
+def telling(p: Sparse, u: Sparse, size: int) -> np.ndarray:
+    """Numbers of the features whose share of texts differs between the samples by CONTRAST standard errors."""
+    n_p, n_u = np.bincount(p.col, minlength=size), np.bincount(u.col, minlength=size)
+    share = (n_p + n_u) / (p.n + u.n)
+    error = np.sqrt(share * (1 - share) * (1 / p.n + 1 / u.n)) + 1e-12
+    z = (n_p / p.n - n_u / u.n) / error
+    return np.flatnonzero((n_p + n_u >= MIN_TEXTS) & (np.abs(z) >= CONTRAST))
+
+
 def train(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityModel:
-    """Fit on texts; without confirmed examples or unlabelled texts every score is the prior's side of 0.5."""
+    """Fit on texts; without confirmed examples or unlabelled texts no score is above 0.5."""
     if not positive or not unlabelled:
         return ToxicityModel({}, -2.0)
-    sets = [words(t) for t in positive], [words(t) for t in unlabelled]
-    df: dict[str, int] = {}
-    for s in (*sets[0], *sets[1]):
-        for w in s:
-            df[w] = df.get(w, 0) + 1
-    least = max(min(MIN_TEXTS, len(positive)), MIN_SHARE * (len(positive) + len(unlabelled)))
-    names = sorted((w for w, n in df.items() if n >= least), key=lambda w: (-df[w], w))[:VOCABULARY]
-    number = {w: i for i, w in enumerate(names)}
-    p, u = (Sparse([sorted(number[w] for w in s if w in number) for s in part]) for part in sets)
-    size = len(names)
+    number: dict[str, int] = {}
+
+    def numbered(texts: list[str]) -> list[np.ndarray]:
+        return [np.array([number.setdefault(f, len(number)) for f in features(t)], np.int32) for t in texts]
+
+    parts = numbered(positive), numbered(unlabelled)
+    chosen = telling(Sparse(parts[0]), Sparse(parts[1]), len(number))
+    size = len(chosen)
+    place = np.full(len(number) + 1, -1)
+    place[chosen] = np.arange(size)
+    p, u = (Sparse([x[x >= 0] for x in (place[r] for r in part)]) for part in parts)
     w, b = np.zeros(size), np.log(prior / (1 - prior))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
@@ -95,7 +118,8 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityM
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return ToxicityModel({x: float(c) for x, c in zip(names, w, strict=True)}, float(b))
+    names = {i: f for f, i in number.items() if place[i] >= 0}
+    return ToxicityModel({names[i]: float(c) for i, c in zip(chosen.tolist(), w, strict=True)}, float(b))
 
 
 def fit(
