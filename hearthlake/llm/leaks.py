@@ -85,10 +85,9 @@ def probed(ws: Column, table: Column, lengths: list[int], slots: int) -> Column:
         near = F.filter(positions(s["ws"], length), lambda i: bucket(i).isNotNull())
         return F.flatten(F.transform(near, verified))
 
-    hits = [lambda s, n=n: of(s, n) for n in lengths]
     return let(
         F.struct(ws.alias("ws"), table.alias("table")),
-        lambda s: F.struct(F.size(s["ws"]).alias("n_words"), F.concat(*[h(s) for h in hits]).alias("hits")),
+        lambda s: F.struct(F.size(s["ws"]).alias("n_words"), F.concat(*[of(s, n) for n in lengths]).alias("hits")),
     )
 
 
@@ -99,11 +98,13 @@ def joined(docs: DataFrame, ws: Column, windows: DataFrame, lengths: list[int])
     """
     keyed = docs.withColumn("_ws", ws).withColumn("_key", F.sha2(F.array_join("_ws", " "), 256))
     texts = keyed.groupBy("_key").agg(F.first("_ws").alias("_ws"))
-    cut = F.concat(*[
-        let(F.col("_ws"), lambda w, n=n: F.transform(positions(w, n), lambda i: F.struct(
-            i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice(w, i, n), " ").alias("window"))))
-        for n in lengths
-    ])
+
+    def windows_of(n: int):
+        return lambda w: F.transform(positions(w, n), lambda i: F.struct(
+            i.alias("at"), F.lit(n).alias("length"), F.array_join(F.slice(w, i, n), " ").alias("window")
+        ))
+
+    cut = F.concat(*[let(F.col("_ws"), windows_of(n)) for n in lengths])
     found = (
         texts.select("_key", F.inline(cut)).join(windows, ["window", "length"])
         .groupBy("_key").agg(F.collect_list(F.struct("at", "length", "items")).alias("_hits"))

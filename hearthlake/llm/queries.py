@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe, chat, language, leaks, quality, toxicity
+from hearthlake.llm import bpe, chat, language, leaks, private, quality, toxicity
 from hearthlake.llm.common import id_hash, table
 
 QUERIES = {}
@@ -26,6 +26,19 @@ def oracle(sql: str):
     return add
 
 
+@query
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans, and those that the span classifier adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.find(docs, private.fit(docs))
+    return found.select(
+        "doc_id",
+        *[private.counted(F.col("base_spans"), k).alias(f"n_{k}") for k in private.KINDS],
+        F.sha2(private.written(F.col("base_spans")), 256).alias("base_sha256"),
+        private.written(F.col("spans")).alias("spans"),
+    )
+
+
 _RULES = {
     "short": "len(ws) < 50", "repeats": "100 * n_repeat_words > 50 * len(ws)", "symbols": "100 * n_symbols > 10 * len(ws)",
     "dup_lines": "100 * n_dup_lines > 30 * n_lines", "word_length": "len(ws) > 0 AND (word_chars < 3 * len(ws) OR word_chars > 10 * len(ws))",
