@@ -47,6 +47,8 @@ VOTES = ["valid", "listed", "cue", "against", "edge", "base"]
 #: Where the classifier has learned nothing yet: pseudo-counts of every vote, for and against.
 PSEUDO = 2.0
 ROUNDS, STEPS, RATE = 40, 400, 0.5
+#: Matches whose lengths are added up together.
+BLOCK = 64
 SPAN = "struct<start:int,end:int,s:string,before:string,after:string>"
 
 
@@ -71,26 +73,39 @@ def scan(text: Column, pattern: str, valid) -> Column:
 
     Splitting and extracting see the same matches, so lengths of gaps and matches add up to offsets.
     """
-    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     none = F.array().cast(f"array<{SPAN}>")
 
-    def step(p: Column, acc: Column, i: Column) -> Column:
-        gap, s = p["gaps"][i], p["found"][i]
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(s)
-        span = F.struct(
-            start.alias("start"), end.alias("end"), s.alias("s"), F.right(gap, F.lit(40)).alias("before"),
-            F.left(p["gaps"][i + 1], F.lit(1)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.when(valid(s), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, n: a + n)
+
+    def offsets(p: Column) -> Column:
+        """Adds the lengths of gap and match, and their sums before each block: an offset adds one block at most."""
+        lengths = F.transform(p["found"], lambda s, i: F.length(p["gaps"][i]) + F.length(s))
+        sums = let(lengths, lambda x: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(x, b * BLOCK + 1, BLOCK))
+        ))
+        before = let(sums, lambda x: F.transform(x, lambda _, b: total(F.slice(x, 1, b))))
+        return let(F.struct(p.alias("p"), lengths.alias("lengths"), before.alias("blocks")), spans)
+
+    def spans(q: Column) -> Column:
+        gaps, found = q["p"]["gaps"], q["p"]["found"]
+
+        def span(i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = q["blocks"][block] + total(F.slice(q["lengths"], block * BLOCK + 1, i - block * BLOCK)) + F.length(gaps[i])
+            return F.struct(
+                start.alias("start"), (start + F.length(found[i])).alias("end"), found[i].alias("s"),
+                F.right(gaps[i], F.lit(40)).alias("before"), F.left(gaps[i + 1], F.lit(1)).alias("after"),
+            )
+
+        return F.transform(q["p"]["good"], span)
 
-    def walk(p: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.when(F.size(p["found"]) > 0, F.aggregate(
-            F.sequence(F.lit(0), F.size(p["found"]) - 1), start, lambda acc, i: step(p, acc, i), lambda acc: acc["out"]
-        )).otherwise(none)
+    def chosen(p: Column) -> Column:
+        good = F.filter(F.sequence(F.lit(0), F.size(p["found"]) - 1), lambda i: valid(p["found"][i]))
+        whole = F.struct(F.split(text, pattern).alias("gaps"), p["found"].alias("found"), good.alias("good"))
+        return F.when(F.size(p["found"]) > 0, let(whole, lambda q: F.when(F.size(q["good"]) > 0, offsets(q)).otherwise(none))).otherwise(none)
 
-    return let(parts, walk)
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), chosen)
 
 
 def votes(kind: str, c: Column, base: bool) -> list[Column]:
