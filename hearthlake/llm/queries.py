@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe, chat, language, leaks, private, quality, toxicity
+from hearthlake.llm import bpe, chat, language, leaks, neardup, private, quality, toxicity
 from hearthlake.llm.common import id_hash, table
 
 QUERIES = {}
@@ -26,6 +26,12 @@ def oracle(sql: str):
     return add
 
 
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document, and the one that stays."""
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base spans, and those that the span classifier adds."""
