@@ -27,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once per row, also where lambdas in `body` use it repeatedly."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -38,7 +44,9 @@ def id_hash(doc_id: Column) -> Column:
 
 
 def pieces(column: pa.Array, limit: int) -> Iterator[slice]:
-    """Consecutive slices of a column with about `limit` bytes of text, or ids, each."""
+    """Consecutive slices of a column with about `limit` bytes of text, or ids, each; of a struct its last field counts."""
+    if pa.types.is_struct(column.type):
+        column = column.field(column.type.num_fields - 1)
     if pa.types.is_list(column.type):
         sizes = pc.multiply(pc.list_value_length(column), 4)
     else:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe, chat, language, leaks, neardup, private, quality, toxicity
-from hearthlake.llm.common import id_hash, table
+from hearthlake.llm import bpe, chat, language, layout, leaks, neardup, private, quality, tokenfiles, toxicity
+from hearthlake.llm.common import checkpointed, id_hash, remove, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,26 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAK_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, counted between the separators of flat files written from them."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = tokenfiles.write_files(spark, tokenfiles.token_bytes(docs, ranks, public_tokenizers.PATTERN))
+    found = checkpointed(tokenfiles.counts(spark, folder).select(F.col("key").alias("doc_id"), "n_tokens"))
+    remove(spark, folder)
+    return found
+
+
+@query
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out in lines."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = layout.visible_text(pages, keep=["page_id"])
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    return found.select("page_id", "text", F.length("text").cast("bigint").alias("n_chars"), lines.cast("bigint").alias("n_lines"))
+
+
 @query
 @oracle(f"""
 WITH items AS (SELECT item_id, {_LEAK_WORDS} AS ws FROM benchmark),
