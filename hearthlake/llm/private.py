@@ -235,7 +235,7 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
     arrays = [
         F.transform(F.col(f"_{name}_{kind}"), said(kind, name == "base")) for kind in KINDS for name in ("base", "loose")
     ]
-    rows = cand.select(F.concat(*arrays).alias("all")).where(F.size("all") > 0).select(F.inline("all"))
+    rows = cand.select(F.inline(F.concat(*arrays)))  # no filter on the array: it would be pushed down and computed twice
     return rows.groupBy("kind", *VOTES).agg(F.count(F.lit(1)).alias("n"))
 
 
