@@ -42,9 +42,10 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, personal data replaced by its kind; n_chars follows the text."""
     model = private.fit(docs)
     found = private.find(packed(docs), model)
-    masked = found.select("_row.*", private.masked(F.col("text"), F.col("spans")).alias("_masked"))
-    new = {"text": F.col("_masked"), "n_chars": F.coalesce(F.length("_masked").cast("bigint"), F.col("n_chars"))}
-    return masked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    masked = found.select("_row", private.masked(F.col("text"), F.col("spans")).alias("_text"))
+    row = F.col("_row")
+    new = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text").cast("bigint"), row["n_chars"])}
+    return masked.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

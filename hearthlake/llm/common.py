@@ -76,8 +76,11 @@ def with_python(
     is simply run again.
     """
     added = T.StructType.fromDDL(new)
-    names = set(added.names)
-    kept = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
+    names = {n.lower() for n in added.names}
+    kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
+    given = "_source"
+    while given in {f.name.lower() for f in kept}:
+        given += "_"
     schema = T.StructType([*kept, *added.fields])
     arrow = to_arrow_schema(schema)
     passed = len(kept)
@@ -91,4 +94,4 @@ def with_python(
                 arrays += [pa.array(got[f.name], type=arrow.field(f.name).type) for f in added.fields]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(source).alias("_source")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(source).alias(given)).mapInArrow(run, schema)
