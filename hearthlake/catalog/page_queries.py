@@ -104,17 +104,18 @@ def listing_pages(spark, sf_dir):
         F.lit("<html><!-- <h1>old</h1> --><body><h1> "), F.col("p_name"), F.lit(" &amp; co </h1><b>Venda<span class='x clampA'>R$ "),
         price, F.lit("</span></b><address>Endereço indisponível "), F.col("p_brand"),
         F.lit("</address><ul class='a listContent b'><li role='listitem'><p aria-label='quartos'>Quartos"), size,
-        F.lit("</p></li><li role='listitem'><p aria-label='area-total'><span>area-total</span> "), size,
-        F.lit(" m²</p></li><li><p aria-label='x'>x 1</p></li></ul><div class='optionalItemsContainer'><span><b>Área comum</b><ul><li>Piscina</li><li>"),
-        F.col("p_type"), F.lit("</li></ul></span></div><p aria-label='descrição'>"), F.col("p_name"), F.lit("<br> second line </p></body></html>"),
+        F.lit("</p><ul><li>inner</li></ul></li><li role='listitem'><p aria-label='area-total'><span>area-total</span> "), size,
+        F.lit(" m²</p></li><li><p aria-label='x'>x 1</p></li></ul><div class='optionalItemsContainer'><div>x</div><span><b>Área comum</b><ul><li>Piscina&apos;s &#128512;</li><li>"),
+        F.col("p_type"), F.lit("</li></ul></span></div><div><span><b>Links</b><ul><li>footer</li></ul></span></div><p aria-label='descrição'>"),
+        F.col("p_name"), F.lit("<br> second&nbsp;&#x1F600;&NotEqualTilde; line </p></body></html>"),
     )
     url = F.concat(F.lit("https://x.example/id-"), F.col("p_partkey").cast("string"))
     return part.select(url.alias("url"), html.alias("html"))
 
 
 @query("listing_page_fields", f"""SELECT 'https://x.example/id-' || p_partkey AS url_anuncio, p_name || ' & co' AS titulo, floor(p_retailprice)::BIGINT::VARCHAR AS preco_venda,
-  p_brand AS endereco_completo, p_size::VARCHAR AS quartos, p_size::VARCHAR AS area_total, 'Piscina, ' || p_type AS comum,
-  p_name || chr(10) || 'second line' AS descricao_completa, 3 AS attrs FROM part""")
+  p_brand AS endereco_completo, p_size::VARCHAR AS quartos, p_size::VARCHAR AS area_total, 'Piscina''s ' || chr(128512) || ', ' || p_type AS comum,
+  p_name || chr(10) || 'second' || chr(160) || chr(128512) || chr(8770) || chr(824) || ' line' AS descricao_completa, 3 AS attrs FROM part""")
 def listing_page_fields(spark, sf_dir):
     df = markup.listing_fields(listing_pages(spark, sf_dir))
     return df.select(
@@ -133,19 +134,20 @@ def description_text(spark, sf_dir):
     )
 
 
-@query("legacy_page_fields", """SELECT p_partkey, 'img' || p_partkey || '.png' AS imagem, p_name AS titulo, p_size::VARCHAR AS area, p_type AS comum FROM part""")
+@query("legacy_page_fields", """SELECT p_partkey, 'img' || p_partkey || '.png' AS imagem, p_name AS titulo, p_size::VARCHAR AS area, p_type AS comum, 1 AS secoes FROM part""")
 def legacy_page_fields(spark, sf_dir):
     part = spread_table(spark, sf_dir, "part")
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     html = F.concat(
         F.lit("<picture><img src='a.png'></picture><picture id='ssrImage'><img alt='' src='img"), key,
         F.lit(".png'></picture><h1>"), F.col("p_name"), F.lit("</h1><ul class='listContent'><li><small>Área útil</small><b>"), size,
-        F.lit("</b></li></ul><div class='optionalItemsContainer'><span><b>Área comum</b><ul><li>"), F.col("p_type"), F.lit("</li></ul></span></div>"),
+        F.lit("</b></li></ul><div class='optionalItemsContainer'><span><b>Área comum</b><ul><li>"), F.col("p_type"),
+        F.lit("</li></ul></span></div><footer><span><b>Links</b><ul><li>no</li></ul></span></footer>"),
     )
     df = markup.legacy_fields(part.select("p_partkey", html.alias("html")))
     return df.select(
         "p_partkey", "imagem", "titulo", F.col("caracteristicas")["Área útil"].alias("area"),
-        F.col("secoes")["area_comum"].alias("comum"),
+        F.col("secoes")["area_comum"].alias("comum"), F.size("secoes").alias("secoes"),
     )
 
 

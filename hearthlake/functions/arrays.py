@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,3 +40,8 @@ def flat_for_text_sinks(df: DataFrame) -> DataFrame:
 
 def record_as_json(df: DataFrame, out: str = "detalhes_completos_json") -> DataFrame:
     return df.withColumn(out, F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
+from hearthlake.functions.arrays import let
 from hearthlake.functions.numbers import strip_space
 from hearthlake.functions.text import clean_address, clean_label_value, label_key
 from hearthlake.operators.filters import sitemap_shard
 
 
 #: Named character references as one JSON constant, which Spark folds into a literal map.
-ENTITIES = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
+ENTITIES = json.dumps({name.removesuffix(";"): text for name, text in html5.items() if name.endswith(";")})
+#: The references that nearly all pages use, looked up before the long map.
+COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+#: What numbers 128 to 159 stand for in HTML.
+WINDOWS = [bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)]
+REPLACEMENT = "\ufffd"
 
 
 def _col(col: Column | str) -> Column:
@@ -26,19 +32,34 @@ def unescape(text: Column) -> Column:
     """Named, decimal and hexadecimal character references to characters."""
     names = F.from_json(F.lit(ENTITIES), "map<string,string>")
 
+    windows = F.array(*[F.lit(c) for c in WINDOWS])
+
     def decode(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        return (
+            F.when(bad, REPLACEMENT).when(code.between(0x80, 0x9F), F.try_element_at(windows, (code - 0x7F).cast("int")))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        )
+
+    def number(body: Column) -> Column:
+        short = F.regexp_replace(body, "^#[xX]?0*", "")  # more than seven digits are no character
+        value = let(short, lambda x: F.when(F.length(x) > 7, F.lit(None).cast("bigint")).when(
+            body.rlike("^#[xX]"), F.conv(x, 16, 10).try_cast("bigint")
+        ).otherwise(F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint"))))
+        return let(value, decode)
+
+    def named(body: Column) -> Column:
+        common = F.when(body == "amp", "&")
+        for name, char in COMMON.items():
+            common = common.when(body == name, char)
+        return common.otherwise(F.try_element_at(names, body))
 
     def expand(piece: Column) -> Column:
         body = F.substring_index(piece, ";", 1)
+        char = let(body, lambda b: F.when(b.rlike("^#([0-9]+|[xX][0-9a-fA-F]+)$"), number(b)).otherwise(named(b)))
         rest = piece.substr(F.length(body) + 2, F.length(piece))
-        number = F.when(body.rlike("^#[0-9]{1,5}$"), body.substr(F.lit(2), F.length(body)).try_cast("int")).when(
-            body.rlike("^#[xX][0-9a-fA-F]{1,4}$"),
-            F.conv(body.substr(F.lit(3), F.length(body)), 16, 10).try_cast("int"),
-        )
-        char = F.coalesce(F.try_element_at(names, body), F.when(number < 65536, decode(number)))
-        ended = F.contains(piece, F.lit(";"))
-        return F.when(ended & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+        whole = let(char, lambda c: F.when(c.isNotNull(), F.concat(c, rest)).otherwise(F.concat(F.lit("&"), piece)))
+        return F.when(F.contains(piece, F.lit(";")), whole).otherwise(F.concat(F.lit("&"), piece))
 
     pieces = F.split(text, "&")
     decoded = F.concat(
@@ -65,12 +86,33 @@ def inner_text(fragment: Column, separator: str = "") -> Column:
 def first_element(html: Column, tag: str, attribute: str = "") -> Column:
     """Inner source of the first `tag` whose attributes match `attribute`; NULL when there is none.
 
-    Meant for elements that do not nest in themselves.
+    Meant for elements that do not nest in themselves; see `whole_element` for the others.
     """
     pattern = rf"(?is)<{tag}\b(?=[^>]*{attribute})[^>]*>(.*?)</{tag}\s*>" if attribute else rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
     return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
 
 
+def whole_element(html: Column, tag: str, attribute: str = "") -> Column:
+    """Inner source up to the element's own end tag, elements of the same tag inside included.
+
+    Start and end tags are counted from the start tag on; an element without an end reaches to the
+    end of the page. NULL when there is no such element.
+    """
+    start = rf"(?is)<{tag}\b(?=[^>]*{attribute})[^>]*>(.*)$"
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
+
+    def step(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part.rlike(rf"^(?i)</{tag}\b"), -1).when(part.rlike(rf"^(?i)<{tag}\b"), 1).otherwise(0)
+        over = (acc["depth"] < 0) | (depth < 0)
+        return F.struct(F.when(over, -1).otherwise(depth).alias("depth"), (acc["size"] + F.when(over, 0).otherwise(F.length(part))).alias("size"))
+
+    def inner(rest: Column) -> Column:
+        parts = F.split(rest, rf"(?i)(?=</?{tag}\b)")
+        return F.substring(rest, F.lit(1), F.aggregate(parts, zero, step, lambda acc: acc["size"]))
+
+    return F.when(html.rlike(start), let(F.regexp_extract(html, start, 1), inner))
+
+
 def class_has(word: str) -> str:
     return rf"""class\s*=\s*["'][^"']*{word}"""
 
@@ -119,11 +161,11 @@ def listing_address(source: Column) -> Column:
 
 def listing_attributes(source: Column) -> Column:
     """MAP of the labelled cells of the main list; a repeated label keeps its last value."""
-    block = first_element(source, "ul", class_has("listContent"))
+    block = whole_element(source, "ul", class_has("listContent"))
     items = F.split(block, r"(?i)<li\b")
     cells = F.filter(
         F.transform(
-            F.slice(items, 2, 100_000),
+            F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))),
             lambda i: F.named_struct(
                 F.lit("label"), F.regexp_extract(i, r"""(?is)<p\b[^>]*aria-label\s*=\s*["']([^"']*)["']""", 1),
                 F.lit("value"), inner_text(F.regexp_extract(i, r"(?is)<p\b(?=[^>]*aria-label)[^>]*>(.*?)</p\s*>", 1)),
@@ -145,21 +187,19 @@ def listing_attributes(source: Column) -> Column:
 def _last_wins(entries: Column) -> Column:
     """Map from entries; a later entry of the same key replaces an earlier one."""
     empty = F.create_map().cast("map<string,string>")
-    return F.when(
-        entries.isNotNull(),
-        F.aggregate(
-            entries, empty,
-            lambda acc, e: F.map_concat(
-                F.map_filter(acc, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])
-            ),
-        ),
-    ).otherwise(empty)
+
+    def mapped(x: Column) -> Column:
+        keys = F.reverse(F.array_distinct(F.reverse(F.transform(x, lambda e: e["key"]))))
+        return let(keys, lambda names: F.map_from_arrays(
+            names, F.transform(names, lambda k: F.element_at(F.filter(x, lambda e: e["key"] == k), -1)["value"])
+        ))
+
+    return F.coalesce(let(entries, lambda x: F.when(x.isNotNull(), mapped(x))), empty)
 
 
 def listing_sections(source: Column, key_prefix: str = "comodidades_") -> Column:
     """MAP section -> comma list of its items, from the optional-items container."""
-    start = rf"(?is)<div\b(?=[^>]*{class_has('optionalItemsContainer')})[^>]*>(.*)$"
-    block = F.when(source.rlike(start), F.regexp_extract(source, start, 1))
+    block = whole_element(source, "div", class_has("optionalItemsContainer"))
     heads = F.regexp_extract_all(block, F.lit(r"(?is)<span\b[^>]*>\s*<b\b[^>]*>(.*?)</b\s*>.*?<ul\b[^>]*>.*?</ul\s*>"), 1)
     lists = F.regexp_extract_all(block, F.lit(r"(?is)<span\b[^>]*>\s*<b\b[^>]*>.*?</b\s*>.*?<ul\b[^>]*>(.*?)</ul\s*>"), 1)
     entries = F.zip_with(
@@ -182,7 +222,7 @@ def description(source: Column) -> Column:
     """Description block as lines, or the not-found sentinel."""
     block = F.coalesce(
         first_element(source, "p", label_is("descrição")),
-        first_element(source, "div", class_has("description")),
+        whole_element(source, "div", class_has("description")),
     )
     return F.coalesce(inner_text(block, "\n"), F.lit(vocab.NO_DESCRIPTION))
 
@@ -212,7 +252,7 @@ def legacy_fields(df: DataFrame, html: str = "html") -> DataFrame:
         first_element(source, "picture", r"""id\s*=\s*["']ssrImage["']"""), first_element(source, "picture")
     )
     image = F.nullif(F.regexp_extract(picture, r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-    block = first_element(source, "ul", class_has("listContent"))
+    block = whole_element(source, "ul", class_has("listContent"))
     labels = F.regexp_extract_all(block, F.lit(r"(?is)<small\b[^>]*>(.*?)</small\s*>"), 1)
     values = F.regexp_extract_all(block, F.lit(r"(?is)<b\b[^>]*>(.*?)</b\s*>"), 1)
     pairs = F.zip_with(labels, values, lambda l, v: F.named_struct(F.lit("key"), inner_text(l), F.lit("value"), inner_text(v)))
