@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthlake import vocab
 from hearthlake.catalog import duck as D
 from hearthlake.catalog.fixtures import LISTINGS_CTE, UNITS_CTE, listings, table, units
 from hearthlake.catalog.registry import query
@@ -108,12 +109,10 @@ def survivorship_merge(spark, sf_dir):
     return linkage.merge_units(merge_rows(spark, sf_dir), "unit_key", MERGE_ORDER, ["piscina"])
 
 
-@query("survivorship_extras", f"""WITH {MERGE_CTE} SELECT unit_key, 0 AS part, 1 AS parts, array_to_string(list_sort(list(DISTINCT extra)), ',') AS extras
-  FROM (SELECT unit_key, unnest(from_json(diferenciais_unicos, '["VARCHAR"]')) AS extra FROM rowsx
-    WHERE json_valid(diferenciais_unicos)) GROUP BY unit_key""")
+@query("survivorship_extras", f"""WITH {MERGE_CTE} SELECT DISTINCT unit_key, unnest(from_json(diferenciais_unicos, '["VARCHAR"]')) AS extra
+  FROM rowsx WHERE json_valid(diferenciais_unicos)""")
 def survivorship_extras(spark, sf_dir):
-    packed = linkage.pack_extras(linkage.unit_extras(merge_rows(spark, sf_dir), "unit_key"), "unit_key")
-    return packed.withColumn("extras", F.array_join("extras", ","))
+    return linkage.unit_extras(merge_rows(spark, sf_dir), "unit_key")
 
 
 @query("merge_summary", f"""WITH {MERGE_CTE} SELECT sum(c)::BIGINT AS input_rows, sum(c - 1)::BIGINT AS absorbed_rows, count(*) AS unique_units
@@ -128,18 +127,29 @@ A_HAS_NO_PLACE = LINKED_CTE.replace(
 )
 
 
-@query("deduplicate_portals", f"""{D.with_ctes(LISTINGS_CTE, A_HAS_NO_PLACE, KEYED_CTE)}, o AS (SELECT *, row_number() OVER (ORDER BY portal_rank, row_seq) AS s FROM keyed)
+@query("deduplicate_portals", f"""{D.with_ctes(LISTINGS_CTE, A_HAS_NO_PLACE, KEYED_CTE)}, o AS (SELECT *, row_number() OVER (ORDER BY portal_rank, row_seq) AS s,
+    CASE pr WHEN '1-URGENT' THEN 'Sul' WHEN '2-HIGH' THEN 'Nao informado' WHEN '3-MEDIUM' THEN '' END AS sun FROM keyed)
   SELECT unit_key, CASE WHEN min(portal) < max(portal) THEN 'ambos' ELSE min(portal) END AS origem_anuncio, count(*) AS listings,
     arg_min(url_anuncio, s) AS url_anuncio, arg_min(preco_venda, s) FILTER (WHERE preco_venda IS NOT NULL) AS preco_venda,
-    arg_min(descricao_completa, s) FILTER (WHERE descricao_completa IS NOT NULL) AS descricao_completa
+    arg_min(descricao_completa, s) FILTER (WHERE descricao_completa IS NOT NULL) AS descricao_completa,
+    bool_or(mon > 6) AS nascente_flag,
+    coalesce(arg_min(sun, s) FILTER (WHERE sun = 'Sul'), arg_min(sun, s) FILTER (WHERE sun IS NOT NULL)) AS posicao_solar,
+    array_to_string(list_sort(list(DISTINCT seg || ' ' || dom)), ',') AS extras
   FROM o GROUP BY unit_key""")
 def deduplicate_portals(spark, sf_dir):
-    df = listings(spark, sf_dir)
+    df = listings(spark, sf_dir).withColumns({
+        "nascente_flag": F.col("mon") > 6,
+        "posicao_solar": F.when(F.col("pr") == "1-URGENT", "Sul").when(F.col("pr") == "2-HIGH", "Nao informado").when(F.col("pr") == "3-MEDIUM", ""),
+        vocab.EXTRAS: F.to_json(F.array(F.concat_ws(" ", "seg", "dom"))),
+    })
     parts = [df.where(F.col("portal") == p).drop("portal") for p in ("portal_a", "portal_b")]
     # Both portals of the fixture carry a place field; the first portal ignores it, as it has none.
     first = parts[0].drop("bairro")
     out = pipelines.deduplicate_portals(first, parts[1])
-    return out.units.select("unit_key", "origem_anuncio", "listings", "url_anuncio", "preco_venda", "descricao_completa")
+    names = out.extras.groupBy("unit_key").agg(F.array_join(F.array_sort(F.collect_list("extra")), ",").alias("extras"))
+    return out.units.join(names, "unit_key", "left").select(
+        "unit_key", "origem_anuncio", "listings", "url_anuncio", "preco_venda", "descricao_completa", "nascente_flag", "posicao_solar", "extras"
+    )
 
 
 def _signature_sql(prefix=""):

@@ -127,28 +127,11 @@ def merge_units(
 
 
 def unit_extras(df: DataFrame, key: str, column: str = vocab.EXTRAS) -> DataFrame:
-    """Distinct (key, extra) pairs from JSON lists; malformed lists count as empty."""
-    return df.select(key, F.explode(json_string_array(column)).alias("extra")).distinct()
-
-
-def pack_extras(extras: DataFrame, key: str, per_row: int = 1000) -> DataFrame:
-    """Extras as sorted arrays (key, part, parts, extras).
+    """Distinct (key, extra) pairs from JSON lists; malformed lists count as empty.
 
-    Up to `per_row` extras make one part, the usual case. Larger sets are divided by hash, so no
-    array grows with a hot unit and nothing is left out.
+    Extras stay rows whatever their number, so a unit with very many moves and fits like any other.
     """
-    sizes = extras.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))
-    big = sizes.where(F.col("_cnt") > per_row).select(
-        key, F.ceil(F.col("_cnt") / per_row).cast("bigint").alias("_parts")
-    )
-    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("bigint"))
-    return (
-        extras.join(big, key, "left")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("extra"), F.col("parts")))
-        .groupBy(key, "part", "parts")
-        .agg(F.array_sort(F.collect_list("extra")).alias("extras"))
-    )
+    return df.select(key, F.explode(json_string_array(column)).alias("extra")).distinct()
 
 
 def merge_summary(df: DataFrame, key: str) -> DataFrame:

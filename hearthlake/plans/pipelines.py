@@ -164,8 +164,7 @@ def deduplicate_portals(
 ) -> DedupResult:
     """Linked and merged units of two portals; the first portal's rows rank before the second's.
 
-    `units` carries the unique extras of ordinary units as an array; `extras` holds all of them, in
-    more than one row for a unit with very many.
+    `extras` holds the unique extras of every unit as rows (unit_key, extra).
     """
     linked = linkage.union_portals(
         linkage.with_link_columns(first, F.lit(labels[0])).withColumn("_portal_rank", F.lit(0)),
@@ -178,14 +177,10 @@ def deduplicate_portals(
     flags = [f.name for f in keyed.schema.fields if isinstance(f.dataType, T.BooleanType)]
     units = linkage.merge_units(keyed, "unit_key", ["_portal_rank", seq], flags)
     if vocab.EXTRAS in keyed.columns:
-        packed = linkage.pack_extras(linkage.unit_extras(keyed, "unit_key"), "unit_key")
-        first_part = packed.where("part = 0").select("unit_key", F.col("extras").alias(vocab.EXTRAS))
-        units = units.join(first_part, "unit_key", "left")
+        extras = linkage.unit_extras(keyed, "unit_key")
     else:
-        packed = keyed.sparkSession.createDataFrame(
-            [], "unit_key string, part bigint, parts bigint, extras array<string>"
-        )
-    return DedupResult(units, packed, linkage.merge_summary(keyed, "unit_key"))
+        extras = keyed.sparkSession.createDataFrame([], "unit_key string, extra string")
+    return DedupResult(units, extras, linkage.merge_summary(keyed, "unit_key"))
 
 
 # --- Feature matrix ----------------------------------------------------------------------------

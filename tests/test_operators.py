@@ -96,9 +96,15 @@ def test_survivorship(spark):
     assert (k.origem_anuncio, k.listings, k.preco_venda, k.piscina, k.posicao_solar, k.distancia_praia_m) == ("ambos", 3, 500.0, True, "Sul", 200)
     assert (s.origem_anuncio, s.piscina, s.posicao_solar) == ("portal_b", False, "Nao informado")
     extras = linkage.unit_extras(df, "key")
-    assert [(r.key, r.parts, r.extras) for r in linkage.pack_extras(extras, "key").collect()] == [("k", 1, ["a", "b"])]
-    split = linkage.pack_extras(extras, "key", per_row=1).collect()
-    assert sorted(e for r in split for e in r.extras) == ["a", "b"]
+    assert sorted((r.key, r.extra) for r in extras.collect()) == [("k", "a"), ("k", "b")]
+
+
+def test_no_extra_of_a_large_unit_is_lost(spark):
+    rows = [(f"u{i}", '["' + '","'.join(f"x{i}-{k}" for k in range(1300)) + '"]') for i in range(2)]
+    cells = "'R$ 500.000' AS preco_venda, '80 m²' AS area_util, '3' AS quartos, 'Rua A, 1 - Bessa' AS endereco_completo, 'Bessa' AS bairro"
+    parts = [spark.createDataFrame([r], "url_anuncio string, diferenciais_unicos string").selectExpr("*", cells.split(", '")[0], *["'" + c for c in cells.split(", '")[1:]], "1 AS row_seq") for r in rows]
+    out = pipelines.deduplicate_portals(*parts)
+    assert out.extras.groupBy("unit_key").count().collect()[0]["count"] == 2600 and out.units.count() == 1
 
 
 def test_repair_and_numeric_columns(spark):
