@@ -282,8 +282,7 @@ def skew_join_left(spark, sf_dir):
         F.col("l_orderkey").alias("k"), "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey"
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
-    joined = joins.skew_join(li, orders, ["k"], "left", spread_by=["l_linenumber", "l_partkey"])
-    return joined.groupBy("l_returnflag", "l_linestatus").agg(
+    return li.join(orders, "k", "left").groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
     )
 

@@ -233,22 +233,24 @@ def _table_stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-@query("stream_ingest", "SELECT DISTINCT 'https://x.example/' || o_custkey AS url_anuncio FROM orders")
+@query("stream_ingest", """SELECT 'https://x.example/' || o_custkey AS url_anuncio, arg_min(o_totalprice, o_orderkey) AS o_totalprice, min(o_orderkey) AS o_orderkey
+  FROM orders GROUP BY o_custkey""")
 def stream_ingest(spark, sf_dir):
     place = _scratch(spark)
     stream = _table_stream(spark, sf_dir, "orders").select(
-        F.concat(F.lit("https://x.example/"), F.col("o_custkey").cast("string")).alias(vocab.URL), "o_totalprice"
+        F.concat(F.lit("https://x.example/"), F.col("o_custkey").cast("string")).alias(vocab.URL), "o_totalprice", "o_orderkey"
     )
-    incremental.ingest(stream, f"{place}/table", f"{place}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{place}/table").select(vocab.URL)
+    incremental.ingest(stream, f"{place}/table", f"{place}/checkpoint", order=["o_orderkey"]).awaitTermination()
+    return spark.read.parquet(f"{place}/table").select(vocab.URL, "o_totalprice", "o_orderkey")
 
 
-@query("stream_extract", f"""SELECT doc_id::VARCHAR AS url_anuncio, len({D.strip('text')}) >= 10 AND contains({D.plain('text')}, 'the and') AS the_and FROM documents""")
+@query("stream_extract", f"""SELECT (doc_id // 2)::VARCHAR AS url_anuncio, len({D.strip('text')}) >= 10 AND contains({D.plain('text')}, 'the and') AS the_and
+  FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) = 1""")
 def stream_extract(spark, sf_dir):
     place = _scratch(spark)
     stream = _table_stream(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias(vocab.URL), F.col("text").alias(vocab.DESCRIPTION)
+        F.floor(F.col("doc_id") / 2).cast("string").alias(vocab.URL), F.col("text").alias(vocab.DESCRIPTION), "doc_id"
     )
-    incremental.extract_stream(stream, f"{place}/table", f"{place}/checkpoint", ["the and"]).awaitTermination()
+    incremental.extract_stream(stream, f"{place}/table", f"{place}/checkpoint", ["the and"], order=["doc_id"]).awaitTermination()
     out = incremental._sink(spark, f"{place}/table")
     return out.select(vocab.URL, F.col("extraction.flags")["the_and"].alias("the_and"))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from hearthlake import vocab
 from hearthlake.operators.ranks import cumulative_counts
 
-#: Distinct group sizes read back to balance folds; sizes, not groups.
-MAX_GROUP_SIZES = 100_000
-
 
 def group_hash(group: Column | str, seed: int = vocab.SEED) -> Column:
     """32-bit number from md5(seed|group): the same in every engine and on every run."""
@@ -79,16 +76,15 @@ def balanced_folds(
 ) -> DataFrame:
     """Rows (group, size, fold): largest groups to the lightest folds.
 
-    Groups of one size are interchangeable, so only the histogram of sizes is read back; inside a
-    size, groups take their fold by hash order.
+    Groups of one size are interchangeable, so only the histogram of sizes is read back: distinct
+    sizes add up to at most the rows, so there are at most sqrt(2 * rows) of them. Inside a size,
+    groups take their fold by hash order.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
     histogram = (
         sizes.groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
-        .orderBy(F.desc("size")).limit(MAX_GROUP_SIZES + 1).collect()
+        .orderBy(F.desc("size")).collect()
     )
-    if len(histogram) > MAX_GROUP_SIZES:
-        raise ValueError("too many distinct group sizes to balance exactly; use group_fold")
     runs = _fill_folds([(r["size"], r["groups"]) for r in histogram], folds)
     starts = df.sparkSession.createDataFrame(
         [(s, a, f) for s, a, f in runs] or [(0, 0, 0)], "size bigint, first bigint, fold int"

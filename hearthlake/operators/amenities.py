@@ -16,16 +16,14 @@ from hearthlake.functions.text import (
     with_canonical_flag,
 )
 
-#: Columns a matrix may have; beyond it the long form is the way to go.
-MAX_MATRIX_COLUMNS = 5_000
 
+def column_values(df: DataFrame, column: str) -> list:
+    """Sorted values of a vocabulary column, for a wide table's column names.
 
-def bounded_values(df: DataFrame, column: str, limit: int = MAX_MATRIX_COLUMNS) -> list:
-    """Sorted values of a vocabulary column, refused when there are more than `limit`."""
-    rows = df.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} values in '{column}': keep the long form")
-    return sorted(r[0] for r in rows if r[0] is not None)
+    A wide table's schema lives on the driver anyway. For an open vocabulary use the long forms
+    (`amenity_edges`, `fold_flags_long`) or hand the names to the job.
+    """
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
 
 
 # --- controlled vocabulary ---------------------------------------------------------------------

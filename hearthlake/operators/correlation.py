@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import log_price, price_per_area
-from hearthlake.operators.joins import skew_join
-from hearthlake.operators.ranks import cumulative_counts
+from hearthlake.operators.ranks import cumulative_counts, value_counts
 from hearthlake.session import cut_lineage
 
 #: Variance below this share of the second moment is rounding noise of a constant.
@@ -144,52 +143,46 @@ def _rank_times_flags(df: DataFrame, numbers: list[str], flags: list[str]) -> Da
 def _rank_times_rank(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Spearman of number pairs, ranks taken over the rows where both are present.
 
-    Rows are first reduced to counts per (pair, value, value), written once. Both sides are ranked in one table
-    and looked up in one join; a value that meets very many partners is split over tasks.
+    The ranks of a column depend on the partner only through the rows that the partner lacks, so a
+    column is ranked once for all partners that lack none, and once more for each that does. Rows are
+    numbered in a checkpoint; each ranking gives one value per row, and all pairs are then products of
+    ranks, taken in one scan.
     """
-    rows = F.explode(F.array(*[
+    columns = sorted({c for pair in pairs for c in pair})
+    held = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    base = cut_lineage(df.select(*[v.alias(f"c{i}") for i, v in enumerate(held.values())]).withColumn(
+        "_row", F.monotonically_increasing_id()
+    ))
+    place = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+    seen = base.agg(
+        *[F.count(place[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.count_if(place[a].isNotNull() & place[b].isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+    ).first()
+    alone = {c: seen[f"n{i}"] for i, c in enumerate(columns)}
+    rankings: dict[tuple[str, str | None], str] = {}
+
+    def ranking(column: str, partner: str, both: int) -> str:
+        return rankings.setdefault((column, None if both == alone[column] else partner), f"r{len(rankings)}")
+
+    named = [(ranking(a, b, seen[f"p{i}"]), ranking(b, a, seen[f"p{i}"])) for i, (a, b) in enumerate(pairs)]
+    cells = base.select("_row", F.explode(F.array(*[
         F.struct(
-            F.lit(i).alias("pair"),
-            F.col(f"`{a}`").cast("double").alias("va"),
-            F.col(f"`{b}`").cast("double").alias("vb"),
+            F.lit(name).alias("k"),
+            (place[c] if partner is None else F.when(place[partner].isNotNull(), place[c])).alias("v"),
         )
-        for i, (a, b) in enumerate(pairs)
-    ]))
-    joint = (
-        df.select(rows.alias("_p")).select("_p.*")
-        .where(F.col("va").isNotNull() & F.col("vb").isNotNull())
-        .groupBy("pair", "va", "vb").agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    joint = cut_lineage(joint)
-    sides = F.explode(F.array(
-        F.struct(F.lit("a").alias("side"), F.col("va").alias("v")),
-        F.struct(F.lit("b").alias("side"), F.col("vb").alias("v")),
-    ))
-    cells = joint.select("pair", "va", "vb", "cnt", sides.alias("_s")).select("pair", "va", "vb", "cnt", "_s.*")
-    margins = cells.groupBy("pair", "side", "v").agg(F.sum("cnt").alias("cnt"))
-    ranked = cumulative_counts(margins, ["pair", "side"], "v")
+        for (c, partner), name in rankings.items()
+    ])).alias("_c")).select("_row", "_c.*").where(F.col("v").isNotNull())
+    ranked = cumulative_counts(value_counts(cells, ["k"], "v"), ["k"], "v")
     centred = F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0
-    ranks = ranked.select("pair", "side", "v", "n", centred.alias("rc"))
-    keys = ["pair", "side", "v"]
-    looked_up = skew_join(
-        cells, ranks, keys, "inner", spread_by=["va", "vb"],
-        key_counts=margins.select(*keys, F.col("cnt").alias("_rows")),
-    )
-    both = looked_up.groupBy("pair", "va", "vb").agg(
-        F.max("n").alias("n"), F.max("cnt").alias("cnt"),
-        F.max(F.when(F.col("side") == "a", F.col("rc"))).alias("ra"),
-        F.max(F.when(F.col("side") == "b", F.col("rc"))).alias("rb"),
-    )
-    sums = both.groupBy("pair").agg(
-        F.max("n").alias("n"),
-        *[F.sum(F.col("cnt") * F.col(x) * F.col(y)).alias(name)
-          for name, x, y in (("saa", "ra", "ra"), ("sbb", "rb", "rb"), ("sab", "ra", "rb"))],
-    )
+    wide = cells.join(ranked.select("k", "v", centred.alias("rc")), ["k", "v"]).groupBy("_row").agg(*[
+        F.max(F.when(F.col("k") == name, F.col("rc"))).alias(name) for name in rankings.values()
+    ])
+    found = pearson_pairs(wide, sorted(set(named)), dict.fromkeys(rankings.values(), 0.0))
     names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string"
+        [(x, y, a, b) for (x, y), (a, b) in zip(named, pairs, strict=True)], "x string, y string, a string, b string"
     )
-    return sums.join(F.broadcast(names), "pair").select(
-        "feature_a", "feature_b", "n", _ratio(F.col("sab"), F.col("saa"), F.col("sbb")).alias("r")
+    return found.join(F.broadcast(names), (F.col("feature_a") == F.col("x")) & (F.col("feature_b") == F.col("y"))).select(
+        F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "n", "r"
     )
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.functions.text import category_value, with_place
-from hearthlake.operators.amenities import bounded_values, column_shares
-from hearthlake.operators.joins import MAX_BROADCAST_ROWS, skew_join
+from hearthlake.operators.amenities import column_values, column_shares
 
 
 def fill_place(df: DataFrame, address: str = vocab.ADDRESS, place: str = vocab.PLACE) -> DataFrame:
@@ -33,14 +32,10 @@ def fold_rare(
 ) -> DataFrame:
     """Categories with fewer than `at_least` rows become `other`.
 
-    The common categories are counted first: a broadcast when they are few, else a join that
-    splits the hot ones.
+    Adaptive execution broadcasts the common categories when their measured size is small.
     """
     marked = common_categories(df, column, at_least).withColumn("_common", F.lit(True))
-    if marked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        joined = df.join(F.broadcast(marked), column, "left")
-    else:
-        joined = skew_join(df, marked, [column], "left")
+    joined = df.join(marked, column, "left")
     folded = F.when(F.col("_common") | F.col(column).isNull(), F.col(column)).otherwise(F.lit(other))
     return joined.withColumn(column, folded).select(*df.columns)
 
@@ -60,7 +55,7 @@ def one_hot(
     present = [c for c in columns if c in df.columns]
     clean = df.withColumns({c: category_value(c) for c in present}) if present else df
     if values is None:
-        values = {c: bounded_values(clean, c) for c in present}
+        values = {c: column_values(clean, c) for c in present}
     dummies: dict[str, Column] = {
         dummy_name(c, v): F.coalesce(F.col(c) == v, F.lit(False)).cast("byte")
         for c in present for v in values[c]

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
-from hearthlake.functions.arrays import overlay
 from hearthlake.functions.text import plain_text, usable_description
 
 #: texts of a batch, vocabulary -> JSON text {"resultados": [...]}
@@ -273,15 +272,16 @@ def discover_terms(df: DataFrame, text: str = vocab.DESCRIPTION, words: int = 2)
 # --- per-portal master -------------------------------------------------------------------------
 
 def with_extractions(
-    listings: DataFrame, extractions: DataFrame, terms: list[str], spread_by: list[str] | None = None
+    listings: DataFrame, extractions: DataFrame, terms: list[str], order: list[str] | None = None
 ) -> DataFrame:
-    """Left join on URL; listings without an extraction get the default record."""
-    from hearthlake.operators.joins import skew_join
+    """Left join on URL; listings without an extraction get the default record.
 
-    one = extractions.groupBy(vocab.URL).agg(
-        F.max_by("extraction", F.to_json("extraction")).alias("extraction")
-    )
-    joined = skew_join(listings, one, [vocab.URL], "left", spread_by)
+    Of several extractions of a URL the last one in `order` counts. Without `order` there must be one
+    per URL; if there are more, the choice is by their JSON text and does not follow time.
+    """
+    rank = F.struct(*order) if order else F.to_json("extraction")
+    one = extractions.groupBy(vocab.URL).agg(F.max_by("extraction", rank).alias("extraction"))
+    joined = listings.join(one, vocab.URL, "left")
     return joined.withColumn("extraction", F.coalesce("extraction", default_record(terms)))
 
 
@@ -291,10 +291,6 @@ def or_scraped_flags(flags: Column, scraped: Column) -> Column:
     return F.transform_values(flags, lambda k, v: v | F.array_contains(bare, k))
 
 
-def overlay_flags(base: Column, update: Column) -> Column:
-    return overlay(base, update)
-
-
 def flatten_extraction(df: DataFrame, terms: list[str], column: str = "extraction") -> DataFrame:
     """Extraction record as plain columns, one per flag term."""
     unique = list(dict.fromkeys(flag_key(t) for t in terms))

@@ -1,72 +1,14 @@
-"""Joins that stay balanced on hot keys, and lookups whose broadcast side is size-checked."""
+"""Joins between job tables.
+
+Hot keys need no code here: adaptive execution splits skewed partitions of inner and left joins from
+measured sizes, and picks a broadcast only where the measured side is small.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one key that one task is left to handle.
-ROWS_PER_TASK = 1_000_000
-#: Keys that may be split; the rest join on their key alone, so this bounds a broadcast, not a result.
-MAX_SPLIT_KEYS = 1_000
-#: Largest lookup that is broadcast.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    spread_by: list[str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-    key_counts: DataFrame | None = None,
-) -> DataFrame:
-    """Inner or left equi-join whose hot left keys are spread over several tasks.
-
-    Keys are counted with map-side combine. Up to MAX_SPLIT_KEYS keys above `rows_per_task` get a
-    salt computed from `spread_by` on the left, and their right rows are repeated once per salt.
-    NULL keys match nothing and are spread as well. `key_counts` hands in (on..., _rows) where
-    the caller has counted the keys already.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("skew_join handles inner and left joins")
-    spread = spread_by or [c for c in left.columns if c not in on]
-    if key_counts is None:
-        key_counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(
-        key_counts.where(F.col("_rows") > rows_per_task)
-        .where(F.concat(*[F.col(c).cast("string") for c in on]).isNotNull())
-        .orderBy(F.desc("_rows"), *on).limit(MAX_SPLIT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("bigint").alias("_salts"))
-    )
-    missing = F.lit(False)
-    for c in on:
-        missing = missing | F.col(c).isNull()
-    fingerprint = F.xxhash64(*spread) if spread else F.lit(0).cast("bigint")
-    salted = (
-        left.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.when(missing, fingerprint)
-            .otherwise(F.coalesce(F.pmod(fingerprint, F.col("_salts")), F.lit(0).cast("bigint"))),
-        )
-        .drop("_salts")
-    )
-    last = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint")) - 1
-    repeated = (
-        right.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .drop("_salts")
-    )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that the side fits; otherwise the plan is left to AQE."""
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
 
 def pending(links: DataFrame, seen: list[DataFrame], key: str = "url") -> DataFrame:
     """Distinct links not in any of the seen tables. Both sides are reduced to keys first."""

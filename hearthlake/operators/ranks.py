@@ -184,6 +184,50 @@ def bracketed_medians(df: DataFrame, columns: list[str]) -> dict[str, float | No
     return {c: found.get(c) for c in columns}
 
 
+def grouped_medians(df: DataFrame, group: list[str], value: str, out: str = "median") -> DataFrame:
+    """Exact medians (group..., n, out) per group, ranking only values near the middle.
+
+    The grouped form of `bracketed_medians`: one sketch per group brackets its median, a second pass
+    counts what lies below, and the values inside the bracket are ranked. Groups whose counts do not
+    prove the bracket are ranked in full. Rows are checkpointed once for the passes.
+    """
+    cell = F.col(f"`{value}`").cast("double")
+    rows = cut_lineage(df.select(*group, cell.alias("_v")).where(F.col("_v").isNotNull()))
+    sketch = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", [0.49, 0.51], 1_000).alias("_q")
+    )
+    near = _attach(rows, sketch, group).select(
+        *group, "_v", "n", (F.col("_v") < F.col("_q")[0]).alias("_below"),
+        F.col("_v").between(F.col("_q")[0], F.col("_q")[1]).alias("_inside"),
+    )
+    counted = near.groupBy(*group).agg(
+        F.max("n").alias("n"), F.count_if("_below").alias("_b"), F.count_if("_inside").alias("_i")
+    )
+    first, last = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    proven = (F.col("_b") <= first) & (last < F.col("_b") + F.col("_i"))
+    counted = cut_lineage(counted.withColumn("_proven", proven))
+    kept = _attach(near, counted.select(*group, "_proven"), group).where(~F.col("_proven") | F.col("_inside"))
+    ranked = cumulative_counts(value_counts(kept.select(*group, "_v"), group, "_v"), group, "_v").drop("n")
+    places = counted.select(*group, "n", F.when(F.col("_proven"), F.col("_b")).otherwise(0).alias("_b"))
+    found = _attach(ranked, places, group)
+
+    def value_at(index: Column) -> Column:
+        at = index - F.col("_b")
+        return F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("cnt")), F.col("_v")))
+
+    ends = found.groupBy(*group).agg(F.max("n").alias("n"), value_at(first).alias("_lo"), value_at(last).alias("_hi"))
+    return ends.select(*group, "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(out))
+
+
+def _attach(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
+    """Inner join on equal groups, a NULL group being one."""
+    names = {g: f"_g{i}" for i, g in enumerate(group)}
+    same = F.lit(True)
+    for g, other in names.items():
+        same = same & F.col(g).eqNullSafe(F.col(other))
+    return left.join(right.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def row_numbers(df: DataFrame, order: list[str], out: str = "row_seq") -> DataFrame:
     """Zero-based positions in the global order of `order`, which should identify a row.
 

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import is_numeric, parse_fee, parse_number, parse_price
-from hearthlake.operators.joins import skew_join
 
 
 def _broken(name: str) -> Column:
@@ -18,16 +17,11 @@ def _broken(name: str) -> Column:
 
 
 def _with_raw_cells(df: DataFrame, raw: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """Attach raw cells as `_raw_<column>` to the rows whose URL has a broken cell."""
+    """Attach the latest raw cells of each URL as `_raw_<column>`: one shuffle per side."""
     key = vocab.URL
-    any_broken = reduce(lambda a, b: a | b, [_broken(c) for c in columns])
-    wanted = df.where(any_broken).select(key).distinct()
     cells = F.struct(*[F.col(c).cast("string").alias(c) for c in columns if c in raw.columns])
-    latest = (
-        raw.join(wanted, key, "left_semi").groupBy(key)
-        .agg(F.max_by(cells, F.struct(*order)).alias("_raw"))
-    )
-    joined = skew_join(df, latest, [key], "left")
+    latest = raw.groupBy(key).agg(F.max_by(cells, F.struct(*order)).alias("_raw"))
+    joined = df.join(latest, key, "left")
     return joined.select(
         *df.columns,
         *[
@@ -42,8 +36,7 @@ def repair_numerics(
 ) -> DataFrame:
     """Replace cells that are no number by the raw record's cell, or NULL when that is none either.
 
-    `order` ranks raw records of one URL; the last one counts. Only URLs with a broken cell reach
-    the raw side of the join. Typed numeric columns need no repair.
+    `order` ranks raw records of one URL; the last one counts. Typed numeric columns need no repair.
     """
     columns = _repairable(df, columns)
     if not columns:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearthlake import vocab
 from hearthlake.functions.text import bind_column, strip_space
 from hearthlake.operators.filters import price_area_guard
-from hearthlake.operators.ranks import exact_medians, hash_shard
+from hearthlake.operators.ranks import grouped_medians, hash_shard
 
 
 def median_price_per_area(df: DataFrame, place: str, price: str, area: str) -> DataFrame:
@@ -19,7 +19,7 @@ def median_price_per_area(df: DataFrame, place: str, price: str, area: str) -> D
         bound.where(price_area_guard(F.col("price"), F.col("area")) & F.col("name").isNotNull())
         .select("name", (F.col("price") / F.col("area")).alias("_rate"))
     )
-    return exact_medians(rate, ["name"], "_rate").select("name", "n", "median")
+    return grouped_medians(rate, ["name"], "_rate").select("name", "n", "median")
 
 
 def place_table(medians: DataFrame, city: str) -> DataFrame:
@@ -74,8 +74,13 @@ def property_totals(properties: DataFrame) -> DataFrame:
     )
 
 
-def run_plan(links: DataFrame, seen: DataFrame, key: str, shards: int = 1, shard: int = 0) -> DataFrame:
-    """One row: links in scope, already seen, pending overall and for this worker (by key hash)."""
+def run_plan(
+    links: DataFrame, seen: DataFrame, key: str, shards: int = 1, shard: int = 0, exact: bool = False
+) -> DataFrame:
+    """One row: links in scope, already seen, pending overall and for this worker.
+
+    The worker's share is by key hash, or every `shards`-th of the sorted pending links if `exact`.
+    """
     marks = seen.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_seen", F.lit(True))
     flagged = links.select(key).distinct().join(marks, key, "left")
     todo = F.col("_seen").isNull()
@@ -84,5 +89,5 @@ def run_plan(links: DataFrame, seen: DataFrame, key: str, shards: int = 1, shard
         F.count(F.lit(1)).alias("in_scope"),
         F.count_if(~todo).alias("already_seen"),
         F.count_if(todo).alias("pending"),
-        F.count_if(todo & mine).alias("pending_here"),
+        (F.floor((F.count_if(todo) + shards - 1 - shard) / shards) if exact else F.count_if(todo & mine)).alias("pending_here"),
     )

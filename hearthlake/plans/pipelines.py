@@ -105,29 +105,34 @@ def normalize_listings(
 # --- Amenity matrix ----------------------------------------------------------------------------
 
 def amenity_matrix(
-    listings: DataFrame, at_least: int = vocab.MIN_AMENITY_LISTINGS, columns: list[str] = AMENITY_LISTS
+    listings: DataFrame, at_least: int = vocab.MIN_AMENITY_LISTINGS, columns: list[str] = AMENITY_LISTS,
+    names: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """0/1 amenity columns per URL for the frequent amenities, and the full frequency table."""
+    """0/1 amenity columns per URL for `names`, or the frequent amenities, and the full frequency table."""
     keyed = listings.where(F.col(vocab.URL).isNotNull() & (F.col(vocab.URL) != "")).select(
         vocab.URL, A.canonical_set(*columns).alias("_set")
     )
     frequency = A.amenity_frequency(keyed, "_set")
-    names = A.bounded_values(A.frequent_amenities(frequency, at_least), "amenity")
+    if names is None:
+        names = A.column_values(A.frequent_amenities(frequency, at_least), "amenity")
     return A.amenity_matrix(keyed, vocab.URL, "_set", names), frequency
 
 
 # --- Per-portal master -------------------------------------------------------------------------
 
 def build_master(
-    listings: DataFrame, extractions: DataFrame, terms: list[str], scraped: Column
+    listings: DataFrame, extractions: DataFrame, terms: list[str], scraped: Column,
+    names: list[str] | None = None, order: list[str] | None = None,
 ) -> DataFrame:
     """Listings with extraction columns; scraped amenities OR-ed in and kept as 'comodidade_' flags.
 
-    `scraped` is an array column of scraped flag names per listing.
+    `scraped` is an array column of scraped flag names per listing, `names` the flags to keep as columns
+    (all that occur by default). Of several extractions of a URL the last in `order` counts.
     """
     marked = listings.withColumn("_scraped", scraped)
-    names = A.bounded_values(marked.select(F.explode("_scraped").alias("name")), "name")
-    joined = extraction.with_extractions(marked, extractions, terms)
+    if names is None:
+        names = A.column_values(marked.select(F.explode("_scraped").alias("name")), "name")
+    joined = extraction.with_extractions(marked, extractions, terms, order)
     ored = joined.withColumn(
         "extraction",
         F.col("extraction").withField(
@@ -356,15 +361,17 @@ def tune_models(
 
 def plan_crawl(
     sitemaps: DataFrame, seen: DataFrame, text: str, city: str, kind: str, deal: str = "venda",
-    shards: int = 1, shard: int = 0, exact: bool = False,
+    shards: int = 1, shard: int = 0, exact: bool = False, first: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Links this worker should fetch, and the plan's counts.
 
     `exact` slices the sorted pending links as `links[shard::shards]`; the default assigns by hash.
+    `first` keeps that many of the worker's links in URL order; by default all.
     """
     links = sitemap_links(sitemaps, text).where(filters.link_in_scope("url", city, kind, deal))
     todo = pending(links, [seen])
     mine = todo
     if shards > 1:
         mine = exact_slice(todo, ["url"], shard, shards) if exact else todo.where(hash_shard("url", shards) == shard)
-    return mine, reports.run_plan(links, seen, "url", shards, shard)
+    counts = reports.run_plan(links, seen, "url", shards, shard, exact)
+    return (mine if first is None else mine.orderBy("url").limit(first)), counts

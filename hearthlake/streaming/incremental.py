@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hearthlake import vocab
 from hearthlake.operators.extraction import Extractor, extract_attributes
+from hearthlake.operators.linkage import first_wins
 from hearthlake.sources.readers import EXTRACTION_SCHEMA, LISTING_SCHEMA
 
 
@@ -40,19 +41,41 @@ def first_seen(
 
 
 def ingest(
-    stream: DataFrame, target: str, checkpoint: str, key: str = vocab.URL, once: bool = True
+    stream: DataFrame, target: str, checkpoint: str, key: str = vocab.URL, once: bool = True,
+    order: list[str] | None = None, event_time: str | None = None, delay: str | None = None,
 ) -> StreamingQuery:
-    """Append first-seen listings to a Parquet table; the checkpoint makes it resumable."""
-    writer = (
-        first_seen(stream, key).writeStream.format("parquet").outputMode("append")
-        .option("path", target).option("checkpointLocation", checkpoint)
-    )
+    """Append first-seen listings to a Parquet table; the checkpoint makes it resumable.
+
+    With `order` the first row in that order wins inside a micro-batch and earlier batches win over
+    later ones: the table itself is the state, one folder per batch, so nothing grows in memory and a
+    batch that is run again writes the same rows. Without it, keyed state decides, which `event_time`
+    and `delay` bound; which copy of a micro-batch wins is then left open.
+    """
+    if order:
+        writer = stream.writeStream.foreachBatch(lambda df, i: append_new(df, i, target, key, order))
+    else:
+        writer = first_seen(stream, key, event_time, delay).writeStream.format("parquet").outputMode("append").option("path", target)
+    writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _sink(spark: SparkSession, target: str) -> DataFrame | None:
+def append_new(batch: DataFrame, batch_id: int, target: str, key: str, order: list[str]) -> None:
+    """Write the first row of each key that no other batch has written, into the batch's own folder."""
+    rows = first_wins(batch, key, order)
+    if _exists(batch.sparkSession, target):
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
+        known = batch.sparkSession.read.schema(schema).parquet(target).where(F.col("batch_id") != batch_id)
+        rows = rows.join(known.select(key).distinct(), key, "left_anti").select(*batch.columns)
+    rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+
+def _exists(spark: SparkSession, target: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _sink(spark: SparkSession, target: str) -> DataFrame | None:
+    if not _exists(spark, target):
         return None
     schema = T.StructType([
         T.StructField(vocab.URL, T.StringType()),
@@ -64,17 +87,18 @@ def _sink(spark: SparkSession, target: str) -> DataFrame | None:
 
 def extract_pending(
     batch: DataFrame, batch_id: int, target: str, terms: list[str],
-    extractor: Extractor | None = None, batch_size: int = 6,
+    extractor: Extractor | None = None, batch_size: int = 6, order: list[str] | None = None,
 ) -> None:
     """Extract the listings whose URL is not in the sink yet, one output folder per batch.
 
-    The folder is overwritten, and its own earlier content is not counted as seen, so a batch that
-    is run again writes the same rows.
+    Of several listings of a URL the first in `order` is read; without `order` the texts decide, not
+    time. The folder is overwritten, and its own earlier content is not counted as seen, so a batch
+    that is run again writes the same rows.
     """
     spark = batch.sparkSession
-    todo = batch.where(F.col(vocab.URL).isNotNull()).groupBy(vocab.URL).agg(
-        F.min(vocab.DESCRIPTION).alias(vocab.DESCRIPTION)
-    )
+    text = F.col(vocab.DESCRIPTION)
+    first = F.min_by(text, F.struct(*order)) if order else F.min(text)
+    todo = batch.where(F.col(vocab.URL).isNotNull()).groupBy(vocab.URL).agg(first.alias(vocab.DESCRIPTION))
     done = _sink(spark, target)
     if done is not None:
         seen = done.where(F.col("batch_id") != batch_id).select(vocab.URL).distinct()
@@ -85,12 +109,12 @@ def extract_pending(
 
 def extract_stream(
     stream: DataFrame, target: str, checkpoint: str, terms: list[str],
-    extractor: Extractor | None = None, batch_size: int = 6, once: bool = True,
+    extractor: Extractor | None = None, batch_size: int = 6, once: bool = True, order: list[str] | None = None,
 ) -> StreamingQuery:
     """Resumable extraction: each micro-batch handles only URLs without a stored extraction."""
     writer = (
-        stream.select(vocab.URL, vocab.DESCRIPTION).writeStream
-        .foreachBatch(lambda df, i: extract_pending(df, i, target, terms, extractor, batch_size))
+        stream.select(vocab.URL, vocab.DESCRIPTION, *(order or [])).writeStream
+        .foreachBatch(lambda df, i: extract_pending(df, i, target, terms, extractor, batch_size, order))
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -48,18 +48,6 @@ def test_row_numbers_slices_and_batches(spark):
     assert [tuple(r) for r in got] == [(i // 6, i % 6) for i in range(101)]
 
 
-def test_skew_join_keeps_every_row(spark):
-    left = spark.range(3000).select(
-        F.when(F.col("id") < 1000, F.lit("hot")).when(F.col("id") < 1500, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"),
-        "id",
-    )
-    right = spark.createDataFrame([("hot", 1), ("1600", 2), ("none", 3)], "k string, v int")
-    for how in ("left", "inner"):
-        got = joins.skew_join(left, right, ["k"], how, rows_per_task=50).select("id", "k", "v")
-        want = left.join(right, "k", how).select("id", "k", "v")
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-
-
 def test_first_wins_is_idempotent(spark):
     rows = [("a", 0, 1, "x"), ("a", 1, 0, "y"), (None, 0, 2, "z"), ("", 0, 3, "w"), ("b", 1, 5, "p"), ("b", 1, 4, "q")]
     df = spark.createDataFrame(rows, "url string, prio int, seq int, v string")
@@ -198,3 +186,23 @@ def test_build_master_guards_numeric_columns(spark):
     rows = {r.url_anuncio: r for r in master.collect()}
     assert (rows["u1"].suites, rows["u1"].piscina, rows["u1"].academia, rows["u1"].comodidade_suites) == ("2", True, True, True)
     assert (rows["u2"].suites, rows["u2"].piscina, rows["u2"].comodidade_suites) == ("1", False, False)
+
+
+def test_the_last_extraction_of_a_url_counts(spark):
+    listings = spark.createDataFrame([("u",)], "url_anuncio string")
+    records = spark.createDataFrame([("u", 1, False), ("u", 2, True), ("u", 3, False)], "url_anuncio string, seq int, k boolean")
+    made = records.withColumn("extraction", extraction.default_record(["k"]).withField("flags", F.create_map(F.lit("k"), F.col("k"))))
+    got = extraction.with_extractions(listings, made.where("seq < 3"), ["k"], ["seq"]).first()
+    assert got.extraction.flags["k"] is True
+    assert extraction.with_extractions(listings, made, ["k"], ["seq"]).first().extraction.flags["k"] is False
+
+
+def test_exact_crawl_plan_counts_its_own_links(spark):
+    urls = "".join(f"<loc>https://x.example/city/casa-venda-{i}</loc>" for i in range(40))
+    maps = spark.createDataFrame([(urls,)], "xml string")
+    seen = spark.createDataFrame([], "url string")
+    for shard in range(3):
+        for exact in (True, False):
+            links, counts = pipelines.plan_crawl(maps, seen, "xml", "city", "casa", shards=3, shard=shard, exact=exact)
+            assert links.count() == counts.first().pending_here
+    assert pipelines.plan_crawl(maps, seen, "xml", "city", "casa", first=5)[0].count() == 5
