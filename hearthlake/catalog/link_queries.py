@@ -257,7 +257,8 @@ def shard_slice(spark, sf_dir):
     return ranks.exact_slice(joins.pending(links, [seen]), ["url"], 1, 3)
 
 
-@query("hash_shards")
+@query("hash_shards", f"""WITH {SEEN_SQL} SELECT DISTINCT url, ('0x' || substr(md5(url), 1, 8))::UBIGINT::BIGINT % 3 AS shard
+  FROM links WHERE url NOT IN (SELECT url FROM seen)""")
 def hash_shards(spark, sf_dir):
     links, seen = _links(spark, sf_dir)
     return joins.pending(links, [seen]).withColumn("shard", ranks.hash_shard("url", 3))

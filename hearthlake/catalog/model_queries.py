@@ -47,15 +47,22 @@ def exact_group_split(spark, sf_dir):
 
 
 @query("balanced_fold_loads", f"""WITH {GROUPS_CTE}, s AS (SELECT g, count(*) AS size FROM grouped GROUP BY g)
-  SELECT sum(size)::BIGINT AS n_rows, count(*) AS n_groups FROM s""")
+  SELECT sum(size)::BIGINT AS n_rows, count(*) AS n_groups, 5::BIGINT AS folds, true AS balanced FROM s""")
 def balanced_fold_loads(spark, sf_dir):
-    folds = splitting.balanced_folds(grouped(spark, sf_dir), "g")
-    return folds.where(F.col("fold").isNotNull()).agg(F.sum("size").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
+    """`balanced`: the fullest and the emptiest fold differ by one group's size at most."""
+    folds = splitting.balanced_folds(grouped(spark, sf_dir), "g").where(F.col("fold").isNotNull())
+    loads = folds.groupBy("fold").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("groups"), F.max("size").alias("largest"))
+    return loads.agg(
+        F.sum("load").alias("n_rows"), F.sum("groups").alias("n_groups"), F.count(F.lit(1)).alias("folds"),
+        (F.max("load") - F.min("load") <= F.max("largest")).alias("balanced"),
+    )
 
 
-@query("balanced_folds")
+@query("balanced_folds", f"""WITH {GROUPS_CTE} SELECT g, count(*) AS size, true AS placed FROM grouped GROUP BY g""")
 def balanced_folds(spark, sf_dir):
-    return splitting.balanced_folds(grouped(spark, sf_dir), "g")
+    """Every group once, in one of the folds; `balanced_fold_loads` compares the loads."""
+    folds = splitting.balanced_folds(grouped(spark, sf_dir), "g")
+    return folds.select("g", "size", F.col("fold").between(0, 4).alias("placed"))
 
 
 SIGNED_CTE = f"signed AS (SELECT *, {_signature_sql()} AS g FROM units WHERE preco_venda > 0)"
@@ -195,6 +202,31 @@ def ridge_fit(spark, sf_dir):
     return scoring.regression_metrics(fitted.transform(frame.where("is_test")))
 
 
+@query("ridge_facts", f"""{WITH_UNITS}, {SIGNED_CTE}, f AS (SELECT g, {HASH} < {TEST_LIMIT} AS t FROM signed)
+  SELECT count(*) FILTER (WHERE NOT t) AS train_rows, count(*) FILTER (WHERE t) AS test_rows, true AS solved, true AS beats_baseline FROM f""")
+def ridge_facts(spark, sf_dir):
+    """What must hold of a ridge fit: X'r = alpha * w on the training rows, and a lower error than the median's."""
+    frame, numeric, flags = _frame(spark, sf_dir)
+    train, test = frame.where(~F.col("is_test")), frame.where("is_test")
+    prepared = preparation.Preparation(numeric=numeric, flags=flags).fit(train)
+    vectors, held = prepared.transform(train), prepared.transform(test)
+    fitted = estimators.Ridge(alpha=1.0).fit(vectors)
+    rest = fitted.transform(vectors).select((F.col("label") - F.col("prediction")).alias("r"), vector_to_array("features").alias("x"))
+    cross = rest.select("r", F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("r")).alias("xr"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(fitted.coefficients)], "i int, w double")
+    solved = cross.join(weights, "i").agg(F.max(F.abs(F.col("xr") - F.col("w")) / (F.col("norm") + 1)).alias("gap"))
+    median = estimators.MedianBaseline().fit(train)
+    errors = median.transform(fitted.transform(held).withColumnRenamed("prediction", "ridge")).agg(
+        F.count(F.lit(1)).alias("test_rows"), F.avg(F.abs(F.col("label") - F.col("ridge"))).alias("ridge"),
+        F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("baseline"),
+    )
+    a, b = solved.first(), errors.first()
+    return spark.createDataFrame(
+        [(train.count(), b.test_rows, a.gap < 1e-3, b.ridge < b.baseline)],
+        "train_rows bigint, test_rows bigint, solved boolean, beats_baseline boolean",
+    )
+
+
 @query("gbt_fit")
 def gbt_fit(spark, sf_dir):
     """Ten rounds: the default is a hundred, see BOOSTING_DEFAULT."""

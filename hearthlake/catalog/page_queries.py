@@ -70,6 +70,14 @@ def plan_crawl(spark, sf_dir):
     return pipelines.plan_crawl(maps, seen, "xml", "nation-1", "apartamento")[0]
 
 
+@query("plan_crawl_first", f"""WITH {MAPS_CTE} SELECT DISTINCT url FROM links WHERE contains(lower(url), 'nation-1') AND contains(lower(url), 'apartamento')
+   AND contains(lower(url), 'venda') AND NOT contains(lower(url), 'aluguel') AND NOT contains(lower(url), 'locacao') ORDER BY url LIMIT 7""")
+def plan_crawl_first(spark, sf_dir):
+    """The user's own limit: the first links in URL order."""
+    none = spark.createDataFrame([], "url string")
+    return pipelines.plan_crawl(sitemaps(spark, sf_dir), none, "xml", "nation-1", "apartamento", first=7)[0]
+
+
 # --- pages -------------------------------------------------------------------------------------
 
 VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g')"

@@ -26,6 +26,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import the modules that register queries."""
     from hearthlake.catalog import (  # noqa: F401
-        amenity_queries, link_queries, model_queries, page_queries, report_queries, stat_queries,
-        text_queries,
+        amenity_queries, link_queries, model_queries, page_queries, report_queries, source_queries,
+        stat_queries, text_queries,
     )

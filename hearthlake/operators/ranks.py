@@ -257,8 +257,10 @@ def exact_slice(df: DataFrame, order: list[str], shard: int, shards: int) -> Dat
 
 
 def hash_shard(key: Column | str, shards: int) -> Column:
-    """Shard number from the key alone: no sort, no shuffle."""
-    return F.pmod(F.xxhash64(key), F.lit(shards))
+    """Shard number from the md5 of the key alone: no sort, no shuffle, and the same in every engine."""
+    key = F.col(key) if isinstance(key, str) else key
+    digest = F.substring(F.md5(key.cast("string").cast("binary")), 1, 8)
+    return F.pmod(F.conv(digest, 16, 10).cast("bigint"), F.lit(shards))
 
 
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
