@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthlake.session import ensure_checkpoint_dir
 
+#: Arrow batches between Spark and Python: 8 MB unless the session sets another size than Spark's default.
+BATCH_SETTING, BATCH_BYTES, UNSET_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", {"67108864b", "64m", "64MB"}
 #: Bytes of text that a Python stage works on at once; one longer text makes a piece of its own.
 PIECE_BYTES = 2_000_000
 
@@ -78,6 +80,9 @@ def with_python(
     added = T.StructType.fromDDL(new)
     names = {n.lower() for n in added.names}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
+    session = df.sparkSession
+    if session.conf.get(BATCH_SETTING) in UNSET_BATCH:
+        session.conf.set(BATCH_SETTING, BATCH_BYTES)
     given = "_source"
     while given in {f.name.lower() for f in kept}:
         given += "_"

@@ -28,6 +28,8 @@ SKETCH = 2048
 #: bands miss. Pairs below 0.7 rarely pass.
 MAX_DIFFERENT_BITS = 266
 
+#: Components and shingles that a worker keeps in one matrix of signatures.
+SIGNATURE_CELLS = 1 << 18
 #: A character that is neither ASCII white space nor punctuation.
 SOME_WORD = r"[^\x20\x09-\x0D!-/:-@\[-`{-~]"
 
@@ -130,6 +132,17 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     return values.view(np.int64)
 
 
+def by_parts(bags: list[tuple[np.ndarray, np.ndarray]], m: int, reduce) -> np.ndarray:
+    """`reduce(signatures)` of all documents, some at a time, so that no matrix grows with the batch."""
+    out, start, size = [], 0, 0
+    for i, (hashes, _) in enumerate(bags):
+        size += m + len(hashes)
+        if size >= SIGNATURE_CELLS or i == len(bags) - 1:
+            out.append(reduce(signatures(bags[start : i + 1], m)))
+            start, size = i + 1, 0
+    return np.concatenate(out)
+
+
 def bands_of(signature: np.ndarray) -> np.ndarray:
     """One 64-bit bucket id per band of ROWS components, the band's number included."""
     part = signature.view(np.uint64).reshape(len(signature), BANDS, ROWS)
@@ -153,7 +166,7 @@ def signed(docs: DataFrame, text: str, keep: list[str], size: int = SHINGLE) ->
             ws = words(t)
             keys.append(key_of(ws) if ws else None)
             bags.append(shingles(ws, hashes, size))
-        bands = bands_of(signatures(bags, ROWS * BANDS))
+        bands = by_parts(bags, ROWS * BANDS, bands_of)
         return {"key": keys, "bands": [b if k else None for k, b in zip(keys, bands, strict=True)]}
 
     return with_python(docs, text, "key binary, bands array<bigint>", work, keep)
@@ -168,7 +181,7 @@ def shingle_sets(docs: DataFrame, text: str, size: int = SHINGLE) -> DataFrame:
             keys.append(key_of(ws) if ws else None)
             bags.append(shingles(ws, hashes, size))
         return {
-            "key": keys, "bag": [elements(*b).view(np.int64) for b in bags], "sketch": list(sketch_of(signatures(bags, SKETCH)))
+            "key": keys, "bag": [elements(*b).view(np.int64) for b in bags], "sketch": list(by_parts(bags, SKETCH, sketch_of))
         }
 
     return with_python(docs, text, "key binary, bag array<bigint>, sketch array<bigint>", work, [])
