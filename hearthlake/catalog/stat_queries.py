@@ -82,24 +82,33 @@ def redundant_pairs(spark, sf_dir):
     return correlation.redundant_pairs(pairs).withColumn("correlacao", F.round("correlacao", 6))
 
 
-@query("select_features")
-def select_features(spark, sf_dir):
-    matrix = units(spark, sf_dir).drop("order_id", "place", "status")
-    return pipelines.select_features(matrix).selected
-
-
-STRENGTHS = " UNION ALL ".join(
-    f"SELECT '{f}' AS f, {i} AS pos, abs({_spearman_sql(f, 'preco_venda', 'priced')}) AS forca" for i, f in enumerate(NUMERIC)
-)
+def _strengths_sql(features: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS f, {i} AS pos, abs({_spearman_sql(f, 'preco_venda', 'priced')}) AS forca" for i, f in enumerate(features)
+    )
 
 
-@query("pruning_decisions", f"""WITH RECURSIVE {UNITS_CTE}, {PRICED}, pairs AS ({_matrix_sql('spearman', NUMERIC, 'priced')}), s AS ({STRENGTHS}),
+def _walk_sql(features: list[str]) -> str:
+    """The greedy walk over redundant pairs: each drops its weaker feature unless one of the two is gone."""
+    return f"""pairs AS ({_matrix_sql('spearman', features, 'priced')}), s AS ({_strengths_sql(features)}),
   ordered AS (SELECT CASE WHEN a.forca < b.forca THEN feature_b ELSE feature_a END AS keep, CASE WHEN a.forca < b.forca THEN feature_a ELSE feature_b END AS lose,
       abs(r) AS c, greatest(a.forca, b.forca) AS fk, least(a.forca, b.forca) AS fl, row_number() OVER (ORDER BY abs(r) DESC, a.pos, b.pos) AS i
     FROM pairs JOIN s a ON a.f = feature_a JOIN s b ON b.f = feature_b WHERE abs(r) >= 0.85),
   walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone, false AS hit UNION ALL
     SELECT o.i, CASE WHEN list_contains(gone, keep) OR list_contains(gone, lose) THEN gone ELSE list_append(gone, lose) END,
-      NOT (list_contains(gone, keep) OR list_contains(gone, lose)) FROM walk w JOIN ordered o ON o.i = w.i + 1)
+      NOT (list_contains(gone, keep) OR list_contains(gone, lose)) FROM walk w JOIN ordered o ON o.i = w.i + 1)"""
+
+
+@query("select_features", f"""WITH RECURSIVE {UNITS_CTE}, {PRICED}, {_walk_sql(FEATURES)}, ranking AS ({_ranking_sql()})
+  SELECT * FROM ranking WHERE NOT list_contains((SELECT gone FROM walk ORDER BY i DESC LIMIT 1), feature)""")
+def select_features(spark, sf_dir):
+    matrix = units(spark, sf_dir).drop("order_id", "place", "status")
+    selected = pipelines.select_features(matrix).selected
+    digits = {c: F.round(c, 9 if c == "cobertura" else 6) for c in selected.columns if c != "feature"}
+    return selected.withColumns(digits)
+
+
+@query("pruning_decisions", f"""WITH RECURSIVE {UNITS_CTE}, {PRICED}, {_walk_sql(NUMERIC)}
   SELECT keep AS mantida, lose AS descartada, c AS correlacao_entre_elas, round(fk, 6) AS forca_mantida, round(fl, 6) AS forca_descartada
   FROM walk JOIN ordered USING (i) WHERE hit""")
 def pruning_decisions(spark, sf_dir):
