@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from hearthlake import vocab
 from hearthlake.functions import numbers as N
 from hearthlake.functions import text as X
-from hearthlake.models.estimators import MedianBaseline, Ridge, boosting
+from hearthlake.models.estimators import MedianBaseline, Ridge, boosting, with_early_stop
 from hearthlake.models.preparation import Preparation, column_roles, modelling_frame
 from hearthlake.models.scoring import cross_validate, regression_metrics
 from hearthlake.models.search import default_score, search
@@ -291,13 +291,13 @@ def select_features(matrix: DataFrame) -> Selection:
 
 # --- Models ------------------------------------------------------------------------------------
 
-def regressors(models: list[str], boosting_params: dict | None = None) -> dict:
-    """The named regressors in their default or tuned settings."""
+def regressors(models: list[str], boosting_params: dict | None = None, stop_on: str | None = None) -> dict:
+    """The named regressors in their default or tuned settings; `stop_on` ends boosting early."""
     make = {
         "baseline_mediana": lambda: MedianBaseline(),
         "ridge": lambda: Ridge(alpha=1.0),
-        "gradient_boosting": lambda: boosting(**(boosting_params or vocab.BOOSTING_DEFAULT)),
-        "gradient_boosting_ajustado": lambda: boosting(**(boosting_params or vocab.BOOSTING_TUNED)),
+        "gradient_boosting": lambda: boosting(**(boosting_params or vocab.BOOSTING_DEFAULT), stop_on=stop_on),
+        "gradient_boosting_ajustado": lambda: boosting(**(boosting_params or vocab.BOOSTING_TUNED), stop_on=stop_on),
     }
     return {name: make[name]() for name in models}
 
@@ -305,14 +305,18 @@ def regressors(models: list[str], boosting_params: dict | None = None) -> dict:
 def train_models(
     matrix: DataFrame, models: list[str], folds: int = vocab.FOLDS, boosting_params: dict | None = None
 ) -> DataFrame:
-    """One row per model: grouped CV score on the training side, metrics on the held-out groups."""
+    """One row per model: grouped CV score on the training side, metrics on the held-out groups.
+
+    Boosting stops early on more than EARLY_STOP_ABOVE training rows, on groups of its own.
+    """
     frame, features = modelling_frame(matrix, folds=folds)
     frame = cut_lineage(frame)
     require_no_leak(frame, "group_key")
-    train, test = frame.where(~F.col("is_test")), frame.where("is_test")
+    train, stop_on = with_early_stop(frame.where(~F.col("is_test")))
+    test = frame.where("is_test")
     numeric, flags = column_roles(features)
     prepare = Preparation(numeric=numeric, flags=flags)
-    chosen = regressors(models, boosting_params)
+    chosen = regressors(models, boosting_params, stop_on)
     scores = cross_validate(train, prepare, chosen, folds)
     prepared = prepare.fit(train)
     vectors, held = prepared.transform(train), prepared.transform(test)

@@ -300,6 +300,8 @@ SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 5
 RIDGE_ALPHAS = [0.1, 1.0, 10.0, 100.0, 1000.0]
+#: Boosting stops early on training sets of more rows.
+EARLY_STOP_ABOVE = 10_000
 BOOSTING_GRID = {
     "learning_rate": [0.05, 0.1],
     "max_iter": [500],
