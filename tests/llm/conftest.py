@@ -6,15 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-ENGLISH = "the of and to in is was for that with on as by it from are this be at or an have not which their has".split()
-FRENCH = "le la les des est une dans que qui pour avec sur par plus ce pas ne sont au du et il elle nous vous".split()
-ENDINGS = {"en": ["tion", "ing", "ness", "ly", "ed", "ble"], "fr": ["ement", "eau", "eux", "ière", "oir", "ée"]}
-
-
-def prose(rng, lang, n):
-    common = ENGLISH if lang == "en" else FRENCH
-    stems = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(2)) for _ in range(n)]
-    return " ".join(rng.choice(common) if rng.random() < 0.45 else s + rng.choice(ENDINGS[lang]) for s in stems)
+from brute import prose  # noqa: E402
 
 
 @pytest.fixture(scope="session")

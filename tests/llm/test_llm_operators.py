@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import prose
+from brute import prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
