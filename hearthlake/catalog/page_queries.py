@@ -241,9 +241,22 @@ def response_terms(spark, sf_dir):
 
 @query("discover_terms", f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array({D.plain('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t
     FROM documents WHERE len({D.strip('text')}) >= 10)
-  SELECT term, count(*) AS cnt FROM (SELECT DISTINCT doc_id, unnest(list_filter(t, lambda x: len(x) > 2)) AS term FROM w) GROUP BY 1""")
+  SELECT term, count(*) AS cnt FROM (SELECT DISTINCT doc_id, unnest(list_concat(list_filter(t, lambda x: len(x) > 2),
+      [t[i] || '_' || t[i + 1] FOR i IN range(1, len(t))])) AS term FROM w) GROUP BY 1""")
 def discover_terms(spark, sf_dir):
-    return extraction.discover_terms(spread_table(spark, sf_dir, "documents"), "text", words=1)
+    return extraction.discover_terms(spread_table(spark, sf_dir, "documents"), "text")
+
+
+@query("resume_extractions", f"""WITH d AS (SELECT doc_id::VARCHAR AS url_anuncio, doc_id % 2 = 0 AS done,
+    len({D.strip('text')}) >= 10 AND contains({D.plain('text')}, 'the and') AS the_and FROM documents)
+  SELECT url_anuncio, the_and FROM d WHERE done UNION ALL
+  SELECT url_anuncio, the_and FROM (SELECT * FROM d WHERE NOT done ORDER BY url_anuncio LIMIT 50)""")
+def resume_extractions(spark, sf_dir):
+    """Half of the texts are stored already; the job adds the first fifty of the rest."""
+    docs = spread_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(vocab.URL), F.col("text").alias(vocab.DESCRIPTION), "doc_id")
+    stored = extraction.extract_attributes(docs.where("doc_id % 2 = 0").drop("doc_id"), ["the and"])
+    out = pipelines.extraction_job(docs.drop("doc_id"), stored, ["the and"], first=50)
+    return out.select(vocab.URL, F.col("extraction.flags")["the_and"].alias("the_and"))
 
 
 @query("extract_attributes", f"""{WITH_LISTINGS} SELECT url_anuncio, usable AND contains(p, 'elevador') AS elevador,

@@ -34,11 +34,11 @@ def median_price_m2(spark, sf_dir):
     return reports.place_table(medians, "Cidade").select("name", "avg_price_m2_sale")
 
 
-@query("property_rows", f"""{WITH_LISTINGS}, {PROPERTY_CTE} SELECT * FROM props""")
+@query("property_rows", f"""{WITH_LISTINGS}, {PROPERTY_CTE} SELECT *, 'Apartment' AS subtype, 'sale' AS transaction, NULL::BIGINT AS price_rent,
+  NULL::DOUBLE AS iptu_year, NULL::DOUBLE AS condo_fee, NULL::BOOLEAN AS accepts_financing, NULL::INT AS year_built, NULL::INT AS floor,
+  NULL::VARCHAR AS condominium, NULL::VARCHAR AS builder, NULL::INT AS built_year FROM props""")
 def property_rows(spark, sf_dir):
-    return properties(spark, sf_dir).select(
-        "id", "title", "price_sale", "area_m2", "bedrooms", "bathrooms", "parking_spots", *vocab.KEYWORD_FLAGS, "neighborhood"
-    )
+    return properties(spark, sf_dir)
 
 
 @query("property_totals", f"""{WITH_LISTINGS}, {PROPERTY_CTE} SELECT count(*) AS properties, count(*) FILTER (WHERE pets_allowed) AS pets_allowed,
@@ -101,6 +101,17 @@ def merge_parts(spark, sf_dir):
     return pipelines.merge_parts(parts, ["source_file", "row_seq"])[1]
 
 
+@query("merge_parts_rows", """SELECT o_custkey::VARCHAR AS url_anuncio, arg_min(o_orderpriority, (o_orderpriority, o_orderkey)) AS source,
+  arg_min(o_totalprice, (o_orderpriority, o_orderkey)) AS o_totalprice FROM orders GROUP BY o_custkey""")
+def merge_parts_rows(spark, sf_dir):
+    """The merged rows themselves: the first row of each URL in file and row order."""
+    parts = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias(vocab.URL), F.col("o_orderpriority").alias("source_file"),
+        F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("row_seq"), "o_totalprice",
+    )
+    return pipelines.merge_parts(parts, ["source_file", "row_seq"])[0]
+
+
 def _num(c):
     lo, hi = vocab.PLAUSIBLE_RANGES[c]
     src = {

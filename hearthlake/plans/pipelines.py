@@ -154,6 +154,22 @@ def pending_extractions(listings: DataFrame, extractions: DataFrame | None) -> D
     return listings.where(F.col(vocab.URL).isNotNull()).join(seen, vocab.URL, "left_anti")
 
 
+def extraction_job(
+    listings: DataFrame, stored: DataFrame | None, terms: list[str], extractor: extraction.Extractor | None = None,
+    reset: bool = False, first: int | None = None,
+) -> DataFrame:
+    """Stored extractions plus those of listings without one, for the caller to write.
+
+    `reset` starts over; `first` takes that many pending listings in URL order, by default all.
+    """
+    known = None if reset else stored
+    todo = pending_extractions(listings, known)
+    if first is not None:
+        todo = todo.orderBy(vocab.URL).limit(first)
+    found = extraction.extract_attributes(todo, terms, extractor)
+    return found if known is None else known.unionByName(found)
+
+
 # --- Cross-portal deduplication ----------------------------------------------------------------
 
 @dataclass
