@@ -9,7 +9,7 @@ from hearthlake.catalog import duck as D
 from hearthlake.catalog.amenity_queries import TOKENS_CTE, VOCAB_CTE, _flag_sql
 from hearthlake.catalog.fixtures import LISTINGS_CTE, UNITS_CTE, listings, table, units
 from hearthlake.catalog.registry import query
-from hearthlake.operators import diagnostics, filters, linkage, reports
+from hearthlake.operators import diagnostics, filters, legacy, linkage, reports
 from hearthlake.plans import pipelines
 
 WITH_LISTINGS = D.with_ctes(LISTINGS_CTE)
@@ -171,6 +171,32 @@ def cities(spark, sf_dir):
     return out.cities.withColumn("listings", out.properties.agg(F.count(F.lit(1))).scalar())
 
 
+@query("legacy_card_records", """SELECT p_retailprice AS preco, -1.0::DOUBLE AS preco_condominio, p_size::DOUBLE AS preco_iptu, p_name AS titulo,
+  p_size::BIGINT AS tamanho, CASE WHEN p_size > 20 THEN 3 ELSE -1 END::BIGINT AS quartos, -1::BIGINT AS banheiros, p_size::BIGINT AS suites, 2::BIGINT AS garagens,
+  contains(lower(p_type), 'elevador') AS elevador, true AS piscina, false AS academia, true AS portaria_24h, p_size > 20 AS varanda, false AS quadra,
+  p_brand AS endereco_completo, 'Bessa' AS bairro, 'Rua ' || p_brand AS rua, p_size::BIGINT AS numero, 'i.png' AS url_imagem, 'u' || p_partkey AS url_anuncio,
+  'casa' AS tipo_imovel, year(current_date)::BIGINT AS ano_scraping, month(current_date)::BIGINT AS mes_scraping, 25::BIGINT AS fields FROM part""")
+def legacy_card_records(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    big = F.col("p_size") > 20
+    cards = part.select(
+        F.concat(F.lit("R$ "), F.replace(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(","))).alias("preco"),
+        F.lit(None).cast("string").alias("condominio"), F.concat(F.lit("R$ "), size).alias("iptu"), F.col("p_name").alias("titulo"),
+        F.concat(F.lit("Rua "), "p_brand", F.lit(", "), size).alias("rua"), F.lit("Bessa, João Pessoa").alias("bairro"),
+        F.array(F.concat(size, F.lit(" m² área útil")), F.when(big, "3 quartos").otherwise("0 quartos"), F.lit("2 garagens")).alias("rotulos"),
+        F.lit("i.png").alias("imagem"), F.concat(F.lit("Endereço indisponível "), "p_brand").alias("endereco"),
+        F.create_map(F.lit("Suites"), F.concat(size, F.lit(" suítes"))).alias("caracteristicas"),
+        F.create_map(
+            F.lit("area_comum"), F.concat(F.lit("Piscina, Portaria 24h, "), "p_type"),
+            F.lit("area_privativa"), F.when(big, "Varanda").otherwise("Spa"),
+        ).alias("secoes"),
+        F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url_anuncio"),
+    )
+    out = legacy.card_records(cards, "casa")
+    return out.drop("detalhes_completos_json").withColumn("fields", F.lit(len(out.columns)).cast("bigint"))
+
+
 @query("legacy_records", """SELECT p_partkey, CASE WHEN p_size > 20 THEN p_size ELSE -1 END AS quartos, p_retailprice AS preco,
   'casa' AS tipo_imovel, year(current_date)::BIGINT AS ano_scraping, month(current_date)::BIGINT AS mes_scraping FROM part""")
 def legacy_records(spark, sf_dir):
