@@ -21,7 +21,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, 0.9999 at 0.85.
 ROWS, BANDS = 6, 24
-#: Components of the longer signature of texts with candidates, of which one mixed bit each is kept.
+#: Components of the longer signature of texts that hubs leave apart, of which one mixed bit each is kept.
 SKETCH = 2048
 #: Pairs whose sketches differ in more bits are left out. A pair at 0.8 differs in 205 of 2048 bits on average,
 #: with a standard deviation of 13.6; 266 bits are 4.5 of them away, which loses under a hundredth of what the
@@ -173,18 +173,25 @@ def signed(docs: DataFrame, text: str, keep: list[str], size: int = SHINGLE) ->
 
 
 def shingle_sets(docs: DataFrame, text: str, size: int = SHINGLE) -> DataFrame:
-    """(key, bag, sketch): the elements of each row's shingle multiset, and the bits of its longer signature."""
+    """(key, bag): the elements of each row's shingle multiset."""
     def work(texts: list) -> dict:
         hashes, keys, bags = WordHashes(), [], []
         for t in texts:
             ws = words(t)
             keys.append(key_of(ws) if ws else None)
             bags.append(shingles(ws, hashes, size))
-        return {
-            "key": keys, "bag": [elements(*b).view(np.int64) for b in bags], "sketch": list(by_parts(bags, SKETCH, sketch_of))
-        }
+        return {"key": keys, "bag": [elements(*b).view(np.int64) for b in bags]}
 
-    return with_python(docs, text, "key binary, bag array<bigint>, sketch array<bigint>", work, [])
+    return with_python(docs, text, "key binary, bag array<bigint>", work, [])
+
+
+def sketches(bags: DataFrame) -> DataFrame:
+    """(key, sketch): the bits of a longer signature, taken over the elements of the multiset."""
+    def work(rows: list) -> dict:
+        sets = [np.sort(np.array(r, np.int64).view(np.uint64)) for r in rows]
+        return {"sketch": list(by_parts([(s, np.ones(len(s), np.int64)) for s in sets], SKETCH, sketch_of))}
+
+    return with_python(bags, "bag", "sketch array<bigint>", work, ["key"])
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -240,7 +247,7 @@ def links(nodes: DataFrame, texts: DataFrame, text: str, threshold: float, size:
     members = checkpointed(live.join(hubs, "bucket").select("bucket", "key", "hub"))
     wanted = fame.join(nodes.select("key", "first"), "key").select("key", F.col("first").alias("_id"))
     same = texts.join(wanted.select("_id").distinct(), texts["_doc"].eqNullSafe(F.col("_id")), "left_semi")
-    found = shingle_sets(same, text, size).groupBy("key").agg(F.any_value("bag").alias("bag"), F.any_value("sketch").alias("sketch"))
+    found = shingle_sets(same, text, size).groupBy("key").agg(F.any_value("bag").alias("bag"))
     bags = checkpointed(found.join(wanted, "key", "left_semi"))
     to_hub = checkpointed(verified(members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), bags))
     close = F.col("similarity") >= threshold
@@ -257,7 +264,9 @@ def links(nodes: DataFrame, texts: DataFrame, text: str, threshold: float, size:
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.max(F.when(F.col("is_hub"), F.col("component"))).alias("main"),
     ).where("low <> high").select("bucket", "main")
-    apart = checkpointed(placed.join(mixed_buckets, "bucket").where(~F.col("is_hub")).join(bags.select("key", "sketch"), "key"))
+    left_apart = checkpointed(placed.join(mixed_buckets, "bucket").where(~F.col("is_hub")))
+    drawn = sketches(bags.join(left_apart.select("key").distinct(), "key", "left_semi"))
+    apart = checkpointed(left_apart.join(drawn, "key"))
     x = apart.where(F.col("component") != F.col("main")).alias("x")
     y = apart.alias("y")
     bits = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
