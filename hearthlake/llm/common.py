@@ -29,6 +29,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compacted(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpoint read in partitions of about `rows` rows, as many as the cluster's cores at least.
+
+    Many passes over a small frame then cost few tasks and shuffle files; a large one keeps its partitions.
+    """
+    kept = checkpointed(df)
+    return kept.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // rows)))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate files wherever Spark can write."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

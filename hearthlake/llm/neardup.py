@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import checkpointed, with_python
+from hearthlake.llm.common import checkpointed, compacted, with_python
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -28,6 +28,8 @@ SKETCH = 2048
 #: bands miss. Pairs below 0.7 rarely pass.
 MAX_DIFFERENT_BITS = 266
 
+#: Rows of keys, and rows with a shingle set or bands, that one task reads from a checkpoint.
+ROWS_PER_TASK, TEXTS_PER_TASK = 1_000_000, 20_000
 #: Components and shingles that a worker keeps in one matrix of signatures.
 SIGNATURE_CELLS = 1 << 18
 #: A character that is neither ASCII white space nor punctuation.
@@ -216,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour known, by grouped minima with map-side combine and a join, so no neighbourhood is ever
     collected. Every round is checkpointed.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = compacted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), ROWS_PER_TASK)
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -224,7 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.where("u <> v").distinct())
+        now = compacted(small.where("u <> v").distinct(), ROWS_PER_TASK)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
@@ -238,18 +240,18 @@ def links(nodes: DataFrame, texts: DataFrame, text: str, threshold: float, size:
     """Verified links (a, b, similarity) between the keys of `nodes` (key, bands, first)."""
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = checkpointed(rows.join(sizes, "bucket"))
+    live = compacted(rows.join(sizes, "bucket"), ROWS_PER_TASK)
     # the hub of a bucket is the member that meets most others over all bands: in a group, its least edited text
     fame = live.groupBy("key").agg(F.sum("n").alias("fame"))
     hubs = live.join(fame, "key").groupBy("bucket").agg(F.max(F.struct("fame", "key")).alias("best")).select(
         "bucket", F.col("best.key").alias("hub")
     )
-    members = checkpointed(live.join(hubs, "bucket").select("bucket", "key", "hub"))
+    members = compacted(live.join(hubs, "bucket").select("bucket", "key", "hub"), ROWS_PER_TASK)
     wanted = fame.join(nodes.select("key", "first"), "key").select("key", F.col("first").alias("_id"))
     same = texts.join(wanted.select("_id").distinct(), texts["_doc"].eqNullSafe(F.col("_id")), "left_semi")
     found = shingle_sets(same, text, size).groupBy("key").agg(F.any_value("bag").alias("bag"))
-    bags = checkpointed(found.join(wanted, "key", "left_semi"))
-    to_hub = checkpointed(verified(members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), bags))
+    bags = compacted(found.join(wanted, "key", "left_semi"), TEXTS_PER_TASK)
+    to_hub = compacted(verified(members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), bags), ROWS_PER_TASK)
     close = F.col("similarity") >= threshold
     groups = components(to_hub.where(close))
     # what the hubs leave apart: members of one bucket in different components
@@ -264,9 +266,9 @@ def links(nodes: DataFrame, texts: DataFrame, text: str, threshold: float, size:
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.max(F.when(F.col("is_hub"), F.col("component"))).alias("main"),
     ).where("low <> high").select("bucket", "main")
-    left_apart = checkpointed(placed.join(mixed_buckets, "bucket").where(~F.col("is_hub")))
+    left_apart = compacted(placed.join(mixed_buckets, "bucket").where(~F.col("is_hub")), ROWS_PER_TASK)
     drawn = sketches(bags.join(left_apart.select("key").distinct(), "key", "left_semi"))
-    apart = checkpointed(left_apart.join(drawn, "key"))
+    apart = compacted(left_apart.join(drawn, "key"), TEXTS_PER_TASK)
     x = apart.where(F.col("component") != F.col("main")).alias("x")
     y = apart.alias("y")
     bits = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
@@ -286,9 +288,9 @@ def classes(rows: DataFrame, text: str, threshold: float, size: int) -> tuple[Da
     `winner` marks the word sequence of a group that holds its smallest id; ties go to the smallest key.
     """
     done = checkpointed(signed(rows, text, ["_doc"], size))
-    nodes = checkpointed(done.where(F.col("key").isNotNull()).groupBy("key").agg(
+    nodes = compacted(done.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("_doc").alias("first"), F.any_value("bands").alias("bands")
-    ))
+    ), TEXTS_PER_TASK)
     near = components(links(nodes, rows, text, threshold, size))
     names = nodes.select("key", "first").join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
     order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("key"))
