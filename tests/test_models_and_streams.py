@@ -174,3 +174,20 @@ def test_stream_ingest_and_extract_resume(spark, tmp_path):
     incremental.extract_stream(stream(), out, mark2, ["piscina"], extraction.keyword_extractor).awaitTermination()
     rows = spark.read.parquet(out).select("url_anuncio", F.col("extraction.flags")["piscina"].alias("p")).collect()
     assert sorted(tuple(r) for r in rows) == [("a", True), ("b", False), ("c", False)]
+
+
+def test_a_saved_pipeline_scores_alike(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from hearthlake.models import estimators, preparation
+
+    rows = [(float(i), None if i % 4 == 0 else float(i % 7), i % 2, 2.0 + 0.1 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, f int, label double")
+    for last in (estimators.Ridge(alpha=1.0), estimators.MedianBaseline()):
+        fitted = Pipeline(stages=[preparation.Preparation(numeric=["a", "b"], flags=["f"]), last]).fit(df)
+        folder = str(tmp_path / type(last).__name__)
+        fitted.write().save(folder)
+        again = PipelineModel.load(folder)
+        assert again.stages[0].feature_names() == ["a", "b", "missing_b", "f"]
+        got, want = (m.transform(df).select("prediction").collect() for m in (again, fitted))
+        assert got == want
