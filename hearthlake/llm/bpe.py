@@ -19,8 +19,8 @@ from hearthlake.llm.common import with_python
 
 #: Characters that a text is read in. Longer texts go through in pieces of this length.
 BUFFER = 65_536
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 200_000
+#: Words whose ids a task remembers.
+CACHED_WORDS = 150_000
 #: Below this code point no character changes under NFC, and the character classes of all Unicode versions agree.
 PLAIN_BELOW = "ɐ"
 
@@ -280,7 +280,7 @@ class Decoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """A worker's own encoder: read once, with its word cache kept between batches."""
+    """A worker's own encoder: read once, with its word cache kept between batches of a task."""
     return Encoder(path)
 
 
@@ -303,7 +303,7 @@ def encode(
         encoder = _encoder(tokenizer)
         return {ids: [encoder.encode(t, buffer) for t in texts]}
 
-    return with_python(df, text, f"`{ids}` array<int>", work, keep)
+    return with_python(df, text, f"`{ids}` array<int>", work, keep, after=lambda: _encoder(tokenizer).words.clear())
 
 
 def decode(
@@ -327,4 +327,5 @@ def round_trip(
         rows = [encoder.encode(t) for t in texts]
         return {ids: rows, decoded: [decoder.text(row, step) for row in rows]}
 
-    return with_python(df, text, f"`{ids}` array<int>, `{decoded}` string", work, keep)
+    new = f"`{ids}` array<int>, `{decoded}` string"
+    return with_python(df, text, new, work, keep, after=lambda: _encoder(tokenizer).words.clear())

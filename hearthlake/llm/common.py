@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ from hearthlake.session import ensure_checkpoint_dir
 #: Arrow batches between Spark and Python: 8 MB unless the session sets another size than Spark's default.
 BATCH_SETTING, BATCH_BYTES, UNSET_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", {"67108864b", "64m", "64MB"}
 #: Bytes of text that a Python stage works on at once; one longer text makes a piece of its own.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,13 @@ def id_hash(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0).cast("bigint"))
 
 
+def give_back() -> None:
+    """Return what Arrow and the allocator hold without need to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(column: pa.Array, limit: int) -> Iterator[slice]:
     """Consecutive slices of a column with about `limit` bytes of text, or ids, each; of a struct its last field counts."""
     if pa.types.is_struct(column.type):
@@ -79,12 +88,14 @@ def with_python(
     work: Callable[[list], dict[str, Iterable]],
     keep: list[str] | None = None,
     limit: int = PIECE_BYTES,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """`df`, or its columns `keep`, with the columns of the DDL `new`, computed by `work` from `source`.
 
     `work` gets pieces of about `limit` bytes. Other columns travel as Arrow arrays; a column
     of `df` that is named like a new one is replaced. A row depends on itself alone, so a lost task
-    is simply run again.
+    is simply run again. At the end of a task `after` is called and the worker, which waits for other
+    tasks, gives its free memory back.
     """
     added = T.StructType.fromDDL(new)
     names = {n.lower() for n in added.names}
@@ -100,6 +111,12 @@ def with_python(
     passed = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from computed(batches)
+        if after:
+            after()
+        give_back()
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch.column(passed), limit):
                 rows = batch.slice(part.start, part.stop - part.start)
