@@ -33,8 +33,8 @@ LOOSE = {
     "card": r"(?<![0-9])(?:[0-9]{16}|[0-9]{4}\x20[0-9]{4}\x20[0-9]{4}\x20[0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|3[47][0-9]{13})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
-#: A text without any of these has no candidate of the kind.
-TRIGGERS = {"email": "@|(?i)[\\[(]\\x20?at\\x20?[\\])]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{4}", "phone": "[0-9]{4}|\\+[0-9]"}
+#: A text without any of these has no candidate of the kind; the shortest card candidate has 15 digits.
+TRIGGERS = {"email": "@|(?i)[\\[(]\\x20?at\\x20?[\\])]", "ip": "[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "(?<![0-9])[0-9](?:[\\x20-]?[0-9]){14}", "phone": "[0-9]{4}|\\+[0-9]"}
 
 # Gazetteers and context words of the labelers.
 TOP_DOMAINS = r"(?i)\.\s?(com|org|net|edu|gov|info|io|eu|de|at|ch|fr|be|es|mx|ar|it|nl|pt|br|uk|ie|us|ca|au|jp|cn|in|pl|se|no|dk|fi)$"

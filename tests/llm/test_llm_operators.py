@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on odd tables."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -112,6 +113,30 @@ def test_private_fuzz(spark):
         assert [tuple(s) for s in r.base_spans] == brute.base_spans(r.text)
 
 
+@pytest.mark.parametrize("sizes", [[1] * 16, [2] * 8, [3] * 5 + [1], [3, 2, 1] * 2 + [3, 1], [1] * 15 + [4]])
+@pytest.mark.parametrize("sep", [" ", "-"])
+def test_private_cards_in_short_groups(spark, sizes, sep):
+    number = "4111111111111111" if sum(sizes) == 16 else "4111111111111111110"
+    at = [sum(sizes[:i]) for i in range(len(sizes))]
+    card = sep.join(number[i : i + n] for i, n in zip(at, sizes, strict=True))
+    texts = [card, f"pay {card}.", f"in 2024 {card[:-1]}x", "1 2 3 4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = private.find(df, private.weigh({})).collect()
+    assert brute.base_spans(card) == [("card", 0, len(card))]
+    for r in rows:
+        assert [tuple(s) for s in r.base_spans] == brute.base_spans(r.text)
+
+
+def test_private_card_scan_is_never_skipped_wrongly():
+    """Whatever either card pattern takes for a candidate meets the trigger."""
+    rng, trigger = random.Random(8), re.compile(private.TRIGGERS["card"])
+    loose = re.compile(private.LOOSE["card"])
+    for _ in range(20000):
+        text = "".join(rng.choice(["1", "34", "411", "4111", " ", "-", " ", "x"]) for _ in range(rng.randrange(40)))
+        base = any(16 <= sum(c.isdigit() for c in m.group()) <= 19 for m in re.finditer(brute.PATTERNS["card"], text))
+        assert trigger.search(text) or not (base or loose.search(text)), text
+
+
 def test_private_labelers_are_weighed(docs):
     seen = {("card", 1, 1, 0, 0, 1, 1): 500, ("card", 1, 1, 0, 0, 1, 0): 20, ("card", -1, -1, 0, -1, -1, 0): 400}
     model = private.weigh(seen)
