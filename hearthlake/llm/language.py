@@ -21,8 +21,9 @@ SAMPLE_CHARS = 8_192
 LEVEL = 9
 #: Compressible filler behind each text: without it zstd stores short texts uncompressed, all at one size.
 FILLER = b" " * 400
-#: A text is rejected if the second best size is not larger by this share, or not larger at all.
-NARROW = 0.001
+#: A text is rejected if the second best size is not larger by this share, or not larger at all. Measured on learned
+#: rows: 9 of 14 wrong predictions have a narrower margin, and 0.08 % of the right ones.
+NARROW = 0.04
 
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 

@@ -187,6 +187,18 @@ def test_language_is_learned_and_rejects(spark, clashing):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_language_rejects_narrow_margins_of_short_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang, 60), lang) for i, lang in enumerate(["en", "fr"] * 150)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = [prose(rng, "en", n) + " " + prose(rng, "fr", n) for n in (8, 12, 20) for _ in range(60)]
+    clean = [prose(rng, lang, 40) for lang in ["en", "fr"] * 60]
+    df = spark.createDataFrame([(t, k) for k, texts in (("mixed", mixed), ("clean", clean)) for t in texts], "text string, kind string")
+    got = language.identify(df, model).collect()
+    assert sum(r.kind == "mixed" and r.rejected and r.margin > 0 for r in got) > 10
+    assert sum(r.kind == "clean" and not r.rejected for r in got) >= 0.97 * len(clean)
+
+
 # 5 token counts
 
 
