@@ -253,12 +253,31 @@ def discover_terms(spark, sf_dir):
   SELECT url_anuncio, the_and FROM (SELECT * FROM d WHERE NOT done ORDER BY url_anuncio LIMIT 50)""")
 def resume_extractions(spark, sf_dir):
     """Half of the texts are stored already; the job adds the first fifty of the rest."""
+    return _resumed(spark, sf_dir, first=50)
+
+
+def _resumed(spark, sf_dir, **how):
     docs = spread_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias(vocab.URL), F.col("text").alias(vocab.DESCRIPTION), "doc_id")
     stored = extraction.extract_attributes(docs.where("doc_id % 2 = 0").drop("doc_id"), ["the and"])
-    out = pipelines.extraction_job(docs.drop("doc_id"), stored, ["the and"], first=50)
+    out = pipelines.extraction_job(docs.drop("doc_id"), stored, ["the and"], **how)
     return out.select(vocab.URL, F.col("extraction.flags")["the_and"].alias("the_and"))
 
 
+_THE_AND = f"""SELECT doc_id::VARCHAR AS url_anuncio, len({D.strip('text')}) >= 10 AND contains({D.plain('text')}, 'the and') AS the_and FROM documents"""
+
+
+@query("resume_all_extractions", _THE_AND)
+def resume_all_extractions(spark, sf_dir):
+    """Half of the texts are stored already; the job adds all of the rest."""
+    return _resumed(spark, sf_dir)
+
+
+@query("reset_extractions", _THE_AND)
+def reset_extractions(spark, sf_dir):
+    """Half of the texts are stored already; the job starts over with all."""
+    return _resumed(spark, sf_dir, reset=True)
+
+
 @query("extract_attributes", f"""{WITH_LISTINGS} SELECT url_anuncio, usable AND contains(p, 'elevador') AS elevador,
   usable AND contains(p, 'aceita pet') AS aceita_pet, usable AND contains(p, 'varanda') AS varanda,
   CASE WHEN usable AND contains(p, '200 m da praia') THEN 200 END AS distancia_praia_m FROM (SELECT url_anuncio, {D.plain('descricao_completa')} AS p,

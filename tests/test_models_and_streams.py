@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
+from hearthlake.catalog import registry
 from hearthlake.models import estimators, preparation, scoring, search, splitting
 from hearthlake.operators import extraction
 from hearthlake.plans import pipelines
@@ -191,3 +192,13 @@ def test_a_saved_pipeline_scores_alike(spark, tmp_path):
         assert again.stages[0].feature_names() == ["a", "b", "missing_b", "f"]
         got, want = (m.transform(df).select("prediction").collect() for m in (again, fitted))
         assert got == want
+
+
+def test_registered_resume_covers_all_pending_rows_and_reset(spark, tmp_path):
+    registry.load()
+    texts = [(i, f"a long text with {'the and' if i % 3 else 'nothing'} in it") for i in range(300)] + [(300, None), (301, "short")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((str(i), bool(t and "the and" in t)) for i, t in texts)
+    for name in ("resume_all_extractions", "reset_extractions"):
+        rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted((r.url_anuncio, r.the_and) for r in rows) == want
