@@ -9,6 +9,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import regex
@@ -19,6 +20,8 @@ from hearthlake.llm.common import with_python
 
 #: Characters that a text is read in. Longer texts go through in pieces of this length.
 BUFFER = 65_536
+#: Where a text beyond PLAIN_BELOW is cut.
+BLANKS = " \n\u3000"
 #: Words whose ids a task remembers.
 CACHED_WORDS = 150_000
 #: Below this code point no character changes under NFC, and the character classes of all Unicode versions agree.
@@ -64,6 +67,22 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
     return max(reach.values(), default=0)
 
 
+def at_blanks(text: str, buffer: int) -> Iterator[str]:
+    """A text in parts of at most `buffer` characters, cut before blanks; only a run without blanks is longer.
+
+    A blank is part of no word and composes with nothing before it, so neither NFC nor the splitter sees the cut.
+    """
+    at, size = 0, len(text)
+    while size - at > buffer:
+        cut = max(text.rfind(c, at + 1, at + buffer + 1) for c in BLANKS)
+        if cut < 0:
+            cut = min((i for c in BLANKS if (i := text.find(c, at + buffer + 1)) >= 0), default=size)
+        yield text[at:cut]
+        at = cut
+    if at < size:
+        yield text[at:]
+
+
 class Encoder:
     """Ids of texts under one tokenizer file."""
 
@@ -185,6 +204,14 @@ class Encoder:
         if max(text) < PLAIN_BELOW:
             self.plain(text.lower(), out, buffer)
             return
+        for part in at_blanks(text, buffer):
+            if max(part) < PLAIN_BELOW:
+                self.plain(part.lower(), out, buffer)
+            else:
+                self.beyond(part, out, buffer)
+
+    def beyond(self, text: str, out: list[int], buffer: int) -> None:
+        """Append the ids of a part of a text by the library's text rules."""
         text = self.library.normalizer.normalize_str(text)
         words = self.words
         for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
@@ -297,7 +324,7 @@ def encode(
 
     Null and empty texts have no ids. Added tokens in a text become their ids. Memory per worker is
     one piece of the table plus a bounded word cache; a text of any length is read through `buffer`
-    characters. Repeated rows get the same ids; a column named like `ids` is replaced.
+    characters, except that a run without blanks that has characters beyond PLAIN_BELOW is normalised whole. Repeated rows get the same ids; a column named like `ids` is replaced.
     """
     def work(texts: list) -> dict:
         encoder = _encoder(tokenizer)

@@ -318,6 +318,30 @@ def test_bpe_matches_the_library_at_any_buffer(docs):
     assert ids(both.collect(), "ids", "decoded") == ids(bpe.round_trip(docs, WORD_BPE).collect(), "ids", "decoded")
 
 
+def test_bpe_gives_the_library_short_parts():
+    encoder, library = bpe.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    seen = []
+
+    class Watched:
+        pre_tokenizer = library.pre_tokenizer
+
+        class normalizer:
+            @staticmethod
+            def normalize_str(text):
+                seen.append(len(text))
+                return library.normalizer.normalize_str(text)
+
+    encoder.__dict__["library"] = Watched
+    rng = random.Random(9)
+    parts = ["caf\u00e9", "\u201cquoted\u201d", "e\u0301", " ", " \u0301", "\n", "\u3000", "\u4f60\u597d", "\u03a3\u03a3", "it's", "12", "!", "  ", " "]
+    for buffer in (7, 40, 500):
+        text = " ".join("".join(rng.choice(parts) for _ in range(4)) for _ in range(2000)) + " \u2019"
+        longest = max(len(w) for w in re.split("[ \n\u3000]", text)) + 1
+        seen.clear()
+        assert encoder.encode(text, buffer) == library.encode(text, add_special_tokens=False).ids
+        assert max(seen) <= max(buffer, longest)
+
+
 def test_bpe_lookahead_is_sufficient_and_checked():
     encoder, rng = bpe.Encoder(WORD_BPE), random.Random(1)
     for _ in range(300):
