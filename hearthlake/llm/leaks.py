@@ -15,11 +15,14 @@ WINDOW = 10
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word in the original writing.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Benchmark windows up to this number are one hash set in every task (under 50 MB); more are joined by shuffle.
+#: Benchmark windows up to this number, and up to these bytes of windows and their ids, are one hash set in every
+#: task; more are joined by shuffle. An id counts as its text and ID_BYTES, what an array element takes.
 SET_WINDOWS = 200_000
+SET_BYTES = 50_000_000
+ID_BYTES = 16
 #: Slots of the hash set per window: one probe in sixteen finds an occupied slot by chance.
 SLOTS = 16
-HITS = "array<struct<at:int,length:int,items:array<string>>>"
+HITS = "array<struct<at:int,length:int>>"
 
 
 def words(text: Column) -> Column:
@@ -34,10 +37,10 @@ def positions(ws: Column, length: Column | int) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows (window, length, items): the words joined by a space, and the ids as text.
+def benchmark_rows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Distinct rows (window, length, item): the words joined by a space, and an id as text, NULL where there is none.
 
-    A NULL text has no windows. An item without an id marks words but is not listed.
+    A NULL text has no windows.
     """
     ws = F.col("ws")
     length = F.least(F.size(ws), F.lit(window))
@@ -46,10 +49,23 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
         benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("ws"))
         .where(F.size("ws") > 0)
         .select("item", length.alias("length"), F.explode(cut).alias("window"))
-        .groupBy("window", "length").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .distinct()
     )
 
 
+def benchmark_windows(rows: DataFrame) -> DataFrame:
+    """Distinct windows (window, length, items). An item without an id marks words but is not listed."""
+    return rows.groupBy("window", "length").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+
+def set_sizes(rows: DataFrame) -> tuple[dict[int, int], int]:
+    """Windows by length, and the bytes that all windows and their ids take in a hash set."""
+    ids = F.sum(F.coalesce(F.octet_length("item") + ID_BYTES, F.lit(0)).cast("bigint"))
+    each = rows.groupBy("window", "length").agg((ids + F.octet_length("window") + ID_BYTES).alias("bytes"))
+    found = each.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()
+    return {r.length: r.n for r in found}, sum(r.bytes for r in found)
+
+
 def slot_of(ws: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(ws), F.lit(slots).cast("bigint")).cast("int") + 1
 
@@ -68,33 +84,50 @@ def hash_set(windows: DataFrame, slots: int) -> Column:
 
 
 def probed(ws: Column, table: Column, lengths: list[int], slots: int) -> Column:
-    """struct(n_words, hits) of a text; hits are (at, length, items), each verified word by word."""
+    """struct(n_words, hits, items) of a text; hits are (at, length), each verified word by word.
+
+    Ids are looked up once for each distinct window that is hit.
+    """
+    def bucket(s: Column, ws: Column) -> Column:
+        return s["table"][slot_of(ws, slots) - 1]
+
     def of(s: Column, length: int) -> Column:
-        def bucket(i: Column) -> Column:
-            return s["table"][slot_of(F.slice(s["ws"], i, length), slots) - 1]
+        def words_at(i: Column) -> Column:
+            return F.slice(s["ws"], i, length)
 
         def verified(i: Column) -> Column:
             return let(
-                F.struct(bucket(i).alias("b"), F.array_join(F.slice(s["ws"], i, length), " ").alias("w")),
+                F.struct(bucket(s, words_at(i)).alias("b"), F.array_join(words_at(i), " ").alias("w")),
                 lambda x: F.transform(
                     F.filter(x["b"], lambda e: e["window"] == x["w"]),
-                    lambda e: F.struct(i.alias("at"), F.lit(length).alias("length"), e["items"].alias("items")),
+                    lambda e: F.struct(i.alias("at"), F.lit(length).alias("length"), e["window"].alias("window")),
                 ),
             )
 
-        near = F.filter(positions(s["ws"], length), lambda i: bucket(i).isNotNull())
+        near = F.filter(positions(s["ws"], length), lambda i: bucket(s, words_at(i)).isNotNull())
         return F.flatten(F.transform(near, verified))
 
-    return let(
-        F.struct(ws.alias("ws"), table.alias("table")),
-        lambda s: F.struct(F.size(s["ws"]).alias("n_words"), F.concat(*[of(s, n) for n in lengths]).alias("hits")),
-    )
+    def listed(s: Column, hits: Column) -> Column:
+        def of_window(w: Column) -> Column:
+            return F.flatten(F.transform(F.filter(bucket(s, F.split(w, " ")), lambda e: e["window"] == w), lambda e: e["items"]))
+
+        return F.flatten(F.transform(F.array_distinct(F.transform(hits, lambda h: h["window"])), of_window))
+
+    def whole(s: Column) -> Column:
+        return let(F.concat(*[of(s, n) for n in lengths]), lambda hits: F.struct(
+            F.size(s["ws"]).alias("n_words"),
+            F.transform(hits, lambda h: F.struct(h["at"].alias("at"), h["length"].alias("length"))).alias("hits"),
+            listed(s, hits).alias("items"),
+        ))
+
+    return let(F.struct(ws.alias("ws"), table.alias("table")), whole)
 
 
-def joined(docs: DataFrame, ws: Column, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same for a benchmark beyond SET_WINDOWS: windows meet by a shuffle on their text.
+def joined(docs: DataFrame, ws: Column, rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for a benchmark beyond the set's bounds: windows meet by a shuffle on their text.
 
-    Rows are keyed by the digest of their words, so a repeated text is looked up once.
+    Texts are keyed by the digest of their words, so a repeated text is looked up once. Ids stay one
+    a row: they meet the distinct windows that a text hits, and are put together for each text alone.
     """
     keyed = docs.withColumn("_ws", ws).withColumn("_key", F.sha2(F.array_join("_ws", " "), 256))
     texts = keyed.groupBy("_key").agg(F.first("_ws").alias("_ws"))
@@ -105,50 +138,56 @@ def joined(docs: DataFrame, ws: Column, windows: DataFrame, lengths: list[int])
         ))
 
     cut = F.concat(*[let(F.col("_ws"), windows_of(n)) for n in lengths])
-    found = (
-        texts.select("_key", F.inline(cut)).join(windows, ["window", "length"])
-        .groupBy("_key").agg(F.collect_list(F.struct("at", "length", "items")).alias("_hits"))
+    hits = texts.select("_key", F.inline(cut)).join(rows.select("window", "length").distinct(), ["window", "length"])
+    found = hits.groupBy("_key").agg(F.collect_list(F.struct("at", "length")).alias("_hits"))
+    ids = (
+        hits.select("_key", "window", "length").distinct()
+        .join(rows.where("item IS NOT NULL"), ["window", "length"])
+        .groupBy("_key").agg(F.collect_set("item").alias("_ids"))
     )
     return (
-        keyed.join(found, "_key", "left")
-        .withColumn("_found", F.struct(F.size("_ws").alias("n_words"), F.coalesce("_hits", F.array().cast(HITS)).alias("hits")))
-        .drop("_key", "_ws", "_hits")
+        keyed.join(found.join(ids, "_key", "left"), "_key", "left")
+        .withColumn("_found", F.struct(
+            F.size("_ws").alias("n_words"), F.coalesce("_hits", F.array().cast(HITS)).alias("hits"),
+            F.coalesce("_ids", F.array().cast("array<string>")).alias("items"),
+        ))
+        .drop("_key", "_ws", "_hits", "_ids")
     )
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, set_windows: int = SET_WINDOWS,
+    window: int = WINDOW, set_windows: int = SET_WINDOWS, set_bytes: int = SET_BYTES,
 ) -> DataFrame:
     """`docs` with n_words, n_hit (words inside a window of a test item), hit_items and hit_words.
 
     hit_items are the distinct ids as text, sorted; hit_words the sorted word numbers, from 1. Each
     row depends on itself alone: NULL and empty texts have no words and no hits, an empty benchmark
     gives no hits, repeated rows the same result. Columns named like the new ones are replaced.
-    Only distinct window lengths (at most `window`) and their counts come to the driver.
+    Only distinct window lengths (at most `window`), their counts and bytes come to the driver.
     """
-    windows = benchmark_windows(benchmark, item, item_text, window)
-    counts = {r.length: r.n for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = benchmark_rows(benchmark, item, item_text, window)
+    counts, size = set_sizes(rows)
     lengths = sorted(counts)
     kept = docs.drop("_found", "_set", "n_words", "n_hit", "hit_items", "hit_words")
     ws = words(F.col(text))
     if not lengths:
-        found = kept.withColumn("_found", F.struct(F.size(ws).alias("n_words"), F.array().cast(HITS).alias("hits")))
-    elif sum(counts.values()) <= set_windows:
+        found = kept.withColumn("_found", F.struct(F.size(ws).alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items")))
+    elif sum(counts.values()) <= set_windows and size <= set_bytes:
         slots = SLOTS * sum(counts.values())
         # the optimiser moves the subquery into the one expression that uses it, so no row carries the set
-        found = kept.withColumn("_set", hash_set(windows, slots)).withColumn(
+        found = kept.withColumn("_set", hash_set(benchmark_windows(rows), slots)).withColumn(
             "_found", probed(ws, F.col("_set"), lengths, slots)
         ).drop("_set")
     else:
-        found = joined(kept, ws, windows, lengths)
+        found = joined(kept, ws, rows, lengths)
     hits = F.col("_found.hits")
     inside = F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1)))
     return (
         found.withColumns({
             "n_words": F.col("_found.n_words").cast("bigint"),
             "hit_words": F.array_sort(F.array_distinct(inside)),
-            "hit_items": F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"])))),
+            "hit_items": F.array_sort(F.array_distinct("_found.items")),
         })
         .withColumn("n_hit", F.size("hit_words").cast("bigint"))
         .drop("_found")

@@ -262,6 +262,22 @@ def test_leaks_match_brute_force(clashing, benchmark_items, corpus, limit):
     assert any(r.n_hit for r in rows)
 
 
+def test_leaks_of_a_window_that_many_items_share(spark):
+    shared = "one two three four five six seven eight nine ten"
+    items = [(i, shared if i % 2 else f"{shared} word{i}") for i in range(3000)] + [(None, shared)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    _, size = leaks.set_sizes(leaks.benchmark_rows(bench))
+    assert size > 3000 * leaks.ID_BYTES
+    texts = [" x ".join([shared] * 40), shared + " word4", "nothing", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for limit in (leaks.SET_BYTES, size - 1):
+        found = leaks.find_leaks(df, bench, set_bytes=limit)
+        assert ("_key" in found._jdf.queryExecution().optimizedPlan().toString()) == (limit < size)
+        for r in found.collect():
+            n, hit, listed = brute.leaks(r.text, [x for x in items if x[0] is not None])
+            assert (r.n_words, r.n_hit, r.hit_items) == (n, hit, listed)
+
+
 def test_leaks_on_empty_tables_and_span_removal(docs, benchmark_items, spark):
     assert leaks.find_leaks(docs.limit(0), benchmark_items).count() == 0
     assert {r.n_hit for r in leaks.find_leaks(docs, benchmark_items.limit(0)).collect()} == {0}
