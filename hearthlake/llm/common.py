@@ -81,6 +81,12 @@ def pieces(column: pa.Array, limit: int) -> Iterator[slice]:
         yield slice(start, len(column))
 
 
+def small_batches(session: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES, unless the session sets a size of its own."""
+    if session.conf.get(BATCH_SETTING) in UNSET_BATCH:
+        session.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def with_python(
     df: DataFrame,
     source: str,
@@ -100,9 +106,7 @@ def with_python(
     added = T.StructType.fromDDL(new)
     names = {n.lower() for n in added.names}
     kept = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
-    session = df.sparkSession
-    if session.conf.get(BATCH_SETTING) in UNSET_BATCH:
-        session.conf.set(BATCH_SETTING, BATCH_BYTES)
+    small_batches(df.sparkSession)
     given = "_source"
     while given in {f.name.lower() for f in kept}:
         given += "_"
