@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import bpe, chat, divergence, language, layout, leaks, neardup, private, quality, tokenfiles, toxicity
+from hearthlake.llm import alignment, bpe, chat, divergence, language, layout, leaks, neardup, private, quality, tokenfiles, toxicity
 from hearthlake.llm.common import checkpointed, id_hash, remove, table
 
 QUERIES = {}
@@ -252,3 +252,13 @@ FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' O
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of a language lie apart, and the terms that set each apart."""
     return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers give every whole text."""
+    path = public_tokenizers.path
+    files = alignment.Files(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, files, ["doc_id"], carry=lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
+    return found.withColumnRenamed("groups", "groups_sha256")
