@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthlake.llm import alignment, bpe, chat, divergence, language, layout, leaks, neardup, private, quality, tokenfiles, toxicity
+from hearthlake.llm import (
+    alignment, bpe, chat, divergence, language, layout, leaks, neardup, neighbours, private, quality, tokenfiles, toxicity,
+)
 from hearthlake.llm.common import checkpointed, id_hash, remove, table
 
 QUERIES = {}
@@ -220,6 +222,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query
+def op11_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document, voted by its nearest labelled documents among those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.pmod(id_hash(F.col("doc_id")), F.lit(3)) == 1)
+    labels = table(spark, sf_dir, "labels").where(F.pmod(id_hash(F.col("doc_id")), F.lit(3)) != 1)
+    found = neighbours.score(docs, neighbours.fit(docs.where(~F.col("held_out")), labels), keep=["doc_id", "held_out"])
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"""
 
 
