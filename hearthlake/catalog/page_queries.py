@@ -133,6 +133,44 @@ def listing_page_fields(spark, sf_dir):
     )
 
 
+# Lists in lists, a heading without a list, quotes and signs inside values, comments that end at once, missing end tags.
+def nested_pages(spark, sf_dir):
+    part = spread_table(spark, sf_dir, "part")
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    html = F.concat(
+        F.lit("<!--><h1 data-x=it's title='a>b'>"), name, F.lit("</h1><!--x--!><p>don't</p><ul class=\"x listContent\"><li role=listitem><p aria-label=quartos>"),
+        size, F.lit("</p><li role='listitem' title=\"<li>\"><p aria-label='vagas'>vagas "), size,
+        F.lit("</p><li><small>Andar</small><b>"), size, F.lit("</b><ul><li><small>x</small><b>y</b></ul></ul><div class='a optionalItemsContainer' hidden><span><b>Vazia</b><p>none"
+              "</p></span><span><b>Área comum</b><ul><li>Sala "), size,
+        F.lit("<ul><li>Varanda</li></ul></li><li title='</ul>'>Piscina</li></ul></span><div><span><b>Fora</b><ul><li>no</li></ul></span></div>"
+              "<span><i><b>Lazer</b></i><ol><li>not in ul</li></ol><ul><li>Quadra<li>"), name,
+        F.lit("</ul></span></div><div class='Description'>One <script>no</script><b>two</b>"),
+    )
+    return part.select("p_partkey", html.alias("html"))
+
+
+@query("nested_page_sections", f"""SELECT 'p' || p_partkey AS url_anuncio, p_name AS titulo, p_size::VARCHAR AS quartos, p_size::VARCHAR AS vagas,
+  'Sala ' || p_size || 'Varanda, Varanda, Piscina' AS comum, 'Quadra, ' || {D.strip('p_name')} AS lazer, 4 AS attrs, 'One' || chr(10) || 'two' AS descricao FROM part""")
+def nested_page_sections(spark, sf_dir):
+    pages = nested_pages(spark, sf_dir).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("url"), "html")
+    attrs = F.col("attrs")
+    return markup.listing_fields(pages).select(
+        "url_anuncio", "titulo", attrs["quartos"].alias("quartos"), attrs["vagas"].alias("vagas"),
+        attrs["comodidades_area_comum"].alias("comum"), attrs["comodidades_lazer"].alias("lazer"), F.size("attrs").alias("attrs"),
+        F.col("descricao_completa").alias("descricao"),
+    )
+
+
+@query("nested_legacy_page", """SELECT p_partkey, 'Imagem não encontrada' AS imagem, p_name AS titulo, 'Andar=' || p_size AS pares,
+  'Sala ' || p_size || 'Varanda, Varanda, Piscina' AS comum, 2 AS secoes FROM part""")
+def nested_legacy_page(spark, sf_dir):
+    df = markup.legacy_fields(nested_pages(spark, sf_dir))
+    pairs = F.array_join(F.transform(F.map_entries("caracteristicas"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return df.select(
+        "p_partkey", "imagem", "titulo", pairs.alias("pares"), F.col("secoes")["area_comum"].alias("comum"), F.size("secoes").alias("secoes")
+    )
+
+
 @query("description_text", f"""SELECT page_id, '{vocab.NO_DESCRIPTION}' AS described, {D.strip(_decoded(r"regexp_extract(html, '(?is)<footer>(.*?)</footer>', 1)"))} AS block FROM pages""")
 def description_text(spark, sf_dir):
     pages = spread_table(spark, sf_dir, "pages").withColumn("s", markup.visible_source("html"))

@@ -1,18 +1,27 @@
-"""Link and listing-field extraction from page source held in a column, all built-in expressions."""
+"""Link and listing-field extraction from page source held in a column.
+
+Links and single fields are built-in expressions. Listing pages are read into element trees (`elements.py`), because
+their lists nest; what is read is cleaned by built-in expressions again.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearthlake import vocab
 from hearthlake.functions.arrays import let
 from hearthlake.functions.numbers import strip_space
 from hearthlake.functions.text import clean_address, clean_label_value, label_key
 from hearthlake.operators.filters import sitemap_shard
+from hearthlake.sources.elements import Element, parse
 
 
 #: Named character references as one JSON constant, which Spark folds into a literal map.
@@ -140,48 +149,96 @@ def page_links(df: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 # --- listing pages -----------------------------------------------------------------------------
 
-def listing_title(source: Column) -> Column:
-    return inner_text(first_element(source, "h1"))
+#: What a listing page holds, as it is written there; cleaning is left to column expressions.
+PARTS = """title string, price string, address string, cells array<struct<label: string, value: string>>,
+  sections array<struct<name: string, items: array<string>>>, description string, image string,
+  pairs array<struct<label: string, value: string>>"""
 
 
-def listing_price(source: Column) -> Column:
-    """Price span, preferably one inside <b>, without the currency sign."""
-    span = rf"<span\b(?=[^>]*{class_has('clamp')})[^>]*>(.*?)</span\s*>"
-    bold = rf"(?is)<b\b[^>]*>(?:(?!</b\s*>).)*?{span}"
-    anywhere = rf"(?is){span}"
-    found = F.when(source.rlike(bold), F.regexp_extract(source, bold, 1)).when(
-        source.rlike(anywhere), F.regexp_extract(source, anywhere, 1)
-    )
-    return strip_space(F.replace(inner_text(found), F.lit("R$"), F.lit("")))
+def _text(element: Element | None, separator: str = "") -> str | None:
+    return element.text(separator) if element else None
 
 
-def listing_address(source: Column) -> Column:
-    return clean_address(F.coalesce(inner_text(first_element(source, "address")), F.lit("")))
+def _price(page: Element) -> Element | None:
+    """The price's span, preferably one inside <b>."""
+    spans = list(page.all("span", lambda e: e.class_has("clamp")))
+    return next((e for e in spans if e.inside("b")), spans[0] if spans else None)
 
 
-def listing_attributes(source: Column) -> Column:
-    """MAP of the labelled cells of the main list; a repeated label keeps its last value."""
-    block = whole_element(source, "ul", class_has("listContent"))
-    items = F.split(block, r"(?i)<li\b")
-    cells = F.filter(
-        F.transform(
-            F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))),
-            lambda i: F.named_struct(
-                F.lit("label"), F.regexp_extract(i, r"""(?is)<p\b[^>]*aria-label\s*=\s*["']([^"']*)["']""", 1),
-                F.lit("value"), inner_text(F.regexp_extract(i, r"(?is)<p\b(?=[^>]*aria-label)[^>]*>(.*?)</p\s*>", 1)),
-                F.lit("listed"), i.rlike(r"""(?is)^[^>]*role\s*=\s*["']listitem["']"""),
-            ),
-        ),
-        lambda c: (c["label"] != "") & c["listed"],
-    )
-    entries = F.transform(
-        cells,
-        lambda c: F.named_struct(
-            F.lit("key"), label_key(unescape(c["label"])),
-            F.lit("value"), clean_label_value(c["value"], F.lower(unescape(c["label"]))),
-        ),
+def _sections(page: Element) -> list[dict]:
+    """Headings and items of the spans directly inside the optional-items container.
+
+    Items are all <li> below a <ul> of the section, those of nested lists too; a section without any has no entry.
+    """
+    box = page.first("div", lambda e: e.class_has("optionalItemsContainer"))
+    out = []
+    for span in box.children if box else []:
+        if not isinstance(span, Element) or span.tag != "span":
+            continue
+        heading = span.first("b")
+        items = [li.text() for li in span.all("li", lambda e: e.inside("ul", span))]  # noqa: B023
+        if heading and items:
+            out.append({"name": heading.text(), "items": items})
+    return out
+
+
+def _image(page: Element) -> str | None:
+    """Source of the marked picture's image, or else of the first picture's."""
+    marked = page.first("picture", lambda e: e.attrs.get("id") == "ssrImage")
+    for picture in (marked, page.first("picture")):
+        found = picture.first("img") if picture else None
+        if found:
+            return found.attrs.get("src", "")
+    return None
+
+
+def parts_of(source: str | None) -> dict:
+    """The PARTS of one page; a null page has none of them."""
+    if source is None:
+        return {}
+    page = parse(source)
+    main = page.first("ul", lambda e: e.class_has("listContent"))
+    cells = [
+        {"label": p.attrs["aria-label"], "value": p.text()}
+        for li in (main.all("li", lambda e: e.attrs.get("role") == "listitem") if main else [])
+        if (p := li.first("p", lambda e: "aria-label" in e.attrs))
+    ]
+    pairs = [
+        {"label": label.text(), "value": value.text()}
+        for li in (main.children if main else []) if isinstance(li, Element) and li.tag == "li"
+        if (label := li.first("small")) and (value := li.first("b"))
+    ]
+    described = page.first("p", lambda e: e.attrs.get("aria-label") == "descrição") or page.first(
+        "div", lambda e: "description" in e.attrs.get("class", "").lower()
     )
-    return _last_wins(entries)
+    return {
+        "title": _text(page.first("h1")), "price": _text(_price(page)), "address": _text(page.first("address")), "cells": cells,
+        "sections": _sections(page), "description": _text(described, "\n"), "image": _image(page), "pairs": pairs,
+    }
+
+
+def page_parts(df: DataFrame, html: str = "html", out: str = "parts") -> DataFrame:
+    """`df` with the struct `out` of the PARTS of each whole page in place of its source.
+
+    Pages are read into element trees, one at a time, in an Arrow stage; a page depends on itself alone.
+    """
+    added = T.StructType([T.StructField(out, T.StructType.fromDDL(PARTS))])
+    kept = [f for f in df.schema.fields if f.name not in (html, out)]
+    schema = T.StructType([*kept, *added.fields])
+    kind = to_arrow_schema(added).field(0).type
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([parts_of(s) for s in batch.column(len(kept)).to_pylist()], kind)
+            passed = [c.cast(f.type) for c, f in zip(batch.columns[: len(kept)], arrow, strict=False)]
+            yield pa.RecordBatch.from_arrays([*passed, found], schema=arrow)
+
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html)).mapInArrow(run, schema)
+
+
+def listing_title(source: Column) -> Column:
+    return inner_text(first_element(source, "h1"))
 
 
 def _last_wins(entries: Column) -> Column:
@@ -197,29 +254,24 @@ def _last_wins(entries: Column) -> Column:
     return F.coalesce(let(entries, lambda x: F.when(x.isNotNull(), mapped(x))), empty)
 
 
-def listing_sections(source: Column, key_prefix: str = "comodidades_") -> Column:
-    """MAP section -> comma list of its items, from the optional-items container."""
-    block = whole_element(source, "div", class_has("optionalItemsContainer"))
-    heads = F.regexp_extract_all(block, F.lit(r"(?is)<span\b[^>]*>\s*<b\b[^>]*>(.*?)</b\s*>.*?<ul\b[^>]*>.*?</ul\s*>"), 1)
-    lists = F.regexp_extract_all(block, F.lit(r"(?is)<span\b[^>]*>\s*<b\b[^>]*>.*?</b\s*>.*?<ul\b[^>]*>(.*?)</ul\s*>"), 1)
-    entries = F.zip_with(
-        heads, lists,
-        lambda h, l: F.named_struct(
-            F.lit("key"), F.concat(F.lit(key_prefix), F.translate(F.lower(inner_text(h)), " á", "_a")),
-            F.lit("value"), F.array_join(
-                F.transform(
-                    F.regexp_extract_all(l, F.lit(r"(?is)<li\b[^>]*>(.*?)(?:</li\s*>|(?=<li\b)|$)"), 1),
-                    lambda i: inner_text(i),
-                ),
-                ", ",
-            ),
-        ),
-    )
-    return _last_wins(F.filter(entries, lambda e: e["value"] != ""))
+def listing_attributes(cells: Column) -> Column:
+    """MAP of the labelled cells of the main list; a repeated label keeps its last value."""
+    labelled = F.filter(cells, lambda c: c["label"] != "")
+    return _last_wins(F.transform(labelled, lambda c: F.named_struct(
+        F.lit("key"), label_key(c["label"]), F.lit("value"), clean_label_value(c["value"], F.lower(c["label"])),
+    )))
+
+
+def listing_sections(sections: Column, key_prefix: str = "comodidades_") -> Column:
+    """MAP section -> comma list of its items."""
+    return _last_wins(F.transform(sections, lambda s: F.named_struct(
+        F.lit("key"), F.concat(F.lit(key_prefix), F.translate(F.lower(s["name"]), " á", "_a")),
+        F.lit("value"), F.array_join(s["items"], ", "),
+    )))
 
 
 def description(source: Column) -> Column:
-    """Description block as lines, or the not-found sentinel."""
+    """Description block of a page without comments and scripts as lines, or the not-found sentinel."""
     block = F.coalesce(
         first_element(source, "p", label_is("descrição")),
         whole_element(source, "div", class_has("description")),
@@ -229,37 +281,29 @@ def description(source: Column) -> Column:
 
 def listing_fields(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One raw listing per page: fixed fields plus a MAP of everything the page labels."""
-    cleaned = df.select(F.col(url).alias(vocab.URL), visible_source(html).alias("_s"))
-    source = F.col("_s")
-    parts = cleaned.select(
-        "*", listing_attributes(source).alias("_cells"), listing_sections(source).alias("_sections")
+    parts = page_parts(df.select(F.col(url).alias(vocab.URL), F.col(html).alias("html"))).select(vocab.URL, "parts.*")
+    read = parts.select(
+        "*", listing_attributes(F.col("cells")).alias("_cells"), listing_sections(F.col("sections")).alias("_sections")
     )
     only_sections = F.map_filter("_sections", lambda k, _: ~F.map_contains_key("_cells", k))
-    return parts.select(
+    return read.select(
         vocab.URL,
-        listing_title(source).alias(vocab.TITLE),
-        listing_price(source).alias(vocab.PRICE),
-        listing_address(source).alias(vocab.ADDRESS),
+        F.col("title").alias(vocab.TITLE),
+        strip_space(F.replace("price", F.lit("R$"), F.lit(""))).alias(vocab.PRICE),
+        clean_address(F.coalesce("address", F.lit(""))).alias(vocab.ADDRESS),
         F.map_concat("_cells", only_sections).alias("attrs"),
-        description(source).alias(vocab.DESCRIPTION),
+        F.coalesce("description", F.lit(vocab.NO_DESCRIPTION)).alias(vocab.DESCRIPTION),
     )
 
 
 def legacy_fields(df: DataFrame, html: str = "html") -> DataFrame:
-    """Older page layout: image, label/value pairs and section lists."""
-    source = F.col("_s")
-    picture = F.coalesce(
-        first_element(source, "picture", r"""id\s*=\s*["']ssrImage["']"""), first_element(source, "picture")
-    )
-    image = F.nullif(F.regexp_extract(picture, r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-    block = whole_element(source, "ul", class_has("listContent"))
-    labels = F.regexp_extract_all(block, F.lit(r"(?is)<small\b[^>]*>(.*?)</small\s*>"), 1)
-    values = F.regexp_extract_all(block, F.lit(r"(?is)<b\b[^>]*>(.*?)</b\s*>"), 1)
-    pairs = F.zip_with(labels, values, lambda l, v: F.named_struct(F.lit("key"), inner_text(l), F.lit("value"), inner_text(v)))
-    return df.withColumn("_s", visible_source(html)).select(
-        *[c for c in df.columns if c != html],
-        F.coalesce(image, F.lit("Imagem não encontrada")).alias("imagem"),
-        listing_title(source).alias("titulo"),
-        _last_wins(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("caracteristicas"),
-        listing_sections(source, "").alias("secoes"),
+    """Older page layout: image, label/value pairs of the main list's own items, and section lists."""
+    kept = [c for c in df.columns if c != html]
+    pairs = F.transform("parts.pairs", lambda p: F.named_struct(F.lit("key"), p["label"], F.lit("value"), p["value"]))
+    return page_parts(df, html).select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.coalesce("parts.image", F.lit("Imagem não encontrada")).alias("imagem"),
+        F.col("parts.title").alias("titulo"),
+        _last_wins(pairs).alias("caracteristicas"),
+        listing_sections(F.col("parts.sections"), "").alias("secoes"),
     )
