@@ -291,6 +291,23 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{place}/table").select(vocab.URL, "o_totalprice", "o_orderkey")
 
 
+# Copies of a user's day compete by value; a day is written once the watermark, a day behind the latest event, has passed it by a day.
+@query("stream_ingest_bounded", """SELECT user_id || '@' || ts::DATE AS url_anuncio, event_id, value FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY value, event_id) = 1
+    AND epoch_ms(min(ts) OVER (PARTITION BY user_id, ts::DATE)) + 86400000 <= epoch_ms(max(ts) OVER ()) - 86400000""")
+def stream_ingest_bounded(spark, sf_dir):
+    place = _scratch(spark)
+    stream = _table_stream(spark, sf_dir, "events").select(
+        F.concat_ws("@", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias(vocab.URL), "event_id", "value",
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    query = incremental.ingest(
+        stream, f"{place}/table", f"{place}/checkpoint", order=["value", "event_id"], event_time="ts", delay="1 day"
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{place}/table").select(vocab.URL, "event_id", "value")
+
+
 @query("stream_extract", f"""SELECT (doc_id // 2)::VARCHAR AS url_anuncio, len({D.strip('text')}) >= 10 AND contains({D.plain('text')}, 'the and') AS the_and
   FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) = 1""")
 def stream_extract(spark, sf_dir):

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from hearthlake import vocab
 from hearthlake.operators.extraction import Extractor, extract_attributes
 from hearthlake.operators.linkage import first_wins
 from hearthlake.sources.readers import EXTRACTION_SCHEMA, LISTING_SCHEMA
 
+#: Keyed state of own processors lives in RocksDB, on the executors' disks.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def listing_stream(
     spark: SparkSession, folder: str, schema: T.StructType = LISTING_SCHEMA,
@@ -40,18 +48,94 @@ def first_seen(
     return keyed.dropDuplicates([key])
 
 
+class FirstInOrder(StatefulProcessor):
+    """Holds the least row of a key, and hands it on when the watermark passes its earliest copy's time plus the delay.
+
+    Rows hold `expires`, the milliseconds from which the key may go, `row`, and the columns o0, o1, ... that order them, NULL
+    first as in batch sorting. The state of a key is one such row.
+    """
+
+    def __init__(self, order: list[T.DataType]) -> None:
+        self.order = [f"o{i}" for i in range(len(order))]
+        self.state_type = T.StructType([
+            T.StructField("expires", T.LongType()), T.StructField("row", T.StringType()),
+            *[T.StructField(name, kind) for name, kind in zip(self.order, order, strict=True)],
+        ])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", self.state_type)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.best.get() if self.best.exists() else None
+        expires, best, least = None, None, None
+        if held is not None:
+            expires, best, least = held[0], tuple(held[1:]), _rank(held[2:])
+        for row in rows:
+            values = [row[c] for c in self.order]
+            if least is None or _rank(values) < least:
+                best, least = (row["row"], *values), _rank(values)
+            if expires is None or row["expires"] < expires:
+                expires = row["expires"]
+        if held is None or held[0] != expires:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(expires)
+        self.best.update((expires, *best))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        row = self.best.get()[1]
+        self.best.clear()
+        yield Row(row=row)
+
+    def close(self) -> None:
+        pass
+
+
+def _rank(values: Iterable) -> list[tuple]:
+    return [(v is not None, v) for v in values]
+
+
+def first_in_order(stream: DataFrame, key: str, order: list[str], event_time: str, delay: str) -> DataFrame:
+    """First row per key in `order` among the copies of a key, with state that the watermark bounds.
+
+    A key is held from its first copy on until the watermark, which runs `delay` behind the latest event time, has passed the
+    time of its earliest copy by `delay`; then its winner is written once and the state goes. Copies that come while it is held compete by
+    `order`, whatever the batch they come in; rows behind the watermark are late and dropped; a copy after that begins the key anew. Rows without a key or
+    time are discarded. A key's state is one row. Needs the RocksDB state store, which is set for the session if another one is.
+    """
+    stream.sparkSession.conf.set(STATE_STORE, ROCKS)
+    usable = F.col(key).isNotNull() & (F.col(key) != "") & F.col(event_time).isNotNull()
+    marked = stream.where(usable).withWatermark(event_time, delay)
+    expires = F.unix_millis(F.col(event_time) + F.expr(f"INTERVAL {delay}"))
+    # rows travel as text, so that maps and nested columns pass the state store unchanged
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in stream.columns]), {"timestampFormat": MICROS, "ignoreNullFields": "true"})
+    ranks = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    packed = marked.select(F.col(key).alias("key"), event_time, expires.alias("expires"), row.alias("row"), *ranks)
+    first = packed.groupBy("key").transformWithState(
+        FirstInOrder([stream.schema[c].dataType for c in order]), "row string", "Append", "EventTime"
+    )
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields])
+    return first.select(F.from_json("row", kind, {"timestampFormat": MICROS}).alias("row")).select("row.*")
+
+
 def ingest(
     stream: DataFrame, target: str, checkpoint: str, key: str = vocab.URL, once: bool = True,
     order: list[str] | None = None, event_time: str | None = None, delay: str | None = None,
 ) -> StreamingQuery:
     """Append first-seen listings to a Parquet table; the checkpoint makes it resumable.
 
-    With `order` the first row in that order wins inside a micro-batch and earlier batches win over
-    later ones: the table itself is the state, one folder per batch, so nothing grows in memory and a
-    batch that is run again writes the same rows. Without it, keyed state decides, which `event_time`
-    and `delay` bound; which copy of a micro-batch wins is then left open.
+    With `order`, `event_time` and `delay` the first row in that order wins among the copies that come within the
+    delay, in keyed state that the watermark bounds; see `first_in_order`. With `order` alone the first row wins inside a
+    micro-batch and earlier batches win over later ones, for good: the table itself is the state, one folder per batch,
+    so nothing grows in memory and a batch that is run again writes the same rows, but each batch reads the table's keys. Without `order`, keyed state
+    decides, which `event_time` and `delay` bound; which copy of a micro-batch wins is then left open.
     """
-    if order:
+    if order and event_time and delay:
+        first = first_in_order(stream, key, order, event_time, delay)
+        writer = first.writeStream.format("parquet").outputMode("append").option("path", target)
+    elif order:
         writer = stream.writeStream.foreachBatch(lambda df, i: append_new(df, i, target, key, order))
     else:
         writer = first_seen(stream, key, event_time, delay).writeStream.format("parquet").outputMode("append").option("path", target)
@@ -110,11 +194,26 @@ def extract_pending(
 def extract_stream(
     stream: DataFrame, target: str, checkpoint: str, terms: list[str],
     extractor: Extractor | None = None, batch_size: int = 6, once: bool = True, order: list[str] | None = None,
+    event_time: str | None = None, delay: str | None = None,
 ) -> StreamingQuery:
-    """Resumable extraction: each micro-batch handles only URLs without a stored extraction."""
-    writer = (
-        stream.select(vocab.URL, vocab.DESCRIPTION, *(order or [])).writeStream
-        .foreachBatch(lambda df, i: extract_pending(df, i, target, terms, extractor, batch_size, order))
-        .option("checkpointLocation", checkpoint)
-    )
+    """Resumable extraction: each micro-batch handles only URLs without a stored extraction.
+
+    With `order`, `event_time` and `delay` bounded state decides which listings are new, and a batch does not read the
+    sink: a listing is extracted once, from its first copy within the delay.
+    """
+    if order and event_time and delay:
+        rows = stream.select(vocab.URL, vocab.DESCRIPTION, *dict.fromkeys([*order, event_time]))
+        first = first_in_order(rows, vocab.URL, order, event_time, delay).select(vocab.URL, vocab.DESCRIPTION)
+
+        def extract(df: DataFrame, i: int) -> None:
+            found = extract_attributes(df, terms, extractor, batch_size=batch_size)
+            found.write.mode("overwrite").parquet(f"{target}/batch_id={i}")
+
+        writer = first.writeStream.foreachBatch(extract).option("checkpointLocation", checkpoint)
+    else:
+        writer = (
+            stream.select(vocab.URL, vocab.DESCRIPTION, *(order or [])).writeStream
+            .foreachBatch(lambda df, i: extract_pending(df, i, target, terms, extractor, batch_size, order))
+            .option("checkpointLocation", checkpoint)
+        )
     return (writer.trigger(availableNow=True) if once else writer).start()
