@@ -10,12 +10,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import log_price, price_per_area
-from hearthlake.operators.ranks import cumulative_counts, value_counts
+from hearthlake.operators.ranks import cumulative_counts, range_ranks
 from hearthlake.session import cut_lineage
 
 #: Variance below this share of the second moment is rounding noise of a constant.
@@ -48,6 +49,47 @@ def _column_profile(df: DataFrame, columns: list[str]) -> dict[str, tuple[float,
     return {c: (row[i]["mean"], row[i]["flag"]) for i, c in enumerate(columns)}
 
 
+class Moments:
+    """Counts, sums, squares and products of every pair of columns, over the rows that have both."""
+
+    def __init__(self, size: int) -> None:
+        self.n, self.sx, self.sxx, self.sxy = (np.zeros((size, size)) for _ in range(4))
+
+    def add(self, values: np.ndarray) -> None:
+        given = ~np.isnan(values)
+        values = np.where(given, values, 0.0)
+        given = given.astype(float)
+        self.n += given.T @ given
+        self.sx += values.T @ given
+        self.sxx += (values * values).T @ given
+        self.sxy += values.T @ values
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> dict[str, np.ndarray]:
+        return {
+            "pair": np.arange(len(left)), "n": self.n[left, right], "sx": self.sx[left, right], "sy": self.sx[right, left],
+            "sxx": self.sxx[left, right], "syy": self.sxx[right, left], "sxy": self.sxy[left, right],
+        }
+
+
+MOMENT_SCHEMA = "pair bigint, " + ", ".join(f"{m} double" for m in MOMENTS)
+
+
+def _correlated(moments: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """r of each pair from the tasks' moments, which are added first; NULL for a flat side."""
+    sums = moments.groupBy("pair").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    var_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    cross = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    moving = (F.col("n") > 1) & (var_x > FLAT * F.col("sxx")) & (var_y > FLAT * F.col("syy"))
+    names = moments.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair bigint, feature_a string, feature_b string"
+    )
+    r = F.when(moving, _ratio(cross, var_x, var_y))
+    return F.broadcast(names).join(sums, "pair", "left").select(
+        "feature_a", "feature_b", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"), r.alias("r")
+    )
+
+
 def pearson_pairs(
     df: DataFrame, pairs: list[tuple[str, str]], means: dict[str, float] | None = None
 ) -> DataFrame:
@@ -68,41 +110,44 @@ def pearson_pairs(
     shift = np.array([means[c] for c in columns])
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(shift)
-        n, sx, sxx, sxy = (np.zeros((size, size)) for _ in range(4))
+        sums = Moments(len(shift))
         for batch in batches:
-            values = batch.to_numpy(dtype=float) - shift
-            given = ~np.isnan(values)
-            values = np.where(given, values, 0.0)
-            given = given.astype(float)
-            n += given.T @ given
-            sx += values.T @ given
-            sxx += (values * values).T @ given
-            sxy += values.T @ values
-        yield pd.DataFrame({
-            "pair": np.arange(len(left)),
-            "n": n[left, right],
-            "sx": sx[left, right],
-            "sy": sx[right, left],
-            "sxx": sxx[left, right],
-            "syy": sxx[right, left],
-            "sxy": sxy[left, right],
-        })
-
-    schema = "pair bigint, " + ", ".join(f"{m} double" for m in MOMENTS)
+            sums.add(batch.to_numpy(dtype=float) - shift)
+        yield pd.DataFrame(sums.of(left, right))
+
     table = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    sums = table.mapInPandas(moments, schema).groupBy("pair").agg(*[F.sum(m).alias(m) for m in MOMENTS])
-    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    var_y = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    cross = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    moving = (F.col("n") > 1) & (var_x > FLAT * F.col("sxx")) & (var_y > FLAT * F.col("syy"))
-    names = spark.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair bigint, feature_a string, feature_b string"
-    )
-    r = F.when(moving, _ratio(cross, var_x, var_y))
-    return sums.join(F.broadcast(names), "pair").select(
-        "feature_a", "feature_b", F.col("n").cast("bigint").alias("n"), r.alias("r")
-    )
+    return _correlated(table.mapInPandas(moments, MOMENT_SCHEMA), pairs)
+
+
+def _pearson_of_cells(cells: DataFrame, size: int, pairs: list[tuple[int, int]], names: list[tuple[str, str]]) -> DataFrame:
+    """Pearson r of pairs of columns that are given as cells (k, row, rc), with `k` below `size`.
+
+    Cells of a row meet by one shuffle; a task lays them out as dense rows, batch by batch, and adds up their moments.
+    """
+    left, right = (np.array(x) for x in zip(*pairs, strict=True))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Moments(size)
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)]
+
+        def add(k: np.ndarray, row: np.ndarray, rc: np.ndarray) -> None:
+            place = np.cumsum(np.append(0, row[1:] != row[:-1]))
+            values = np.full((place[-1] + 1, size), np.nan)
+            values[place, k] = rc
+            sums.add(values)
+
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            done = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0  # the last row may go on
+            if done:
+                add(*[h[:done] for h in held])
+                held = [h[done:] for h in held]
+        if len(held[1]):
+            add(*held)
+        yield pa.RecordBatch.from_pydict(sums.of(left, right))
+
+    met = cells.select("k", "row", "rc").repartition("row").sortWithinPartitions("row")
+    return _correlated(met.mapInArrow(moments, MOMENT_SCHEMA), names)
 
 
 def _rank_times_flags(df: DataFrame, numbers: list[str], flags: list[str]) -> DataFrame:
@@ -145,45 +190,33 @@ def _rank_times_rank(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
     The ranks of a column depend on the partner only through the rows that the partner lacks, so a
     column is ranked once for all partners that lack none, and once more for each that does. Rows are
-    numbered in a checkpoint; each ranking gives one value per row, and all pairs are then products of
-    ranks, taken in one scan.
+    numbered in a checkpoint. All rankings come out of one range sort of their cells, and the ranks of a row
+    meet again by its number: two shuffles of the cells.
     """
     columns = sorted({c for pair in pairs for c in pair})
-    held = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    base = cut_lineage(df.select(*[v.alias(f"c{i}") for i, v in enumerate(held.values())]).withColumn(
-        "_row", F.monotonically_increasing_id()
-    ))
+    number = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    held = [F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(number.values())]
+    base = cut_lineage(df.select(*held).withColumn("_row", F.monotonically_increasing_id()))
     place = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
     seen = base.agg(
         *[F.count(place[c]).alias(f"n{i}") for i, c in enumerate(columns)],
         *[F.count_if(place[a].isNotNull() & place[b].isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
     ).first()
     alone = {c: seen[f"n{i}"] for i, c in enumerate(columns)}
-    rankings: dict[tuple[str, str | None], str] = {}
+    rankings: dict[tuple[str, str | None], int] = {}
 
-    def ranking(column: str, partner: str, both: int) -> str:
-        return rankings.setdefault((column, None if both == alone[column] else partner), f"r{len(rankings)}")
+    def ranking(column: str, partner: str, both: int) -> int:
+        return rankings.setdefault((column, None if both == alone[column] else partner), len(rankings))
 
     named = [(ranking(a, b, seen[f"p{i}"]), ranking(b, a, seen[f"p{i}"])) for i, (a, b) in enumerate(pairs)]
-    cells = base.select("_row", F.explode(F.array(*[
+    cells = base.select(F.col("_row").alias("row"), F.inline(F.array(*[
         F.struct(
-            F.lit(name).alias("k"),
+            F.lit(k).alias("k"),
             (place[c] if partner is None else F.when(place[partner].isNotNull(), place[c])).alias("v"),
         )
-        for (c, partner), name in rankings.items()
-    ])).alias("_c")).select("_row", "_c.*").where(F.col("v").isNotNull())
-    ranked = cumulative_counts(value_counts(cells, ["k"], "v"), ["k"], "v")
-    centred = F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0
-    wide = cells.join(ranked.select("k", "v", centred.alias("rc")), ["k", "v"]).groupBy("_row").agg(*[
-        F.max(F.when(F.col("k") == name, F.col("rc"))).alias(name) for name in rankings.values()
-    ])
-    found = pearson_pairs(wide, sorted(set(named)), dict.fromkeys(rankings.values(), 0.0))
-    names = df.sparkSession.createDataFrame(
-        [(x, y, a, b) for (x, y), (a, b) in zip(named, pairs, strict=True)], "x string, y string, a string, b string"
-    )
-    return found.join(F.broadcast(names), (F.col("feature_a") == F.col("x")) & (F.col("feature_b") == F.col("y"))).select(
-        F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "n", "r"
-    )
+        for (c, partner), k in rankings.items()
+    ]))).where(F.col("v").isNotNull())
+    return _pearson_of_cells(range_ranks(cells), len(rankings), named, pairs)
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

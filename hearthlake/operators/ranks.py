@@ -8,7 +8,12 @@ and the digits depend on the value alone, so a recomputed task produces the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from hearthlake.session import cut_lineage
@@ -95,6 +100,103 @@ def average_ranks(df: DataFrame, group: list[str], value: str, rank: str = "avg_
     return ranked.withColumn(rank, F.col("before") + (F.col("cnt") + 1) / 2.0)
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal key tuples in sorted arrays."""
+    size = len(keys[0])
+    new = np.ones(size, bool)
+    if size:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, size))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> list[np.ndarray]:
+    """The columns of a sorted partition, which a range sort keeps to the size of a shuffle partition."""
+    parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    return [np.concatenate([np.zeros(0, kind), *column]) for kind, column in zip(kinds, zip(*parts), strict=False)] if parts else [
+        np.zeros(0, kind) for kind in kinds
+    ]
+
+
+def _borders(rows: list[Row]) -> dict[int, dict[int, tuple[int, int, int, int]]]:
+    """What each part of a group in a sorted partition must know of the others.
+
+    `rows` say for each partition and group how many cells there are, and the first and last value with
+    their copies; there are as many as partitions plus groups. Returns by partition and group: smaller cells and copies of the
+    first value in earlier partitions, copies of the last value in later ones, and the group's cells.
+    """
+    out: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+    groups: dict[int, list[Row]] = {}
+    for row in sorted(rows, key=lambda r: r["part"]):
+        groups.setdefault(row["k"], []).append(row)
+    for k, parts in groups.items():
+        total, before, open_value, open_cells = sum(r["n"] for r in parts), [], None, 0
+        seen = 0
+        for r in parts:
+            copies = open_cells if r["first"] == open_value else 0
+            before.append((seen - copies, copies))
+            seen += r["n"]
+            open_cells = r["n_last"] + (copies if r["n_last"] == r["n"] else 0)
+            open_value = r["last"]
+        open_value, open_cells = None, 0
+        for r, (smaller, copies) in zip(reversed(parts), reversed(before), strict=True):
+            after = open_cells if r["last"] == open_value else 0
+            out.setdefault(r["part"], {})[k] = (smaller, copies, after, total)
+            open_cells = r["n_first"] + (after if r["n_first"] == r["n"] else 0)
+            open_value = r["first"]
+    return out
+
+
+def range_ranks(cells: DataFrame) -> DataFrame:
+    """(k, row, rc): the average rank of each cell of `cells` (k int, v double, row bigint) within k, less their mean.
+
+    One range sort by (k, v, row) spreads a hot value over partitions like any other; a second pass adds what lies
+    in other partitions: the cells before, and copies of a value on either side of a border. The sorted
+    cells are checkpointed, so both passes see the same partitions. Values are neither NULL nor NaN.
+    """
+    order = ["k", "v", "row"]
+    typed = cells.select(F.col("k").cast("int"), (F.col("v") + F.lit(0.0)).alias("v"), F.col("row").cast("bigint"))
+    placed = cut_lineage(typed.repartitionByRange(*order).sortWithinPartitions(*order))
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, v = _whole(batches, [np.int32, np.float64])
+        starts, sizes = _runs(k)
+        runs, copies = _runs(k, v)
+        first = np.searchsorted(runs, starts)
+        last = np.searchsorted(runs, starts + sizes) - 1
+        part = np.full(len(starts), TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_pydict({
+            "part": part, "k": k[starts], "n": sizes, "first": v[starts], "n_first": copies[first],
+            "last": v[starts + sizes - 1], "n_last": copies[last],
+        })
+
+    rows = placed.select("k", "v").mapInArrow(
+        edges, "part bigint, k int, n bigint, first double, n_first bigint, last double, n_last bigint"
+    ).collect()
+    known = placed.sparkSession.sparkContext.broadcast(_borders(rows))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, v, row = _whole(batches, [np.int32, np.float64, np.int64])
+        if not len(k):
+            return
+        here = known.value[TaskContext.get().partitionId()]
+        starts, sizes = _runs(k)
+        runs, copies = _runs(k, v)
+        first, last = np.searchsorted(runs, starts), np.searchsorted(runs, starts + sizes) - 1
+        smaller, earlier, later, total = np.array([here[g] for g in k[starts].tolist()]).T
+        group = np.searchsorted(starts, runs, "right") - 1
+        before = smaller[group] + earlier[group] + runs - starts[group]
+        width = copies.astype(np.int64)
+        before[first] -= earlier
+        width[first] += earlier
+        width[last] += later
+        rc = before + (width + 1) / 2.0 - (total[group] + 1) / 2.0
+        out = pa.RecordBatch.from_pydict({"k": k, "row": row, "rc": np.repeat(rc, copies)})
+        yield from (out.slice(i, 1 << 18) for i in range(0, len(out), 1 << 18))
+
+    return placed.mapInArrow(ranked, "k int, row bigint, rc double")
+
+
 def exact_percentiles(
     df: DataFrame, group: list[str], value: str, shares: dict[str, float]
 ) -> DataFrame:
