@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from hearthlake.catalog.fixtures import table
 from hearthlake.catalog.registry import query
 from hearthlake.operators.linkage import first_wins
-from hearthlake.session import ensure_checkpoint_dir
-from hearthlake.sources import readers, writers
+from hearthlake.session import cut_lineage, ensure_checkpoint_dir
+from hearthlake.sources import json_arrays, readers, writers
 
 
 def _place(spark) -> str:
@@ -33,6 +33,31 @@ def read_json_lines(spark, sf_dir):
     return readers.read_listings(spark, [folder, folder + "-missing"], schema, multi_line=False)
 
 
+@query("read_json_array_splits", """SELECT p_partkey::VARCHAR AS url_anuncio, p_name || ' "}, {" \\' AS titulo, p_type AS descricao_completa,
+  row_number() OVER (ORDER BY p_partkey) - 1 AS record_no, true AS several FROM part""")
+def read_json_array_splits(spark, sf_dir):
+    """One array file, read by several tasks; quotes, brackets and backslashes inside strings."""
+    folder = _place(spark)
+    part = table(spark, sf_dir, "part")
+    first = part.agg(F.min("p_partkey").alias("first"))
+    record = F.to_json(F.struct(
+        F.col("p_partkey").cast("string").alias("url_anuncio"), F.concat("p_name", F.lit(' "}, {" \\')).alias("titulo"),
+        F.struct(F.array("p_size").alias("p}")).alias("nested"), F.col("p_type").alias("descricao_completa"),
+    ))
+    rows = part.join(first).select("p_partkey", F.concat(F.when(F.col("p_partkey") == F.col("first"), "[").otherwise(", "), record).alias("value"))
+    end = spark.range(1).select(F.lit(None).cast("bigint").alias("p_partkey"), F.lit("]").alias("value"))
+    ordered = rows.unionByName(end).repartition(1).sortWithinPartitions(F.asc_nulls_last("p_partkey"))  # one file
+    ordered.select("value").write.option("lineSep", " ").text(folder)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = json_arrays.read_json_arrays(spark, folder, _strings("url_anuncio", "titulo", "descricao_completa"))
+        parts = json_arrays._cut(spark, [folder]).select("split").distinct().count()
+        return cut_lineage(rows.select("url_anuncio", "titulo", "descricao_completa", "record_no", F.lit(parts > 1).alias("several")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 @query("read_csv_text", "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS digest, length(text) AS n FROM documents")
 def read_csv_text(spark, sf_dir):
     """Texts with line ends and quotes through CSV."""
