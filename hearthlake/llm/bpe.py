@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ BUFFER = 65_536
 BLANKS = " \n\u3000"
 #: Words whose ids a task remembers.
 CACHED_WORDS = 150_000
+#: Words of up to so many symbols are merged by searching them, which is faster there than a heap.
+SHORT = 48
 #: Below this code point no character changes under NFC, and the character classes of all Unicode versions agree.
 PLAIN_BELOW = "ɐ"
 
@@ -105,7 +108,13 @@ class Encoder:
         self.controls = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.symbols = byte_symbols()
         self.path = path
+        # plain words, and pieces spelled in byte symbols: two tables, as one may look like the other
         self.words: dict[str, list[int]] = {}
+        self.spelled_words: dict[str, list[int]] = {}
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.spelled_words.clear()
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -117,6 +126,8 @@ class Encoder:
 
     def merged(self, parts: list[str]) -> list[str]:
         """Apply the merges in order of rank, each from left to right."""
+        if len(parts) > SHORT:
+            return self.merged_long(parts)
         ranks, none = self.ranks, len(self.ranks)
         found = [ranks.get(p, none) for p in zip(parts, parts[1:], strict=False)]
         while found:
@@ -132,6 +143,37 @@ class Encoder:
                 found[i] = ranks.get((parts[i], parts[i + 1]), none)
         return parts
 
+    def merged_long(self, parts: list[str]) -> list[str]:
+        """The same by a heap of (rank, place) over a linked list: n log n steps for n symbols."""
+        ranks, size = self.ranks, len(parts)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get(p)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= size or ranks.get((parts[i], parts[j])) != rank:
+                continue  # a part of it has been merged since
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = k = after[j]
+            if k < size:
+                before[k] = i
+                if (r := ranks.get((parts[i], parts[k]))) is not None:
+                    heappush(heap, (r, i))
+            if (k := before[i]) >= 0 and (r := ranks.get((parts[k], parts[i]))) is not None:
+                heappush(heap, (r, k))
+        return [p for p in parts if p]
+
+    def settled(self, held: list[str], out: list[int]) -> list[str]:
+        """Append the ids of the tokens that no further symbols can change; returns the symbols behind them."""
+        stable, done = len(held) - 1 - self.lookahead, 0  # the last symbol's word end is not known yet
+        for token in self.merged(held[:-1]) if stable > 0 else []:
+            if done + len(token) > stable:
+                break
+            out.append(self.vocab[token])
+            done += len(token)
+        return held[done:]
+
     def word(self, symbols: list[str]) -> list[int]:
         symbols[-1] += self.suffix
         return [self.vocab[t] for t in self.merged(symbols)]
@@ -159,16 +201,7 @@ class Encoder:
                 out += self.word(held)
                 return end
             at = end
-            stable = len(held) - 1 - self.lookahead  # the last symbol's word end is not known yet
-            if stable <= 0:
-                continue
-            done = 0
-            for token in self.merged(held[:-1]):
-                if done + len(token) > stable:
-                    break
-                out.append(self.vocab[token])
-                done += len(token)
-            held = held[done:]
+            held = self.settled(held, out)
 
     def plain(self, text: str, out: list[int], buffer: int) -> None:
         """Append the ids of a text that is below PLAIN_BELOW, in pieces of `buffer` characters."""
@@ -213,30 +246,20 @@ class Encoder:
     def beyond(self, text: str, out: list[int], buffer: int) -> None:
         """Append the ids of a part of a text by the library's text rules."""
         text = self.library.normalizer.normalize_str(text)
-        words = self.words
+        known = self.spelled_words
         for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text):
-            if len(piece) > buffer:
+            ids = known.get(piece)
+            if ids is None and len(piece) > buffer:
                 held: list[str] = []
                 for at in range(0, len(piece), buffer):
-                    held += piece[at : at + buffer]
-                    if at + buffer >= len(piece):
-                        out += self.word(held)
-                        break
-                    stable, done = len(held) - 1 - self.lookahead, 0
-                    for token in self.merged(held[:-1]) if stable > 0 else []:
-                        if done + len(token) > stable:
-                            break
-                        out.append(self.vocab[token])
-                        done += len(token)
-                    held = held[done:]
-                continue
-            key = "\0" + piece  # spelled pieces are kept apart from plain words
-            ids = words.get(key)
-            if ids is None:
+                    held = self.settled(held, out) + list(piece[at : at + buffer])
+                ids = self.word(held)
+            elif ids is None:
                 ids = self.word(list(piece))
-                if len(words) >= CACHED_WORDS:
-                    words.clear()
-                words[key] = ids
+                if len(known) >= CACHED_WORDS:
+                    known.clear()
+                if len(piece) <= 64:
+                    known[piece] = ids
             out += ids
 
     def encode(self, text: str | None, buffer: int = BUFFER) -> list[int]:
@@ -330,7 +353,7 @@ def encode(
         encoder = _encoder(tokenizer)
         return {ids: [encoder.encode(t, buffer) for t in texts]}
 
-    return with_python(df, text, f"`{ids}` array<int>", work, keep, after=lambda: _encoder(tokenizer).words.clear())
+    return with_python(df, text, f"`{ids}` array<int>", work, keep, after=lambda: _encoder(tokenizer).forget())
 
 
 def decode(
@@ -355,4 +378,4 @@ def round_trip(
         return {ids: rows, decoded: [decoder.text(row, step) for row in rows]}
 
     new = f"`{ids}` array<int>, `{decoded}` string"
-    return with_python(df, text, new, work, keep, after=lambda: _encoder(tokenizer).words.clear())
+    return with_python(df, text, new, work, keep, after=lambda: _encoder(tokenizer).forget())
