@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
 from hearthlake.llm.common import with_python
+from hearthlake.sources.elements import RAW, VOID, tokens
 
 # Element classes of the HTML standard.
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = set(
     "head script style template title noscript iframe noembed noframes object audio video canvas datalist area svg math".split()
 )
@@ -20,7 +20,8 @@ LINE = set(
     "address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li "
     "main menu nav optgroup option section summary caption search".split()
 )
-SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
+PRE = {"pre", "xmp", "listing", "plaintext"}
+SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p table ul".split()) | PRE
 BLOCK = LINE | SPACED
 CELLS, ROW_GROUPS = {"td", "th"}, {"thead", "tbody", "tfoot"}
 #: Opening the key ends open elements of the values, up to the nearest of STOPS.
@@ -35,13 +36,11 @@ STOPS = {
 #: Widest padding of a table cell; wider cells are written whole and not padded to.
 MAX_PADDING = 60
 
+#: Columns in which cells reach down over rows; further ones are placed as if they did not.
+MAX_COLUMNS = 1_000
 #: Open elements that nest; deeper ones become siblings, as in browsers.
 MAX_DEPTH = 512
 
-_MARKUP = re.compile(r"<!--|<(/?)([A-Za-z][^\s/>]*)|<[!?/]")
-_REST = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
-_ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -50,57 +49,28 @@ class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
-    hidden: bool = False
+    rendered: bool = True
+    visible: bool | None = None
 
 
-def attributes(source: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(source):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
+def styles(source: str) -> dict[str, str]:
+    """The last value of each declared property."""
+    out = {}
+    for declaration in source.split(";"):
+        name, _, value = declaration.partition(":")
+        out[name.strip().lower()] = value.lower().removesuffix("!important").strip()
     return out
 
 
-def is_hidden(tag: str, attrs: dict[str, str]) -> bool:
-    return (
-        tag in UNSEEN or "hidden" in attrs or bool(_HIDING.search(attrs.get("style", "")))
-        or (tag == "dialog" and "open" not in attrs)
-    )
+def shown(tag: str, attrs: dict[str, str]) -> tuple[bool, bool | None]:
+    """Whether an element is rendered at all, and whether its text is visible (None: as that of its parent).
 
-
-def tokens(source: str):
-    """(text, "", "") and (tag, "/" or "", attributes) in order, in time linear in the page.
-
-    A comment or tag that never ends takes the rest of the page with it, as in browsers. Once a quote
-    turns out to be unbalanced, later tags end at their first ">".
+    What is not rendered takes everything inside with it; text of an invisible element goes, but elements inside may be visible again.
     """
-    at, size, balanced = 0, len(source), True
-    while at < size:
-        found = _MARKUP.search(source, at)
-        if not found or found.start() > at:
-            yield source[at : found.start() if found else size], None, ""
-        if not found:
-            return
-        tag = (found[2] or "").lower()
-        begin = found.end()
-        rest = _REST.match(source, begin) if tag and balanced else None
-        if rest:
-            at = rest.end()
-        else:
-            balanced = balanced and not tag
-            mark = "-->" if found[0] == "<!--" else ">"
-            close = source.find(mark, begin)
-            if close < 0:
-                return
-            at = close + len(mark)
-        if not tag:
-            continue
-        yield tag, found[1], source[begin : at - 1]
-        if tag in RAW and not found[1]:
-            done = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            text = source[at : done.start() if done else size]
-            yield text if tag in {"textarea", "title"} else "", None, ""
-            yield tag, "/", ""
-            at = done.end() if done else size
+    style = styles(attrs["style"]) if "style" in attrs else {}
+    display = style.get("display")
+    unseen = tag in UNSEEN or display == "none" or (display is None and ("hidden" in attrs or (tag == "dialog" and "open" not in attrs)))
+    return not unseen, {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility", ""))
 
 
 def parse(source: str) -> Node:
@@ -126,10 +96,10 @@ def parse(source: str) -> Node:
         if at is not None:
             close(at)
 
-    for tag, slash, source_attrs in tokens(source):
+    for tag, slash, attrs in tokens(source):
         if slash is None:
             if tag:
-                stack[-1].children.append(html.unescape(tag))
+                stack[-1].children.append(tag)
             continue
         if slash:
             if tag == "br":
@@ -143,7 +113,6 @@ def parse(source: str) -> Node:
                     if stack[i].tag in fence or (fence and stack[i].tag in CELLS and tag not in CELLS | {"tr"} | ROW_GROUPS):
                         break
             continue
-        attrs = attributes(source_attrs) if source_attrs.strip(" \t\n\r\f/") else {}
         if tag in ENDS:
             end(ENDS[tag], STOPS[tag])
         if tag in BLOCK and counts.get("p"):
@@ -152,9 +121,9 @@ def parse(source: str) -> Node:
             stack[-1].children.append(Node("tr"))
             stack.append(stack[-1].children[-1])
             counts["tr"] = counts.get("tr", 0) + 1
-        node = Node(tag, attrs, hidden=is_hidden(tag, attrs))
+        node = Node(tag, attrs, [], *shown(tag, attrs))
         stack[-1].children.append(node)
-        if tag not in VOID and (len(stack) < MAX_DEPTH or node.hidden or tag in RAW):
+        if tag not in VOID and (len(stack) < MAX_DEPTH or not node.rendered or tag in RAW):
             stack.append(node)
             counts[tag] = counts.get(tag, 0) + 1
     return root
@@ -212,45 +181,67 @@ class Flow:
 
 @dataclass
 class Table:
-    rows: list[list[tuple[list[str], int]]] = field(default_factory=list)
+    rows: list[list[tuple[list[str], int, int]]] = field(default_factory=list)
+
+    def grid(self) -> list[list[tuple[int, list[str], int]]]:
+        """(column, lines, columns) of the cells of each row: a cell passes by those that reach down from above."""
+        out, reaching = [], []  # (first column, column behind, rows left)
+        for row in self.rows:
+            taken, placed, grown, at, column = sorted(reaching), [], [], 0, 0
+            for cell, across, down in row:
+                while at < len(taken) and taken[at][0] <= column:
+                    column = max(column, taken[at][1])
+                    at += 1
+                placed.append((column, cell, across))
+                if down > 1 and column + across <= MAX_COLUMNS:
+                    grown.append((column, column + across, down))
+                column += across
+            reaching = [(a, b, n - 1) for a, b, n in [*reaching, *grown] if n > 1]
+            out.append(placed)
+        return out
 
     def lines(self) -> list[str]:
         """Cells side by side: columns padded to their widest cell, a cell's lines kept below each other."""
-        width: dict[int, int] = {}
-        for row in self.rows:
-            col = 0
-            for cell, span in row:
-                if span == 1:
-                    width[col] = max(width.get(col, 0), *[n for n in map(len, cell) if n <= MAX_PADDING], 0)
-                col += span
+        rows, width = self.grid(), {}
+        for row in rows:
+            for column, cell, across in row:
+                if across == 1:
+                    width[column] = max(width.get(column, 0), *[n for n in map(len, cell) if n <= MAX_PADDING], 0)
+        columns = sorted(width)
+        sums = [0, *accumulate(width[c] for c in columns)]
         out = []
-        for row in self.rows:
-            for i in range(max((len(cell) for cell, _ in row), default=0)):
-                parts, col = [], 0
-                for cell, span in row:
-                    room = sum(width.get(col + k, 0) for k in range(span)) + 2 * (span - 1)
-                    parts.append((cell[i] if i < len(cell) else "").ljust(room))
-                    col += span
-                out.append("  ".join(parts).rstrip())
+        for row in rows:
+            starts = [2 * column + sums[bisect_left(columns, column)] for column, _, _ in row]
+            for i in range(max((len(cell) for _, cell, _ in row), default=0)):
+                line = ""
+                for start, (_, cell, _) in zip(starts, row, strict=True):
+                    if i < len(cell) and cell[i]:
+                        line = (line + "  " if line and len(line) + 2 > start else line.ljust(start)) + cell[i]
+                out.append(line.rstrip())
         return out
 
 
-def span_of(node: Node) -> int:
-    value = node.attrs.get("colspan", "1")
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+def span_of(node: Node, name: str, most: int, none: int = 1) -> int:
+    """A cell's number of columns or rows; `none` for 0."""
+    value = node.attrs.get(name, "1")
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return min(int(value[-9:] if value.strip("0") else 0), most) or none
 
 
 def render(source: str | None) -> str:
     """All visible text of a page. Null and empty pages give an empty text; any nesting depth is read without recursion."""
     if not source:
         return ""
-    flows, tables, lists = [Flow()], [], []
+    flows, tables, lists, visible = [Flow()], [], [], [True]
     pre = 0
     todo: list = [(parse(source), True)]
     while todo:
         node, entering = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if not visible[-1]:
+                continue
             if tables and len(flows) == tables[-1][1]:
                 if node.strip():  # text between rows belongs before the table
                     flow.text(node)
@@ -261,13 +252,15 @@ def render(source: str | None) -> str:
             continue
         tag = node.tag
         if entering:
-            if node.hidden:
+            if not node.rendered:
                 continue
             if tag == "br":
-                flow.line(always=True)
+                if visible[-1]:
+                    flow.line(always=True)
                 continue
             if tag in VOID and tag != "hr":
                 continue
+            visible.append(visible[-1] if node.visible is None else node.visible)
             if tag in BLOCK:
                 flow.block(1 if tag in SPACED and not (tag in {"ul", "ol"} and lists) else 0)
             if tag in {"ul", "ol", "menu"}:
@@ -277,13 +270,13 @@ def render(source: str | None) -> str:
                 kind = lists[-1] if lists else ["ul", 1]
                 marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
-                flow.marker = marker
+                flow.marker = marker if visible[-1] else ""
                 flow.indent.append(" " * len(marker))
             elif tag == "blockquote":
                 flow.indent.append("> ")
             elif tag == "dd":
                 flow.indent.append("    ")
-            elif tag == "pre":
+            elif tag in PRE:
                 pre += 1
             elif tag == "table":
                 tables.append((Table(), len(flows)))
@@ -294,12 +287,13 @@ def render(source: str | None) -> str:
             todo.append((node, False))
             todo += [(child, True) for child in reversed(node.children)]
             continue
+        visible.pop()
         if tag in CELLS and tables and len(flows) > tables[-1][1]:
             flow.line()
             flows.pop()
             if not tables[-1][0].rows:
                 tables[-1][0].rows.append([])
-            tables[-1][0].rows[-1].append((flow.lines or [""], span_of(node)))
+            tables[-1][0].rows[-1].append((flow.lines or [""], span_of(node, "colspan", 1_000), span_of(node, "rowspan", 65_534, 65_534)))
         elif tag == "table" and tables:
             table, _ = tables.pop()
             flow.line()
@@ -316,7 +310,7 @@ def render(source: str | None) -> str:
             flow.indent.pop()
         elif tag in {"blockquote", "dd"} and flow.indent:
             flow.indent.pop()
-        elif tag == "pre":
+        elif tag in PRE:
             pre -= 1
     flows[0].line()
     return "\n".join(flows[0].lines).strip("\n")
