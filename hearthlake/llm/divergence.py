@@ -19,7 +19,7 @@ TOP = 50
 #: Entries of a task's stripes, (term) and (term, source), before they are spilled.
 HELD = 1_000_000
 #: Entries of merged stripes that one task compares, and sources whose rows of the pair matrix it holds.
-SLICE, BLOCK = 1_000_000, 1_024
+SLICE, BLOCK = 100_000, 1_024
 #: Cells of a dense block of terms by sources.
 CELLS = 1_000_000
 PIECE = 1_000_000
@@ -151,8 +151,8 @@ def leading(col: np.ndarray, value: np.ndarray, spelled: np.ndarray, top: int) -
     return order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < top]
 
 
-def compared(stripes: pa.Table, sources: pa.Table, block: int, top: int) -> pa.Table:
-    """Divergences that some stripes of a language give, for one block of its sources.
+def compared(stripes: pa.Table, sources: pa.Table, mine: slice, top: int) -> pa.Table:
+    """Divergences that some stripes of a language give, for one block of its sources in order.
 
     `sources` has every source of the language with its count N of kept terms, and the language's V. Rows `pair`
     are part sums for a source of the block and each source behind it; rows `term` the leading terms of its sources.
@@ -162,7 +162,7 @@ def compared(stripes: pa.Table, sources: pa.Table, block: int, top: int) -> pa.T
     n = np.zeros(len(names), np.int64)
     n[[number[s] for s in sources.column("source").to_pylist()]] = sources.column("N").to_numpy()
     smooth = 5 * sources.column("V")[0].as_py()
-    mine = range(block * BLOCK, min(len(names), (block + 1) * BLOCK))
+    mine = range(len(names))[mine]
 
     words = [t.encode() for t in stripes.column("term").to_pylist()]
     lists = pa.concat_arrays(stripes.column("stripe").chunks) if len(words) else pa.array([], STRIPE)
@@ -195,7 +195,7 @@ def compared(stripes: pa.Table, sources: pa.Table, block: int, top: int) -> pa.T
 
 def divergences(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_documents: int = MIN_DOCUMENTS,
-    top: int = TOP, held: int = HELD, entries: int = SLICE,
+    top: int = TOP, held: int = HELD, entries: int = SLICE, block: int = BLOCK,
 ) -> DataFrame:
     """lang, source, part, item, value, rank: how far sources of a language lie apart, and by which terms.
 
@@ -206,7 +206,7 @@ def divergences(
 
     Null text, lang and source are ''. Empty texts have no terms, but their source is one of its language; repeated rows count as
     often as they occur; an empty table has no rows; other columns are not read. Merged stripes are checkpointed; a language is
-    dealt by the hash of the term into tasks of about `entries` entries, and by BLOCK sources.
+    dealt by the hash of the term into tasks of about `entries` entries, and by `block` sources.
     """
     kept = checkpointed(merged(folded(docs, text, lang, source, held), min_documents))
     flat = kept.select("lang", "term", F.explode("stripe").alias("e")).select("lang", "term", "e.source", "e.n")
@@ -214,7 +214,7 @@ def divergences(
     langs = kept.groupBy("lang").agg(
         F.count_if(F.col("term") != "").alias("V"),
         F.ceil(F.sum(F.size("stripe")) / F.lit(entries)).cast("int").alias("slices"),
-        F.ceil(F.sum(F.when(F.col("term") == "", F.size("stripe")).otherwise(0)) / F.lit(BLOCK)).cast("int").alias("blocks"),
+        F.ceil(F.sum(F.when(F.col("term") == "", F.size("stripe")).otherwise(0)) / F.lit(block)).cast("int").alias("blocks"),
     )
     dealt = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     left = kept.where(F.col("term") != "").join(langs, "lang").select(
@@ -225,7 +225,8 @@ def divergences(
     ).select(F.col("lang").alias("_lang"), "source", "N", "V", F.col("slice").alias("_slice"), dealt.alias("_block"))
 
     def work(key: tuple, stripes: pa.Table, group: pa.Table) -> pa.Table:
-        found = compared(stripes, group, key[2].as_py(), top)
+        number = key[2].as_py()
+        found = compared(stripes, group, slice(number * block, (number + 1) * block), top)
         return found.add_column(0, "lang", pa.array([key[0].as_py()], pa.string()).take(pa.array([0] * len(found), pa.int64())))
 
     parts = left.groupBy("lang", "slice", "block").cogroup(right.groupBy("_lang", "_slice", "_block")).applyInArrow(
