@@ -118,3 +118,9 @@ def prose(rng, lang, n):
     common = ENGLISH if lang == "en" else FRENCH
     stems = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(2)) for _ in range(n)]
     return " ".join(rng.choice(common) if rng.random() < 0.45 else s + rng.choice(ENDINGS[lang]) for s in stems)
+
+
+def letter_terms(text):
+    """Runs of letters and of characters beyond ASCII, A to Z lower-cased."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower)

@@ -4,6 +4,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import escape
+from html.parser import HTMLParser
 
 import brute
 import numpy as np
@@ -218,6 +220,38 @@ def test_token_files_without_keys_and_open_ends(spark, tmp_path):
         assert [(r.document, r.ids) for r in got] == [(0, 2), (1, 0), (2, 1), (3, 2)]
 
 
+def test_a_token_file_is_read_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    numbers = rng.choice([1, 10, 11, 266, 2570, 2816, 256, 50257, 0], 40_000, p=[.1, .2, .1, .1, .1, .1, .1, .199, .001]).astype("<u2")
+    numbers[10_000:30_000] = rng.choice([10, 2570, 11], 20_000)  # a document longer than a split
+    (tmp_path / "a").write_bytes(numbers.tobytes())
+    (tmp_path / "b").write_bytes(numbers[:77].tobytes() + b"\n")  # an odd last byte
+    marked = np.append(np.frombuffer(b"\xef\xbb\xbf\x01", "<u2"), numbers[:300])  # begins like a byte order mark
+    (tmp_path / "c").write_bytes(marked.tobytes())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert tokenfiles.records(spark, str(tmp_path), "\n").rdd.getNumPartitions() >= 16
+        for separator in (0, 10, 2570, 256):
+            got = {(r.file[-1], r.document): (r.ids, r.head) for r in tokenfiles.scan(spark, str(tmp_path), 3, 500, separator).collect()}
+            for name, all_ in (("a", numbers), ("b", numbers[:77]), ("c", marked)):
+                runs = np.split(all_, np.flatnonzero(all_ == separator) + 1)
+                runs = [r[:-1] if i < len(runs) - 1 else r for i, r in enumerate(runs)]
+                want = {(name, i): (len(r), r[:3].tolist()) for i, r in enumerate(runs) if len(r) or i < len(runs) - 1}
+                assert {k: v for k, v in got.items() if k[0] == name} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_token_bytes_of_long_runs(spark):
+    texts = [" " * 300_000 + "x", "a" * 300_000, "\n \t" * 100_000, "word " * 60_000 + " " * 60_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [np.frombuffer(bytes(r.value), "<u2").astype(int).tolist() for r in tokenfiles.token_bytes(df, RANKS, public_tokenizers.PATTERN, None).collect()]
+    want = [[i + 1 for i in library.encode(t, add_special_tokens=False).ids] for t in texts]
+    assert sorted(got) == sorted(want)
+
+
 # 6 page text
 
 
@@ -234,6 +268,57 @@ def test_layout_of_lists_tables_and_hidden_parts():
     assert layout.render("5 < 6 &copy; <b>open <i>tags") == "5 < 6 © open tags"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p title=it's>x</p> mid <b>don't</b> end", "x\n\nmid don't end"),
+    ("<p title=it's>alpha</p><p>don't beta</p><p title='z'>gamma</p>", "alpha\n\ndon't beta\n\ngamma"),
+    ("a<!-->b<!--x--!>c<!--->d", "abcd"),
+    ("a<div style='visibility:hidden'>b<br><span style='visibility: visible'>c</span><ul><li>d</ul></div>e", "a\nc\n\ne"),
+    ("a<div style='display:none'>b<span style='display:block; visibility:visible'>c</span></div><p hidden>d<p hidden style='display:block'>e", "a\n\ne"),
+    ("a<plaintext><b>x</b>\n y", "a\n\n<b>x</b>\n y"),
+    ("<xmp><b> x</xmp>z<textarea><i></textarea>", "<b> x\n\nz<i>"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>A<td rowspan=3 colspan=2>Wide cell<td>B<tr><td>C<td>D<tr><td colspan=1>E<td>F<tr><td>G<td>H", "A  Wide cell  B\nC      D\nE      F\nG  H"),
+    ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>", "A  B\n   C\n   D"),
+    ("<table><tr><td rowspan=2>a<br>b<br>c<td>x<tr><td>y</table>", "a  x\nb\nc\n   y"),
+])
+def test_layout_of_odd_attributes_visibility_and_row_spans(page, want):
+    if "Wide" in page:  # a cell over two columns without own width
+        assert [line.split() for line in layout.render(page).split("\n")] == [line.split() for line in want.split("\n")]
+    else:
+        assert layout.render(page) == want
+
+
+class Reader(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out = []
+
+    def handle_data(self, data):
+        self.out.append(data)
+
+
+def test_layout_keeps_the_words_of_well_formed_pages():
+    rng = random.Random(12)
+    values = ["it's", 'say "x"', "a > b", "</p>", "<td>", "ok", "", "x=y", "é&"]
+    for _ in range(300):
+        parts = []
+
+        def grow(depth):
+            for _ in range(rng.randrange(1, 4)):  # noqa: B023
+                tag, quote = rng.choice(["div", "span", "b", "section", "i", "h2", "article"]), rng.choice("'\"")  # noqa: B023
+                parts.append(f"<{tag} {rng.choice(['title', 'data-x', 'class'])}={quote}{escape(rng.choice(values))}{quote}{rng.choice(['', ' ', ' id=a-b'])}>")  # noqa: B023
+                parts.append(escape(rng.choice(values), quote=False) + rng.choice([" ", "<br>", "<br/>", "<!-- it's > -->"]))  # noqa: B023
+                if depth < 4:
+                    grow(depth + 1)
+                parts.append(f"</{tag}>")  # noqa: B023
+
+        grow(0)
+        reader = Reader()
+        reader.feed("".join(parts))
+        reader.close()
+        assert "".join(layout.render("".join(parts)).split()) == "".join("".join(reader.out).split())
+
+
 def test_layout_keeps_all_text_and_survives_odd_markup(spark):
     rng = random.Random(6)
     tags = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<div>", "</div>", "<b>", "</i>", "<br>", "<pre>", "</pre>", "<dl><dd>", "</td>", "<blockquote>"]
@@ -241,7 +326,7 @@ def test_layout_keeps_all_text_and_survives_odd_markup(spark):
         parts = [rng.choice(tags) if rng.random() < 0.7 else f"w{rng.randrange(1000)} " for _ in range(40)]
         words = [p.strip() for p in parts if p[0] == "w"]
         assert Counter(w for w in layout.render("".join(parts)).split() if w[0] == "w") == Counter(words)
-    for odd in ["<div>" * 30000 + "x", "<table><tr><td>" * 900 + "x", "<a " * 30000, "<a href='" * 9000, "<!--" * 30000, "<script>" * 9000, "<" * 30000]:
+    for odd in ["<div>" * 30000 + "x", "<table><tr><td>" * 900 + "x", "<a " * 30000, "<a href='" * 9000, "<!--" * 30000, "<script>" * 9000, "<" * 30000, "<table>" + "<tr><td rowspan=65534 colspan=3>x" * 3000, "<a b='c" * 9000]:
         layout.render(odd)
     df = spark.createDataFrame([(1, "<p>a", "old"), (1, "<p>a", "old"), (2, None, "old"), (None, "", "old")], "page_id long, html string, text string")
     assert ids(layout.visible_text(df).collect(), "page_id", "text") == ids([{"page_id": 1, "text": "a"}] * 2 + [{"page_id": 2, "text": ""}, {"page_id": None, "text": ""}], "page_id", "text")
@@ -383,6 +468,27 @@ def test_bpe_decodes_bytes_incrementally():
     assert "".join([decoder.push([i]) for i in encoder.encode(text)]) + decoder.finish() == text + " "
 
 
+def test_ids_do_not_depend_on_other_texts():
+    """Plain words and pieces spelled by the library's rules are remembered apart, also where they look alike."""
+    library = Tokenizer.from_file(WORD_BPE)
+    texts = ["\0~ x", "it’s ~ fine", "a \0~ b", "\0", "’\0~", "~", "é’ \0é"]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        encoder = bpe.Encoder(WORD_BPE)
+        for text in [*order, *order]:
+            assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_very_long_runs_are_merged_in_time():
+    rng, library, encoder = random.Random(3), Tokenizer.from_file(WORD_BPE), bpe.Encoder(WORD_BPE)
+    runs = ["a" * 1_000_000, "".join(rng.choice("etaoinshrdlu") for _ in range(200_000)), "!?" * 100_000, "日本" * 50_000, "’é" * 50_000]
+    for run in runs:
+        assert encoder.encode(run) == library.encode(run, add_special_tokens=False).ids
+    for _ in range(300):
+        run = "".join(rng.choice(["the", "ing", "x", "é", "ſ", "’", "!", "1", " "]) for _ in range(rng.randrange(300)))
+        want = library.encode(run, add_special_tokens=False).ids
+        assert all(encoder.encode(run, buffer) == want for buffer in (7, 150, 400, 65_536))
+
+
 # 10 toxicity
 
 
@@ -417,3 +523,41 @@ def test_non_negative_risk_turns_back():
     risk, d_p, d_u = toxicity.nn_risk_step(z_p, z_u, 0.3)
     assert (toxicity.nn_risk_step(z_p, z_u + [eps, 0], 0.3)[0] - risk) / eps == pytest.approx(d_u[0], rel=1e-3)
     assert (toxicity.nn_risk_step(z_p + [0, eps], z_u, 0.3)[0] - risk) / eps == pytest.approx(d_p[1], rel=1e-3)
+
+
+# all: clashing columns and one very long text
+
+
+def test_clashing_columns_do_not_matter(spark, docs, clashing, tmp_path):
+    model = toxicity.train(["idiot you idiot"] * 9, ["plain words here"] * 30, 0.2)
+    host = [r for r in quality.judge(docs, host="source", keep=["doc_id"]).collect()]
+    assert ids(quality.judge(clashing, host="source").collect(), "doc_id", "n_words", "kept") == ids(host, "doc_id", "n_words", "kept")
+    for make in (
+        lambda d: bpe.round_trip(d, WORD_BPE), lambda d: toxicity.score(d, model),
+        lambda d: tokenfiles.token_bytes(d.withColumn("value", F.lit("x")), RANKS, public_tokenizers.PATTERN),
+        lambda d: layout.visible_text(d.withColumnRenamed("text", "html")),
+    ):
+        got, want = make(clashing), make(docs)
+        names = [c for c in ("doc_id", "ids", "decoded", "score", "value", "text") if c in want.columns]
+        assert ids(got.select(*names).collect(), *names) == ids(want.select(*names).collect(), *names)
+    talk = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    wide = talk.select("*", *[F.lit("x").alias(n) for n in ("segments", "formatted", "escaped", "problem", "loss", "key", "_row")])
+    assert chat.read_back(chat.format_turns(wide)).collect() == chat.read_back(chat.format_turns(talk)).collect()
+
+
+def test_one_very_long_text(spark):
+    text = "some words of a long text, 12 of them. " * 100_000  # 3.9 MB
+    df = spark.createDataFrame([(0, text, "en", "s"), (1, "short one", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality.judge(df, host="source", keep=["doc_id"]).collect()}
+    assert judged[0].n_words == 900_000 and judged[2].n_words == 0
+    told = {r.doc_id: r for r in language.identify(df, language.fit(df), keep=["doc_id"]).collect()}
+    assert told[0].lang_pred == "en" and len(told) == 3
+    model = toxicity.train(["idiot you idiot"] * 9, ["plain words here"] * 30, 0.2)
+    assert toxicity.score(df, model).count() == 3
+    (whole,) = [r for r in bpe.round_trip(df, WORD_BPE, keep=["doc_id"]).collect() if r.doc_id == 0]
+    assert len(whole.ids) == len(Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids)
+    talk = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    (read,) = chat.read_back(chat.format_turns(talk)).collect()
+    assert read.loss_chars == len(text)
+    markup = "<table>" + "<tr><td>cell <b>x</b></td><td>" + text[:1_000_000] + "</td></tr></table>"
+    assert len(layout.render(markup).split()) == len(markup.replace("<", " <").replace(">", "> ").split()) - 10
