@@ -122,19 +122,19 @@ def aligned_items(response: Column, size: Column) -> Column:
     return F.filter(placed, lambda p: p["item_no"] < size)
 
 
-def align_batches(df: DataFrame, urls: str, response: str, terms: list[str]) -> DataFrame:
-    """Rows (url, extraction, answered) from batches of an array of URLs and one response.
+def align_batches(df: DataFrame, urls: str, response: str, terms: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Rows (url, extraction, answered), and the batch's columns `keep`, from batches of an array of URLs and one response.
 
     A batch row carries its own items, so alignment is done in place: no join, no shuffle. The last
     result for a position counts; positions without one get the default record.
     """
     size = F.size(urls)
     items = aligned_items(F.col(response), size)
-    rows = df.select(F.posexplode(urls).alias("item_no", vocab.URL), items.alias("_items"))
+    rows = df.select(F.posexplode(urls).alias("item_no", vocab.URL), items.alias("_items"), *(keep or []))
     mine = F.filter("_items", lambda p: p["item_no"] == F.col("item_no"))
-    picked = rows.select(vocab.URL, F.try_element_at(mine, F.lit(-1))["item"].alias("_item"))
+    picked = rows.select(vocab.URL, F.try_element_at(mine, F.lit(-1))["item"].alias("_item"), *(keep or []))
     return picked.select(
-        vocab.URL,
+        vocab.URL, *(keep or []),
         F.when(F.col("_item").isNotNull(), sanitize(F.col("_item"), terms)).otherwise(default_record(terms)).alias("extraction"),
         F.col("_item").isNotNull().alias("answered"),
     )
@@ -153,44 +153,72 @@ def batch_warnings(df: DataFrame, urls: str, response: str) -> DataFrame:
 
 # --- the extraction job ------------------------------------------------------------------------
 
+def readable(response: Column) -> Column:
+    """Whether an answer is a JSON object whose `resultados`, if there, is an array of objects only."""
+    parsed = F.try_parse_json(response)
+    told = F.try_variant_get(parsed, "$.resultados", "variant")
+    items = F.try_variant_get(parsed, "$.resultados", "array<variant>")
+    objects = F.forall(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.startswith(_kind(x), F.lit("OBJECT")))
+    listed = told.isNull() | (F.startswith(_kind(told), F.lit("ARRAY")) & objects)
+    return F.coalesce(F.startswith(_kind(parsed), F.lit("OBJECT")) & listed, F.lit(False))
+
+
 def ask_in_batches(
     df: DataFrame, extractor: Extractor, terms: list[str], text: str = vocab.DESCRIPTION,
     batch_size: int = 6,
 ) -> DataFrame:
-    """Rows (urls, response): the extractor sees whole texts, `batch_size` at a time.
+    """Rows (urls, response, error): the extractor sees whole texts, `batch_size` at a time.
 
-    Batches are cut inside each partition, so nothing is shuffled for them.
+    Batches are cut inside each partition, so nothing is shuffled for them. A batch whose extractor raises has no
+    response, but the error's text; the others go on.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             asked = []
             for start in range(0, len(frame), batch_size):
                 batch = frame.iloc[start:start + batch_size]
-                asked.append((batch["url"].tolist(), extractor(batch["text"].tolist(), terms)))
-            yield pd.DataFrame(asked, columns=["urls", "response"])
+                answer, error = None, None
+                try:
+                    answer = extractor(batch["text"].tolist(), terms)
+                except Exception as e:  # noqa: BLE001 - whatever a plugged-in extractor raises leaves its batch pending
+                    error = f"{type(e).__name__}: {e}"
+                asked.append((batch["url"].tolist(), answer, error))
+            yield pd.DataFrame(asked, columns=["urls", "response", "error"])
 
     cells = df.select(F.col(vocab.URL).alias("url"), F.col(text).alias("text"))
-    return cells.mapInPandas(run, "urls array<string>, response string")
+    return cells.mapInPandas(run, "urls array<string>, response string, error string")
 
 
-def extract_attributes(
+def attempt_extractions(
     df: DataFrame, terms: list[str], extractor: Extractor | None = None,
     text: str = vocab.DESCRIPTION, batch_size: int = 6,
 ) -> DataFrame:
-    """Rows (url, extraction). Listings without a usable text get the default and skip the extractor.
+    """Rows (url, extraction, error) of every listing with a URL, from one call of the extractor per batch.
 
-    Without an extractor, flags come from the words of the text by built-in expressions.
+    A batch that raised or answered unreadably has an error and no extractions: its listings stay pending. In a readable answer, positions
+    without a result get the default record. Listings without a usable text get the default and skip the extractor. Without an extractor,
+    flags come from the words of the text by built-in expressions.
     """
     known = df.where(F.col(vocab.URL).isNotNull())
     usable = usable_description(text)
+    none = F.lit(None).cast("string").alias("error")
     if extractor is None:
         record = F.when(usable, keyword_record(text, terms)).otherwise(default_record(terms))
-        return known.select(vocab.URL, record.alias("extraction"))
-    answers = align_batches(
-        ask_in_batches(known.where(usable), extractor, terms, text, batch_size), "urls", "response", terms
-    ).select(vocab.URL, "extraction")
-    rest = known.where(~usable).select(vocab.URL, default_record(terms).alias("extraction"))
-    return answers.unionByName(rest)
+        return known.select(vocab.URL, record.alias("extraction"), none)
+    asked = ask_in_batches(known.where(usable), extractor, terms, text, batch_size)
+    problem = F.when(~readable(F.col("response")), F.coalesce("error", F.lit("unreadable answer")))
+    told = align_batches(asked.withColumn("error", problem), "urls", "response", terms, ["error"])
+    answers = told.select(vocab.URL, F.when(F.col("error").isNull(), F.col("extraction")).alias("extraction"), "error")
+    return answers.unionByName(known.where(~usable).select(vocab.URL, default_record(terms).alias("extraction"), none))
+
+
+def extract_attributes(
+    df: DataFrame, terms: list[str], extractor: Extractor | None = None,
+    text: str = vocab.DESCRIPTION, batch_size: int = 6,
+) -> DataFrame:
+    """Rows (url, extraction) of the listings that `attempt_extractions` got an answer for."""
+    tried = attempt_extractions(df, terms, extractor, text, batch_size)
+    return tried.where(F.col("error").isNull()).select(vocab.URL, "extraction")
 
 
 def keyword_record(text: Column | str, terms: list[str]) -> Column:
