@@ -8,7 +8,7 @@ from hearthlake import vocab
 from hearthlake.catalog import duck as D
 from hearthlake.catalog.fixtures import LISTINGS_CTE, UNITS_CTE, listings, spread_table, table, units
 from hearthlake.catalog.registry import query
-from hearthlake.functions import arrays, numbers, text
+from hearthlake.functions import arrays, numbers, sql, text
 from hearthlake.operators import enrichment, filters, repair
 
 WITH_LISTINGS = D.with_ctes(LISTINGS_CTE)
@@ -387,3 +387,25 @@ def records_as_json(spark, sf_dir):
         "record": F.struct("c_name", "c_mktsegment"), "pair": F.array("c_name", "c_mktsegment"),
     })
     return arrays.flat_for_text_sinks(nested).select("c_custkey", "record", "pair")
+
+
+# --- the same for SQL users --------------------------------------------------------------------
+
+_CLIPPED = D.strip("coalesce(descricao_completa, '')")
+
+
+@query("sql_functions", f"""{WITH_LISTINGS} SELECT row_seq, {D.price('preco_venda')} AS price, {D.measure('area_util')} AS area, {D.money('preco_venda')} AS amount,
+  {D.integer('quartos')} AS bedrooms, {D.fee('condominio')} AS condo, {D.fold('endereco_completo')} AS folded, {D.slug('endereco_completo')} AS slug,
+  {D.place('endereco_completo', 'bairro')} AS place, {D.prose(D.plain('descricao_completa'), 'quartos')} AS told,
+  CASE WHEN len({_CLIPPED}) >= 10 AND {_CLIPPED} <> '{vocab.NO_DESCRIPTION}' THEN {_CLIPPED} ELSE 'sem descricao disponivel' END AS clipped
+  FROM listings WHERE {D.price('preco_venda')} > 0 OR {D.integer('quartos')} > 1""")
+def sql_functions(spark, sf_dir):
+    """Parsers and text rules called from SQL, in the select list and in the filter."""
+    called = sql.register(spark, ["parse_price", "parse_number", "money_to_int", "first_int", "parse_fee", "fold_text", "slug_text", "resolve_place",
+                                  "quartos_from_prose", "clip_text"], prefix="hl_")
+    listings(spark, sf_dir).createOrReplaceTempView("hl_listings")
+    price, number, money, integer, fee, fold, slug, place, prose, clip = called
+    return spark.sql(f"""SELECT row_seq, {price}(preco_venda) AS price, {number}(area_util) AS area, {money}(preco_venda) AS amount,
+      {integer}(quartos) AS bedrooms, {fee}(condominio) AS condo, {fold}(endereco_completo) AS folded, {slug}(endereco_completo) AS slug,
+      {place}(endereco_completo, bairro) AS place, {prose}(descricao_completa) AS told, {clip}(descricao_completa) AS clipped
+      FROM hl_listings WHERE {price}(preco_venda) > 0 OR {integer}(quartos) > 1""")
