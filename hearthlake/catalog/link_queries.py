@@ -271,6 +271,15 @@ def batch_assign(spark, sf_dir):
     return ranks.batches(orders, ["o_orderdate", "o_orderkey"], 6).drop("o_orderdate")
 
 
+@query("batch_rows", """SELECT o_orderkey, o_custkey, o_totalprice, i // 6 AS batch_no, i % 6 AS item_no
+  FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders)""")
+def batch_rows(spark, sf_dir):
+    """Whole rows in batches: their keys are sorted, the other columns join."""
+    return ranks.batches(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], 6).select(
+        "o_orderkey", "o_custkey", "o_totalprice", "batch_no", "item_no"
+    )
+
+
 @query("distinct_sorted_links", "SELECT DISTINCT url FROM (SELECT 'https://x.example/' || o_custkey AS url FROM orders)")
 def distinct_sorted_links(spark, sf_dir):
     return copies(spark, sf_dir).select(F.col("url_anuncio").alias("url")).distinct().orderBy("url")

@@ -330,15 +330,13 @@ def _attach(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
     return left.join(right.withColumnsRenamed(names), same).drop(*names.values())
 
 
-def row_numbers(df: DataFrame, order: list[str], out: str = "row_seq") -> DataFrame:
-    """Zero-based positions in the global order of `order`, which should identify a row.
+def _numbered_keys(keys: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Keys with their positions: the keys in earlier partitions of a range sort plus the place within the partition.
 
-    The rows are range-partitioned and sorted; a position is the rows in earlier partitions plus
-    the place within the partition. The sorted rows are checkpointed once so that both halves of
-    that sum, and any retry, see the same partitions. The offsets table has one row per partition.
+    The sorted keys are checkpointed, so that both halves of that sum, and any retry, see the same partitions. The offsets
+    table has one row per partition.
     """
-    marked = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
-    marked = cut_lineage(marked)
+    marked = cut_lineage(keys.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), 33)
     sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -352,6 +350,21 @@ def row_numbers(df: DataFrame, order: list[str], out: str = "row_seq") -> DataFr
     )
 
 
+def row_numbers(df: DataFrame, order: list[str], out: str = "row_seq") -> DataFrame:
+    """Zero-based positions in the global order of `order`, which should identify a row.
+
+    Only the columns of `order` are sorted and checkpointed; the other columns join by them afterwards. Where `order` does not
+    identify rows, rows of equal order are numbered in any order among themselves, and whole rows are sorted.
+    """
+    if set(df.columns) == set(order):
+        return _numbered_keys(df, order, out)
+    keys = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_copies"))
+    numbered = _numbered_keys(keys, order, out)
+    if numbered.where("_copies > 1").take(1):
+        return _numbered_keys(df, order, out)
+    return _attach(df, numbered.drop("_copies"), order).select(*df.columns, out)
+
+
 def exact_slice(df: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:
     """Every `shards`-th row of the sorted input, starting at `shard`; the shards are disjoint."""
     numbered = row_numbers(df, order)

@@ -48,6 +48,17 @@ def test_row_numbers_slices_and_batches(spark):
     assert [tuple(r) for r in got] == [(i // 6, i % 6) for i in range(101)]
 
 
+def test_row_numbers_sort_keys_only(spark):
+    rows = [(i * 7 % 50 if i else None, f"k{i % 3}", "wide" * i) for i in range(50)]
+    df = spark.createDataFrame(rows, "a int, b string, rest string").repartition(5)
+    got = {(r.a, r.b): r.row_seq for r in ranks.row_numbers(df, ["a", "b"]).collect()}
+    order = sorted(((a, b) for a, b, _ in rows), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert got == {k: i for i, k in enumerate(order)}
+    assert [f.name for f in ranks.row_numbers(df, ["a", "b"]).schema] == ["a", "b", "rest", "row_seq"]
+    twice = df.unionByName(df)
+    assert sorted(r.row_seq for r in ranks.row_numbers(twice, ["a", "b"]).collect()) == list(range(100))
+
+
 def test_first_wins_is_idempotent(spark):
     rows = [("a", 0, 1, "x"), ("a", 1, 0, "y"), (None, 0, 2, "z"), ("", 0, 3, "w"), ("b", 1, 5, "p"), ("b", 1, 4, "q")]
     df = spark.createDataFrame(rows, "url string, prio int, seq int, v string")
