@@ -254,6 +254,47 @@ def train_models(spark, sf_dir):
     return pipelines.train_models(matrix, ["baseline_mediana", "ridge", "gradient_boosting", "gradient_boosting_ajustado"])
 
 
+@query("train_baseline", f"""{WITH_UNITS}, {SIGNED_CTE}, f AS (SELECT ln(preco_venda) AS y, {HASH} < {TEST_LIMIT} AS held, {HASH} % 5 AS fold FROM signed),
+  m AS (SELECT k, quantile_cont(y, 0.5) AS m FROM f, range(5) ks(k) WHERE NOT held AND fold <> k GROUP BY k),
+  s AS (SELECT k, avg(abs(y - m)) AS e FROM f JOIN m ON fold = k WHERE NOT held GROUP BY k),
+  scored AS (SELECT y, (SELECT quantile_cont(y, 0.5) FROM f WHERE NOT held) AS p FROM f WHERE held)
+  SELECT 'baseline_mediana' AS modelo, round((SELECT avg(e) FROM s), 6) AS cv_mae_log_media, round((SELECT stddev_pop(e) FROM s), 6) AS cv_mae_log_desvio, {METRICS_SQL}
+  FROM scored""")
+def train_baseline(spark, sf_dir):
+    """The whole training report of a model that SQL can fit: folds by group, their scores, and the metrics on held-out groups."""
+    matrix = units(spark, sf_dir).select("url_anuncio", "preco_venda", *NUMERIC, *FLAGS)
+    report = pipelines.train_models(matrix, ["baseline_mediana"])
+    digits = {"cv_mae_log_media": 6, "cv_mae_log_desvio": 6, **DIGITS}
+    return report.select("modelo", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+@query("staged_boosting_facts", f"""{WITH_UNITS}, {SIGNED_CTE}, f AS (SELECT {HASH} < {TEST_LIMIT} AS held FROM signed)
+  SELECT count(*) FILTER (WHERE NOT held) AS train_rows, true AS patience_kept, true AS prefix_scores_alike, true AS beats_baseline, 32::BIGINT AS points,
+    16::BIGINT AS fits FROM f""")
+def staged_boosting_facts(spark, sf_dir):
+    """What must hold of a boosted fit with patience, and how many fits the whole grid takes per fold."""
+    frame, numeric, flags = _frame(spark, sf_dir)
+    train = frame.where(~F.col("is_test"))
+    vectors = preparation.Preparation(numeric=numeric, flags=flags).fit(train).transform(train).withColumn(
+        "stop", estimators.early_stop_rows("group_key")
+    ).select("features", "label", "stop").persist()
+    held = vectors.where("stop")
+    patience, most = 3, 12
+    model = estimators.StagedBoosting(stepSize=0.3, maxIter=most, maxDepth=3, patience=patience, step=6, stopCol="stop").fit(vectors)
+    errors = model.evaluateEachIteration(held, "squared")
+    stopped = estimators.rounds_until_patience(errors, patience, 1e-7)
+    half = estimators.first_rounds(model, 4)
+    row = half.transform(held).agg(F.avg((F.col("label") - F.col("prediction")) ** 2).alias("mse"), F.var_pop("label").alias("spread")).first()
+    points = search.grid_points(vocab.BOOSTING_GRID)
+    cores = {tuple(v for k, v in p.items() if k not in ("l2_regularization", "max_iter")) for p in points}
+    facts = (
+        train.count(), len(errors) == (stopped or most), abs(row.mse - errors[3]) <= 1e-9 * row.mse, min(errors) < row.spread, len(points), len(cores),
+    )
+    return spark.createDataFrame(
+        [facts], "train_rows bigint, patience_kept boolean, prefix_scores_alike boolean, beats_baseline boolean, points bigint, fits bigint"
+    )
+
+
 #: A small grid for the registered query; the library's own grids are vocab.RIDGE_ALPHAS and vocab.BOOSTING_GRID.
 SMALL_GRIDS = {
     "ridge": None,

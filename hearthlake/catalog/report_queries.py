@@ -112,12 +112,16 @@ def merge_parts_rows(spark, sf_dir):
     return pipelines.merge_parts(parts, ["source_file", "row_seq"])[0]
 
 
-def _num(c):
-    lo, hi = vocab.PLAUSIBLE_RANGES[c]
-    src = {
+def _parsed(c):
+    return {
         "preco_venda": D.price("preco_venda"), "condominio": D.fee("condominio"), "iptu": D.fee("iptu"),
         "garagens": f"coalesce({D.measure('garagens')}, {D.measure('vagas')})",
     }.get(c, D.measure(c))
+
+
+def _num(c):
+    lo, hi = vocab.PLAUSIBLE_RANGES[c]
+    src = _parsed(c)
     return f"CASE WHEN ({src}) BETWEEN {lo} AND {hi} THEN ({src}) END"
 
 
@@ -140,8 +144,28 @@ def feature_matrix(spark, sf_dir):
     )
 
 
-@query("feature_report")
+# Columns of the matrix beside the one-hot ones: the key, ten numbers and a flag are made from the twenty given.
+_PLACE_SHARES = f"""shares AS (SELECT 'bairro_' || {D.slug('b')} AS k, count(*) / (SELECT count(*) FROM t) AS s FROM g GROUP BY 1)"""
+_KEPT = f"s BETWEEN {vocab.MIN_FLAG_SHARE} AND {vocab.MAX_DUMMY_SHARE}"
+_REPORT_CTES = f"""{WITH_LISTINGS}, t AS (SELECT {D.plain('descricao_completa')} AS plain, {', '.join(f'{_parsed(c)} AS p_{c}, {_num(c)} AS {c}' for c in vocab.PLAUSIBLE_RANGES)},
+    {', '.join(f'{c} IS NOT NULL AND {D.measure(c)} IS NULL AS broken_{c}' for c in vocab.REPAIRABLE_COLUMNS)},
+    {D.place('endereco_completo', 'bairro')} AS place, coalesce(contains(comodidades_imovel, 'Piscina'), false) AS piscina FROM listings),
+  g AS (SELECT CASE WHEN count(*) OVER (PARTITION BY place) < {vocab.MIN_LISTINGS_PER_PLACE} THEN 'outros' ELSE place END AS b FROM t), {_PLACE_SHARES}"""
+_RARE_FLAG = f"(SELECT avg(piscina::INT) < {vocab.MIN_FLAG_SHARE} FROM t)"
+
+
+@query("feature_report", f"""{_REPORT_CTES}, rows AS (
+  SELECT 'flags' AS step, 'source' AS key, 2.0::DOUBLE AS value UNION ALL SELECT 'flags', 'canonical', 1 UNION ALL SELECT 'merged_flags', 'piscina', 2
+  UNION ALL SELECT 'flag_filter', 'generic', 0 UNION ALL SELECT 'flag_filter', 'rare', {_RARE_FLAG}::INT UNION ALL SELECT 'flag_filter', 'kept', (NOT {_RARE_FLAG})::INT
+  UNION ALL SELECT 'dummies_dropped', k, 1 FROM shares WHERE NOT ({_KEPT})
+  UNION ALL SELECT 'shape', 'input_columns', 20 UNION ALL SELECT 'shape', 'output_columns', 10 + (NOT {_RARE_FLAG})::INT + (SELECT count(*) FROM shares WHERE {_KEPT})
+  UNION ALL SELECT 'shape', 'rows', count(*) FROM t
+  {' '.join(f"UNION ALL SELECT 'repaired', '{c}', 0 * count(*) FROM t WHERE broken_{c} HAVING count(*) > 0" for c in vocab.REPAIRABLE_COLUMNS)}
+  {' '.join(f"UNION ALL SELECT 'implausible', '{c}', count(*) FROM t WHERE p_{c} IS NOT NULL AND {c} IS NULL HAVING count(*) > 0" for c in vocab.PLAUSIBLE_RANGES)}
+  {' '.join(f"UNION ALL SELECT 'filled_from_prose', '{c}', count(*) FROM t WHERE {c} IS NULL AND {D.prose('plain', c)} IS NOT NULL HAVING count(*) > 0" for c in vocab.PROSE_FIELDS)})
+  SELECT * FROM rows""")
 def feature_report(spark, sf_dir):
+    """The consolidation report with raw records to repair from: they hold the same cells, so none is repaired."""
     df = listings(spark, sf_dir)
     keep = [c for c in df.columns if c in vocab.RAW_LISTING_COLUMNS]
     scraped = F.coalesce(F.contains("comodidades_imovel", F.lit("Piscina")), F.lit(False))
@@ -149,7 +173,40 @@ def feature_report(spark, sf_dir):
     return pipelines.feature_matrix(master.drop("row_seq"), df.select(*keep, "row_seq"), ["row_seq"])[1]
 
 
-@query("boolean_columns", """SELECT 'l_is_big' AS "column" UNION ALL SELECT 'l_text_flag'""")
+_PROSE_CELLS = ", ".join(f"{D.prose('plain', c)} AS x_{c}" for c in vocab.PROSE_FIELDS)
+
+
+@query("enrichment_diagnostics_whole", f"""{WITH_LISTINGS}, t AS (SELECT row_seq, {D.plain('descricao_completa')} AS plain, {', '.join(f'{_num(c)} AS {c}' for c in vocab.PROSE_FIELDS)} FROM listings),
+  x AS (SELECT *, {_PROSE_CELLS} FROM t)
+  SELECT 'usable' AS part, 'rows' AS key, count(*) FILTER (WHERE len(plain) > 40)::DOUBLE AS value FROM t
+  {' '.join(f"UNION ALL SELECT 'compared', '{c}', count(*) FROM x WHERE {c} IS NOT NULL AND x_{c} IS NOT NULL HAVING count(*) > 0" for c in vocab.PROSE_FIELDS)}
+  {' '.join(f"UNION ALL SELECT 'exact', '{c}', round(avg(({c} = x_{c})::INT), 9) FROM x WHERE {c} IS NOT NULL AND x_{c} IS NOT NULL HAVING count(*) > 0" for c in vocab.PROSE_FIELDS)}
+  {' '.join(f"UNION ALL SELECT 'before', '{c}', count(*) FILTER (WHERE {c} IS NULL) FROM x UNION ALL SELECT 'after', '{c}', count(*) FILTER (WHERE {c} IS NULL AND x_{c} IS NULL) FROM x" for c in vocab.PROSE_FIELDS)}
+  {' '.join(f"UNION ALL SELECT 'filled', '{c}', round(sum(coalesce({c}, x_{c}) * (1 + row_seq % 7)), 3) FROM x" for c in vocab.PROSE_FIELDS)}""")
+def enrichment_diagnostics_whole(spark, sf_dir):
+    """All outputs as (part, key, value); the filled frame by a sum that weighs its rows."""
+    out = pipelines.enrichment_diagnostics(listings(spark, sf_dir))
+    shape = "part string, key string, value double"
+    parts = [
+        out["usable"].select(F.lit("usable").alias("part"), F.lit("rows").alias("key"), F.col("usable").cast("double").alias("value")),
+        out["precision"].select(F.lit("compared"), "campo", F.col("comparaveis").cast("double")),
+        out["precision"].select(F.lit("exact"), "campo", F.round("exato", 9)),
+        out["missingness"].select(F.lit("before"), "field", F.col("before").cast("double")),
+        out["missingness"].select(F.lit("after"), "field", F.col("after").cast("double")),
+    ]
+    fields = list(vocab.PROSE_FIELDS)
+    weighed = out["filled"].agg(*[F.round(F.sum(F.col(c) * (1 + F.col("row_seq") % 7)), 3).alias(c) for c in fields])
+    parts.append(weighed.unpivot([], fields, "key", "value").select(F.lit("filled"), "key", "value"))
+    whole = spark.createDataFrame([], shape)
+    for part in parts:
+        whole = whole.union(part)
+    return whole
+
+
+@query("boolean_columns", """WITH t AS (SELECT l_quantity > 10 AS big, CASE WHEN l_tax > 0.02 THEN CASE WHEN l_tax > 0.05 THEN 'True' ELSE 'false' END END AS told, l_returnflag FROM lineitem),
+  c AS (SELECT 'l_is_big' AS "column", count(big) > 0 AS ok FROM t UNION ALL SELECT 'l_text_flag', bool_and(lower(told) IN ('true', 'false')) FROM t
+    UNION ALL SELECT 'l_returnflag', bool_and(lower(l_returnflag) IN ('true', 'false')) FROM t UNION ALL SELECT 'l_empty', count(NULL::BOOLEAN) > 0 FROM t)
+  SELECT "column" FROM c WHERE ok""")
 def boolean_columns(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(
         "l_linenumber", (F.col("l_quantity") > 10).alias("l_is_big"),
