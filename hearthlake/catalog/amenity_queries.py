@@ -9,7 +9,7 @@ from hearthlake.catalog import duck as D
 from hearthlake.catalog.fixtures import LISTINGS_CTE, UNITS_CTE, listings, table, units
 from hearthlake.catalog.registry import query
 from hearthlake.functions import text
-from hearthlake.operators import amenities, encoding
+from hearthlake.operators import amenities, encoding, sparse
 from hearthlake.plans import pipelines
 
 WITH_LISTINGS = D.with_ctes(LISTINGS_CTE)
@@ -210,3 +210,32 @@ def dummy_band(spark, sf_dir):
     df = units(spark, sf_dir).select("url_anuncio", "quartos", "place", F.lit("same").alias("kind"))
     coded, names = encoding.one_hot(df, ["place", "kind"])
     return encoding.filter_dummies(coded, names)[0]
+
+
+# --- open vocabularies: orders as listings, their parts as flags -------------------------------
+
+_CELLS_CTE = """c AS (SELECT DISTINCT l_orderkey, 'part_' || l_partkey AS f FROM lineitem), words AS (SELECT f, count(*) AS n, row_number() OVER (ORDER BY f) - 1 AS i FROM c GROUP BY f)"""
+
+
+def _order_cells(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.array(F.concat(F.lit("part_"), F.col("l_partkey").cast("string"))).alias("flags"))
+    return sparse.feature_cells(items, "l_orderkey", sets=["flags"])
+
+
+@query("sparse_matrix", f"""WITH {_CELLS_CTE} SELECT l_orderkey AS key, (SELECT count(*) FROM words) AS size, count(*) AS cells,
+  string_agg(i, ',' ORDER BY i) AS indices FROM c JOIN words USING (f) GROUP BY l_orderkey""")
+def sparse_matrix(spark, sf_dir):
+    cells = _order_cells(spark, sf_dir)
+    found = sparse.sparse_vectors(cells, sparse.vocabulary(cells))
+    return found.select(
+        "key", "size", F.size("values").cast("bigint").alias("cells"), F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices")
+    )
+
+
+@query("sparse_pearson", f"""WITH {_CELLS_CTE}, n AS (SELECT count(DISTINCT l_orderkey) AS n FROM c),
+  p AS (SELECT x.f AS feature_a, y.f AS feature_b, count(*) AS together FROM c x JOIN c y ON x.l_orderkey = y.l_orderkey AND x.f < y.f GROUP BY ALL)
+  SELECT feature_a, feature_b, together, round((n.n * together - a.n * b.n) / (sqrt(n.n * a.n - a.n * a.n) * sqrt(n.n * b.n - b.n * b.n)), 9) AS r
+  FROM p JOIN words a ON a.f = feature_a JOIN words b ON b.f = feature_b, n""")
+def sparse_pearson(spark, sf_dir):
+    orders = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().count()
+    return sparse.sparse_pearson(_order_cells(spark, sf_dir), orders).withColumn("r", F.round("r", 9))
