@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from hearthlake.llm import (
     alignment, bpe, chat, divergence, language, layout, leaks, neardup, neighbours, private, quality, tokenfiles, toxicity,
 )
 from hearthlake.llm.common import checkpointed, id_hash, remove, table
+from hearthlake.session import ensure_checkpoint_dir
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -112,10 +115,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document, counted between the separators of flat files written from them."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    folder = tokenfiles.write_files(spark, tokenfiles.token_bytes(docs, ranks, public_tokenizers.PATTERN))
-    found = checkpointed(tokenfiles.counts(spark, folder).select(F.col("key").alias("doc_id"), "n_tokens"))
-    remove(spark, folder)
-    return found
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    try:
+        tokenfiles.write_files(spark, tokenfiles.token_bytes(docs, ranks, public_tokenizers.PATTERN), folder)
+        return checkpointed(tokenfiles.counts(spark, folder).select(F.col("key").alias("doc_id"), "n_tokens"))
+    finally:
+        remove(spark, folder)
 
 
 @query

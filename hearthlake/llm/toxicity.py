@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthlake.llm.common import with_python
+from hearthlake.llm.common import checkpointed, with_python
 
 #: Bounds of the fit: confirmed examples and unlabelled texts that are read on the driver.
 POSITIVES, UNLABELLED = 3_000, 12_000
@@ -95,8 +95,22 @@ def telling(p: Sparse, u: Sparse, size: int) -> np.ndarray:
     return np.flatnonzero((n_p + n_u >= MIN_TEXTS) & (np.abs(z) >= CONTRAST))
 
 
+def descend(p: Sparse, u: Sparse, names: list[str], prior: float) -> ToxicityModel:
+    """Weights of the features `names`, by whose places the rows of both samples are given."""
+    size = len(names)
+    w, b = np.zeros(size), np.log(prior / (1 - prior))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
+    for step in range(1, STEPS + 1):
+        _, d_p, d_u = nn_risk_step(p.dot(w) + b, u.dot(w) + b, prior)
+        grad = np.append(p.back(d_p, size) + u.back(d_u, size) + PENALTY * w, d_p.sum() + d_u.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return ToxicityModel(dict(zip(names, w.tolist(), strict=True)), float(b))
+
+
 def train(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityModel:
-    """Fit on texts; without confirmed examples or unlabelled texts no score is above 0.5."""
+    """Fit on texts at hand; without confirmed examples or unlabelled texts no score is above 0.5."""
     if not positive or not unlabelled:
         return ToxicityModel({}, -2.0)
     number: dict[str, int] = {}
@@ -106,20 +120,22 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> ToxicityM
 
     parts = numbered(positive), numbered(unlabelled)
     chosen = telling(Sparse(parts[0]), Sparse(parts[1]), len(number))
-    size = len(chosen)
     place = np.full(len(number) + 1, -1)
-    place[chosen] = np.arange(size)
+    place[chosen] = np.arange(len(chosen))
     p, u = (Sparse([x[x >= 0] for x in (place[r] for r in part)]) for part in parts)
-    w, b = np.zeros(size), np.log(prior / (1 - prior))
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    for step in range(1, STEPS + 1):
-        _, d_p, d_u = nn_risk_step(p.dot(w) + b, u.dot(w) + b, prior)
-        grad = np.append(p.back(d_p, size) + u.back(d_u, size) + PENALTY * w, d_p.sum() + d_u.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    names = {i: f for f, i in number.items() if place[i] >= 0}
-    return ToxicityModel({names[i]: float(c) for i, c in zip(chosen.tolist(), w, strict=True)}, float(b))
+    names = list(number)
+    return descend(p, u, [names[i] for i in chosen.tolist()], prior)
+
+
+def chosen_features(rows: DataFrame, n_p: int, n_u: int) -> DataFrame:
+    """Rows (feature) that `telling` keeps, from rows (positive, features): counts combine on the map side."""
+    counts = rows.select("positive", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")
+    )
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    error = F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u)) + 1e-12
+    z = (F.col("p") / n_p - F.col("u") / n_u) / error
+    return counts.where((F.col("p") + F.col("u") >= MIN_TEXTS) & (F.abs(z) >= CONTRAST)).select("feature")
 
 
 def fit(
@@ -128,7 +144,9 @@ def fit(
 ) -> ToxicityModel:
     """Learn from rows of `labels` whose label is 1 and from texts of `docs` without regard to labels.
 
-    Both samples are bounded by their parameters and chosen by a hash. The class prior is the share
+    Both samples are bounded by their parameters and chosen by a hash of the key; of documents with one key the least text is read. Features
+    are found, and chosen, on the executors: the driver gets the chosen ones, each in MIN_TEXTS sampled texts at least, and their
+    numbers for each text, never a text. The class prior is the share
     of ones among the labels given (0.05 where there are none), kept within 0.01 and 0.5. Rows with
     a null key, label or text teach nothing; repeated labels count once.
     """
@@ -136,12 +154,33 @@ def fit(
     if prior is None:
         rate = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
         prior = min(0.5, max(0.01, 0.05 if rate is None else rate))
-    texts = docs.select(key, text).where(F.col(text).isNotNull())
-    confirmed = sample(known.where(F.col(label) == 1).select(key), positives, key)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     # at most the documented number of ids, up to the scatter of the hash
-    toxic = [r[0] for r in texts.join(F.broadcast(confirmed), key, "left_semi").select(text).collect()]
-    free = [r[0] for r in sample(texts, unlabelled, key).select(text).collect()]
-    return train(toxic, free, prior)
+    confirmed = sample(known.where(F.col(label) == 1).select(F.col(key).alias("key")), positives, "key")
+    samples = [
+        (True, texts.join(F.broadcast(confirmed), "key", "left_semi")), (False, sample(texts, unlabelled, "key")),
+    ]
+    once = [rows.groupBy("key").agg(F.min("text").alias("text")).select(F.lit(kind).alias("positive"), "text") for kind, rows in samples]
+
+    def work(rows: list) -> dict:
+        return {"features": [sorted(features(t)) for t in rows]}
+
+    found = with_python(once[0].unionByName(once[1]), "text", "features array<string>", work, ["positive"])
+    found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
+    sizes = {r["positive"]: r["n"] for r in found.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return ToxicityModel({}, -2.0)
+    names = sorted(r[0] for r in chosen_features(found, sizes[True], sizes[False]).collect())
+    places = found.sparkSession.createDataFrame(list(enumerate(names)), "place int, feature string")
+    held = found.select("row", "positive", F.explode("features").alias("feature")).join(F.broadcast(places), "feature")
+    by_row = held.groupBy("row", "positive").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    rows = sorted((r["positive"], list(r["places"])) for r in by_row.collect())
+
+    def side(kind: bool) -> Sparse:
+        mine = [np.array(x, np.int32) for k, x in rows if k is kind]
+        return Sparse(mine + [np.zeros(0, np.int32)] * (sizes[kind] - len(mine)))  # texts without any chosen feature
+
+    return descend(side(True), side(False), names, prior)
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -561,3 +561,18 @@ def test_one_very_long_text(spark):
     assert read.loss_chars == len(text)
     markup = "<table>" + "<tr><td>cell <b>x</b></td><td>" + text[:1_000_000] + "</td></tr></table>"
     assert len(layout.render(markup).split()) == len(markup.replace("<", " <").replace(">", "> ").split()) - 10
+
+
+def test_toxicity_fit_matches_a_fit_on_texts(spark):
+    rng = random.Random(31)
+    texts = [prose(rng, "en", 30) + (" you idiot you idiot" if i % 5 == 0 else "") for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = toxicity.fit(docs.unionByName(docs.where("doc_id = 5")), labels, prior=0.2)
+    want = toxicity.train([t for i, t in enumerate(texts) if i < 300 and i % 5 == 0], texts, 0.2)
+    assert got.weights.keys() == want.weights.keys() and len(want.weights) > 3
+    assert got.weights == pytest.approx(want.weights, abs=1e-6) and got.bias == pytest.approx(want.bias, abs=1e-6)
+    assert all(got.score(t) == pytest.approx(want.score(t), abs=1e-6) for t in texts[:50])
+    assert not toxicity.fit(docs, labels.where("toxic = 0")).weights and not toxicity.fit(docs.limit(0), labels).weights
+    hot = docs.limit(1).crossJoin(spark.range(3000)).drop("id").unionByName(docs)
+    assert toxicity.fit(hot, labels, prior=0.2).weights == pytest.approx(got.weights, abs=1e-6)  # a hot key is one text
