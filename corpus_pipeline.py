@@ -71,13 +71,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written as Parquet in the shared folder and read again."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, last = table(spark, sf_dir, "documents"), ""
-    for name, stage in STAGES[:-1]:
-        folder = f"{base}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
-        if last:
-            remove(spark, last)
-        last = folder
-    out = checkpointed(STAGES[-1][1](spark, docs, sf_dir))
-    remove(spark, base)
-    return out
+    try:
+        for name, stage in STAGES[:-1]:
+            folder = f"{base}/{name}"
+            stage(spark, docs, sf_dir).write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            if last:
+                remove(spark, last)
+            last = folder
+        return checkpointed(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        remove(spark, base)
