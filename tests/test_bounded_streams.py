@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
+from hearthlake.catalog import model_queries
 from hearthlake.streaming import incremental
 
 SCHEMA = "url_anuncio string, seq bigint, at timestamp, descricao_completa string, extra map<string,string>"
@@ -59,3 +60,13 @@ def test_extraction_of_first_copies(spark, tmp_path):
     ).awaitTermination()
     rows = spark.read.parquet(target).select(vocab.URL, F.col("extraction.flags")["piscina"].alias("p")).collect()
     assert sorted(tuple(r) for r in rows) == [("a", True), ("b", True)]
+
+
+def test_a_table_streams_from_one_file_or_from_a_folder_of_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i} the and {i}" if i % 4 else "short") for i in range(40)], "doc_id bigint, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "documents.parquet", index=False)
+    for kind in ("parts", "one"):
+        got = {r.url_anuncio: r.the_and for r in model_queries.stream_extract(spark, str(tmp_path / kind)).collect()}
+        assert got == {str(i): i % 2 == 1 for i in range(20)}
