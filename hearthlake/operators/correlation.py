@@ -5,22 +5,23 @@ Results are long tables (feature_a, feature_b, n, r) whose size depends on the c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import log_price, price_per_area
-from hearthlake.operators.ranks import cumulative_counts, range_ranks
 from hearthlake.session import cut_lineage
 
 #: Variance below this share of the second moment is rounding noise of a constant.
 FLAT = 1e-12
+#: Distinct values up to which a column's table of ranks is broadcast.
+FEW_VALUES = 50_000
 PAIR_SCHEMA = "feature_a string, feature_b string, n bigint, r double"
 MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
@@ -119,104 +120,192 @@ def pearson_pairs(
     return _correlated(table.mapInPandas(moments, MOMENT_SCHEMA), pairs)
 
 
-def _pearson_of_cells(cells: DataFrame, size: int, pairs: list[tuple[int, int]], names: list[tuple[str, str]]) -> DataFrame:
-    """Pearson r of pairs of columns that are given as cells (k, row, rc), with `k` below `size`.
-
-    Cells of a row meet by one shuffle; a task lays them out as dense rows, batch by batch, and adds up their moments.
-    """
-    left, right = (np.array(x) for x in zip(*pairs, strict=True))
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Moments(size)
-        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)]
-
-        def add(k: np.ndarray, row: np.ndarray, rc: np.ndarray) -> None:
-            place = np.cumsum(np.append(0, row[1:] != row[:-1]))
-            values = np.full((place[-1] + 1, size), np.nan)
-            values[place, k] = rc
-            sums.add(values)
+def _flag_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, int, float | None]]:
+    """Pearson r of pairs of complete 0/1 flags, which is Spearman's too, from counts alone."""
+    names = sorted({c for pair in pairs for c in pair})
+    cell = {c: F.col(f"`{c}`").cast("double") for c in names}
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(cell.values())],
+        *[F.sum(cell[a] * cell[b]).alias(f"x{i}") for i, (a, b) in enumerate(pairs)],
+    ).first()
+    n, total = row["n"], {c: row[f"s{i}"] for i, c in enumerate(names)}
 
-        for batch in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            done = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0  # the last row may go on
-            if done:
-                add(*[h[:done] for h in held])
-                held = [h[done:] for h in held]
-        if len(held[1]):
-            add(*held)
-        yield pa.RecordBatch.from_pydict(sums.of(left, right))
+    def r(a: str, b: str, both: float) -> float | None:
+        spread = [total[c] - total[c] * total[c] / n for c in (a, b)]
+        return (both - total[a] * total[b] / n) / (math.sqrt(spread[0]) * math.sqrt(spread[1])) if min(spread) > 0 else None
 
-    met = cells.select("k", "row", "rc").repartition("row").sortWithinPartitions("row")
-    return _correlated(met.mapInArrow(moments, MOMENT_SCHEMA), names)
+    return [(a, b, n, r(a, b, row[f"x{i}"])) for i, (a, b) in enumerate(pairs)]
 
 
-def _rank_times_flags(df: DataFrame, numbers: list[str], flags: list[str]) -> DataFrame:
-    """Spearman of numbers against complete flags.
+class _Ranks:
+    """Ranks of columns over the rows that a partner has too, as a table of their distinct values.
 
-    A flag's ranks are a linear map of the flag, so r only needs, per number, the flag totals at
-    each distinct value. Values are aggregated before they are ranked.
+    The ranks of a column depend on the partner only through the rows that the partner lacks, so a column is
+    ranked once for all partners that lack none of its rows (`patterns[c][partner]` is 0), and once more for each that does.
     """
-    ids = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(flags)]
-    values = [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(numbers)]
-    wide = df.select(*ids, *values)
-    long = wide.unpivot(
-        [f"f{i}" for i in range(len(flags))], [f"v{i}" for i in range(len(numbers))], "_num", "_v"
-    ).where(F.col("_v").isNotNull())
-    counts = long.groupBy("_num", "_v").agg(
-        F.count(F.lit(1)).alias("cnt"), *[F.sum(f"f{i}").alias(f"s{i}") for i in range(len(flags))]
-    )
-    ranked = cumulative_counts(counts, ["_num"], "_v")
-    centred = F.col("before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0
-    sums = ranked.withColumn("_rc", centred).groupBy("_num").agg(
-        F.max("n").alias("n"),
-        F.sum(F.col("cnt") * F.col("_rc") * F.col("_rc")).alias("srr"),
-        *[F.struct(F.sum(f"s{i}").alias("s"), F.sum(F.col("_rc") * F.col(f"s{i}")).alias("rs")).alias(f"f{i}")
-          for i in range(len(flags))],
-    )
-    long_sums = sums.unpivot(["_num", "n", "srr"], [f"f{i}" for i in range(len(flags))], "_flag", "m")
-    flag_var = F.col("m.s") - F.col("m.s") * F.col("m.s") / F.col("n")
-    pick_num = F.create_map(*[F.lit(x) for i, c in enumerate(numbers) for x in (f"v{i}", c)])
-    pick_flag = F.create_map(*[F.lit(x) for i, c in enumerate(flags) for x in (f"f{i}", c)])
-    return long_sums.select(
-        F.element_at(pick_num, F.col("_num")).alias("feature_a"),
-        F.element_at(pick_flag, F.col("_flag")).alias("feature_b"),
-        "n",
-        _ratio(F.col("m.rs"), F.col("srr"), flag_var).alias("r"),
-    )
 
+    def __init__(self, base: DataFrame, columns: list[str], pairs: list[tuple[str, str]], flags: list[str]) -> None:
+        self.base, self.columns, self.flags = base, columns, flags
+        self.place = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+        self.seen = base.agg(
+            *[F.count(self.place[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+            *[F.count_if(self.place[a].isNotNull() & self.place[b].isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+        ).first()
+        self.alone = {c: self.seen[f"n{i}"] for i, c in enumerate(columns)}
+        self.both = {p: self.seen[f"p{i}"] for i, p in enumerate(pairs)}
+        self.partners: dict[str, list[str | None]] = {c: [None] for c in columns}
+        self.patterns: dict[str, dict[str, int]] = {c: {} for c in columns}
+        for (a, b), both in self.both.items():
+            for c, partner in ((a, b), (b, a)):
+                if both == self.alone[c]:
+                    self.patterns[c][partner] = 0
+                else:
+                    self.patterns[c][partner] = len(self.partners[c])
+                    self.partners[c].append(partner)
+        self.size = max((len(x) for x in self.partners.values()), default=0)
+        self.values = cut_lineage(self._ranked(self._counted()))
+        told = self.values.groupBy("k").agg(
+            F.count(F.lit(1)).alias("distinct"),
+            *[F.sum(F.col(f"w{i}") * F.col(f"r{i}") * F.col(f"r{i}")).alias(f"srr{i}") for i in range(self.size)],
+            *[F.sum(f"f{j}").alias(f"s{j}") for j in range(len(flags))],
+            *[F.sum(F.col(f"f{j}") * F.col("r0")).alias(f"rs{j}") for j in range(len(flags))],
+        ).collect()
+        self.told = {columns[r["k"]]: r for r in told}
+
+    def _counted(self) -> DataFrame:
+        """Rows (k, v, w0, w1, ..., f0, f1, ...): a column's value, its copies in each pattern, and the flags' totals there."""
+        def present(partner: str | None) -> Column:
+            return F.lit(1) if partner is None else self.place[partner].isNotNull().cast("int")
+
+        cells = F.array(*[
+            F.struct(F.lit(k).alias("k"), self.place[c].alias("v"), *[
+                (present(self.partners[c][i]) if i < len(self.partners[c]) else F.lit(0)).alias(f"w{i}") for i in range(self.size)
+            ])
+            for k, c in enumerate(self.columns)
+        ])
+        totals = [f"f{j}" for j in range(len(self.flags))]
+        long = self.base.select(*totals, F.inline(cells)).where(F.col("v").isNotNull())
+        return long.groupBy("k", "v").agg(
+            *[F.sum(f"w{i}").alias(f"w{i}") for i in range(self.size)], *[F.sum(f).alias(f) for f in totals]
+        )
 
-def _rank_times_rank(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Spearman of number pairs, ranks taken over the rows where both are present.
-
-    The ranks of a column depend on the partner only through the rows that the partner lacks, so a
-    column is ranked once for all partners that lack none, and once more for each that does. Rows are
-    numbered in a checkpoint. All rankings come out of one range sort of their cells, and the ranks of a row
-    meet again by its number: two shuffles of the cells.
+    def _ranked(self, counts: DataFrame) -> DataFrame:
+        """`counts` with r0, r1, ...: the average rank of a value in each pattern, less their mean.
+
+        A range sort deals the values out; what lies in earlier partitions is added from a table of one row per partition and column.
+        """
+        weights = [f"w{i}" for i in range(self.size)]
+        placed = cut_lineage(counts.orderBy("k", "v").withColumn("_part", F.spark_partition_id()))
+        earlier = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        smaller = Window.partitionBy("_part", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        starts = placed.groupBy("_part", "k").agg(*[F.sum(w).alias(w) for w in weights]).select(
+            "_part", "k", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_s{w}") for w in weights],
+            *[F.sum(w).over(Window.partitionBy("k")).alias(f"_n{w}") for w in weights],
+        )
+        inside = placed.withColumns({f"_b{w}": F.coalesce(F.sum(w).over(smaller), F.lit(0)) for w in weights})
+        ranks = [
+            (F.col(f"_s{w}") + F.col(f"_b{w}") + (F.col(w) + 1) / 2.0 - (F.col(f"_n{w}") + 1) / 2.0).alias(f"r{i}")
+            for i, w in enumerate(weights)
+        ]
+        return inside.join(F.broadcast(starts), ["_part", "k"]).select(*counts.columns, *ranks)
+
+    def of(self, column: str) -> DataFrame:
+        """Rows (v, r): the column's distinct values and their ranks by pattern."""
+        ranks = F.array(*[F.col(f"r{i}") for i in range(len(self.partners[column]))])
+        return self.values.where(F.col("k") == self.columns.index(column)).select("v", ranks.alias("r"))
+
+    def few(self, column: str) -> bool:
+        return column not in self.told or self.told[column]["distinct"] <= FEW_VALUES
+
+    def rank(self, column: str, partner: str) -> Column:
+        """The rank that a row with `joined` ranks has in `column` among the rows with `partner`."""
+        return F.col(f"r_{self.columns.index(column)}")[self.patterns[column][partner]]
+
+    def joined(self, rows: DataFrame, column: str) -> DataFrame:
+        """`rows` with the column's ranks, NULL where it has no value. Rows without one are dealt over all partitions."""
+        k = self.columns.index(column)
+        cell = self.place[column]
+        table = self.of(column).select(F.col("v").alias("_v"), F.col("r").alias(f"r_{k}"))
+        if self.few(column):
+            return rows.join(F.broadcast(table), cell == F.col("_v"), "left").drop("_v")
+        spread = F.when(cell.isNull(), 1 + F.pmod(F.xxhash64(*self.place.values()), F.lit(10_007))).otherwise(F.lit(0).cast("bigint"))
+        return rows.withColumn("_spread", spread).join(
+            table.withColumn("_spread0", F.lit(0).cast("bigint")), (cell == F.col("_v")) & (F.col("_spread") == F.col("_spread0")), "left"
+        ).drop("_v", "_spread", "_spread0")
+
+    def crosses(self) -> dict[tuple[str, str], float]:
+        """Sum of the products of both ranks for each pair of numbers.
+
+        Columns of few values take their ranks from a broadcast table of these values. Rows are added up by the value of a column of many, which only
+        then meets its ranks; where both have many values, the rows are joined with the ranks of one of them.
+        """
+        many = sorted((c for c in self.columns if not self.few(c)), key=lambda c: -sum(c in p for p in self.both))
+        turn = {c: i for i, c in enumerate(many)}
+
+        def last(pair: tuple[str, str]) -> str | None:
+            """The column of many values whose turn the pair is dealt with at; None if both have few."""
+            return max((c for c in pair if c in turn), key=turn.__getitem__, default=None)
+
+        def other(pair: tuple[str, str]) -> str:
+            return pair[1] if pair[0] == last(pair) else pair[0]
+
+        rows = self.base.select(*self.place.values())
+        carried = [c for c in many if any(last(p) and other(p) == c for p in self.both)]
+        for c in carried:
+            rows = self.joined(rows, c)
+        if carried:
+            rows = cut_lineage(rows)
+        found: dict[tuple[str, str], float] = {}
+        for turned in [None, *many]:
+            mine = [p for p in self.both if last(p) == turned]
+            if not mine:
+                continue
+            met = rows
+            for c in sorted({c for p in mine for c in p if c not in turn}):
+                met = self.joined(met, c)
+            if turned is None:
+                sums = met.agg(*[F.sum(self.rank(a, b) * self.rank(b, a)).alias(f"x{i}") for i, (a, b) in enumerate(mine)])
+            else:
+                by_value = met.where(self.place[turned].isNotNull()).groupBy(self.place[turned].alias("_v0")).agg(
+                    *[F.sum(self.rank(other(p), turned)).alias(f"x{i}") for i, p in enumerate(mine)]
+                )
+                table = self.of(turned)
+                sums = by_value.join(table, F.col("_v0") == F.col("v")).agg(
+                    *[F.sum(F.col(f"x{i}") * F.col("r")[self.patterns[turned][other(p)]]).alias(f"x{i}") for i, p in enumerate(mine)]
+                )
+            row = sums.first()
+            found.update({p: row[f"x{i}"] for i, p in enumerate(mine)})
+        return found
+
+
+def _rank_pairs(df: DataFrame, numbers: list[tuple[str, str]], mixed: list[tuple[str, str]]) -> list[tuple[str, str, int, float | None]]:
+    """Spearman of pairs of numbers, ranks taken over the rows where both are present, and of (number, complete flag) pairs.
+
+    Values are counted before they are ranked, so the tables of ranks are as large as the columns' distinct values. A
+    flag's ranks are a linear map of the flag, so r only needs, per number, the flag totals at each distinct value.
     """
-    columns = sorted({c for pair in pairs for c in pair})
+    columns = sorted({c for pair in numbers for c in pair} | {c for c, _ in mixed})
+    flags = sorted({f for _, f in mixed})
     number = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    held = [F.when(~F.isnan(v), v).alias(f"c{i}") for i, v in enumerate(number.values())]
-    base = cut_lineage(df.select(*held).withColumn("_row", F.monotonically_increasing_id()))
-    place = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
-    seen = base.agg(
-        *[F.count(place[c]).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.count_if(place[a].isNotNull() & place[b].isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-    ).first()
-    alone = {c: seen[f"n{i}"] for i, c in enumerate(columns)}
-    rankings: dict[tuple[str, str | None], int] = {}
-
-    def ranking(column: str, partner: str, both: int) -> int:
-        return rankings.setdefault((column, None if both == alone[column] else partner), len(rankings))
-
-    named = [(ranking(a, b, seen[f"p{i}"]), ranking(b, a, seen[f"p{i}"])) for i, (a, b) in enumerate(pairs)]
-    cells = base.select(F.col("_row").alias("row"), F.inline(F.array(*[
-        F.struct(
-            F.lit(k).alias("k"),
-            (place[c] if partner is None else F.when(place[partner].isNotNull(), place[c])).alias("v"),
-        )
-        for (c, partner), k in rankings.items()
-    ]))).where(F.col("v").isNotNull())
-    return _pearson_of_cells(range_ranks(cells), len(rankings), named, pairs)
+    base = df.select(
+        *[F.when(~F.isnan(v), v + F.lit(0.0)).alias(f"c{i}") for i, v in enumerate(number.values())],
+        *[F.col(f"`{f}`").cast("double").alias(f"f{j}") for j, f in enumerate(flags)],
+    )
+    ranks = _Ranks(base, columns, numbers, flags)
+    cross = ranks.crosses() if numbers else {}
+    out = []
+
+    def r(product: float | None, one: float, other: float) -> float | None:
+        return product / (math.sqrt(one) * math.sqrt(other)) if product is not None and one > 0 and other > 0 else None
+
+    for a, b in numbers:
+        spread = [ranks.told[x][f"srr{ranks.patterns[x][y]}"] if x in ranks.told else 0.0 for x, y in ((a, b), (b, a))]
+        out.append((a, b, ranks.both[a, b], r(cross[a, b], *spread)))
+    for a, f in mixed:
+        if a in ranks.told:  # a number without any value has no row, as before
+            row, j, n = ranks.told[a], flags.index(f), ranks.alone[a]
+            out.append((a, f, n, r(row[f"rs{j}"], row["srr0"], row[f"s{j}"] - row[f"s{j}"] * row[f"s{j}"] / n)))
+    return out
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -234,22 +323,11 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
     parts = []
     if both_flags:
-        parts.append(pearson_pairs(df, both_flags, {c: m for c, (m, _) in profile.items()}))
-    if both_numbers:
-        parts.append(_rank_times_rank(df, both_numbers))
-    if mixed:
-        oriented = [(a, b) if flag[b] else (b, a) for a, b in mixed]
-        numbers = sorted({a for a, _ in oriented})
-        flags = sorted({b for _, b in oriented})
-        wanted = df.sparkSession.createDataFrame(
-            [(*o, *p) for o, p in zip(oriented, mixed)],
-            "feature_a string, feature_b string, out_a string, out_b string",
-        )
-        found = _rank_times_flags(df, numbers, flags)
-        parts.append(
-            found.join(F.broadcast(wanted), ["feature_a", "feature_b"])
-            .select(F.col("out_a").alias("feature_a"), F.col("out_b").alias("feature_b"), "n", "r")
-        )
+        parts.append(df.sparkSession.createDataFrame(_flag_pairs(df, both_flags), PAIR_SCHEMA))
+    if both_numbers or mixed:
+        turned = {(a, b) if flag[b] else (b, a): (a, b) for a, b in mixed}
+        found = _rank_pairs(df, both_numbers, list(turned))
+        parts.append(df.sparkSession.createDataFrame([(*turned.get((a, b), (a, b)), n, r) for a, b, n, r in found], PAIR_SCHEMA))
     out = parts[0] if parts else df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -217,3 +217,25 @@ def test_exact_crawl_plan_counts_its_own_links(spark):
             links, counts = pipelines.plan_crawl(maps, seen, "xml", "city", "casa", shards=3, shard=shard, exact=exact)
             assert links.count() == counts.first().pending_here
     assert pipelines.plan_crawl(maps, seen, "xml", "city", "casa", first=5)[0].count() == 5
+
+
+def test_spearman_ranks_distinct_values_not_rows(spark, monkeypatch):
+    rows = [
+        (float(i % 7), None if i % 5 == 0 else float((i * 7919) % 101), None if i % 3 == 0 else float(i * i % 13) - 0.0, float(i % 2), float(i % 3 == 0), 4.0)
+        for i in range(400)
+    ] + [(None, float("nan"), -0.0, 1.0, 0.0, 4.0), (3.0, 5.0, 0.0, 0.0, 1.0, 4.0)]
+    names = ["a", "b", "c", "f", "g", "flat"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    pdf = pd.DataFrame(rows, columns=names)
+    pairs = correlation.all_pairs(names)
+    for few in (50_000, 20, 0):  # all tables of ranks broadcast, some, none
+        monkeypatch.setattr(correlation, "FEW_VALUES", few)
+        got = {(r.feature_a, r.feature_b): (r.n, r.r) for r in correlation.spearman_pairs(df, pairs).collect()}
+        assert set(got) == set(pairs)
+        for a, b in pairs:
+            both = pdf[[a, b]].dropna()
+            want = both[a].rank().corr(both[b].rank()) if both[a].nunique() > 1 and both[b].nunique() > 1 else None
+            assert got[a, b] == (len(both), want if want is None else pytest.approx(want, abs=1e-12))
+    base = df.select(F.col("a").alias("c0"), F.nanvl("b", F.lit(None)).alias("c1"))
+    table = correlation._Ranks(base, ["a", "b"], [("a", "b")], []).values
+    assert table.count() == pdf.a.nunique() + pdf.b.nunique()
