@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from hearthlake.operators.ranks import row_numbers
 from hearthlake.session import cut_lineage
 
-#: Pairs that a task holds before it adds them up, and then before it hands them on.
-HELD = 2_000_000
+#: Pairs that a task holds, as arrays of 32 bytes a pair, before it adds them up, and then before it hands them on.
+HELD = 500_000
 
 
 def feature_cells(df: DataFrame, key: str, numbers: list[str] | None = None, sets: list[str] | None = None) -> DataFrame:
@@ -61,38 +61,47 @@ def sparse_vectors(cells: DataFrame, words: DataFrame) -> DataFrame:
 
 def _products(vectors: DataFrame, held: int) -> DataFrame:
     """Rows (a, b, together, product) of the pairs of features that a task's vectors have in common, added up in the task."""
+    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """The pairs of a batch's vectors in parts of at most `held`: every cell with all that come after it in its vector."""
+        lists = batch.column(0)
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        at, x = lists.flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+        after = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(at)) - 1
+        upto = np.append(0, np.cumsum(after, dtype=np.int64))
+        for start in range(0, int(upto[-1]), held):
+            place = np.arange(start, min(start + held, int(upto[-1])))
+            left = np.searchsorted(upto, place, "right") - 1
+            right = left + 1 + place - upto[left]
+            yield at[left], at[right], np.ones(len(place), np.int64), x[left] * x[right]
+
+    def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        a, b, n, xy = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(a):
+            return a, b, n, xy
+        order = np.lexsort((b, a))
+        a, b, n, xy = a[order], b[order], n[order], xy[order]
+        starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[starts], b[starts], np.add.reduceat(n, starts), np.add.reduceat(xy, starts)
+
+    def told(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        whole = pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "together", "product"])
+        yield from (whole.slice(i, 1 << 16) for i in range(0, len(whole), 1 << 16))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         size = 0
-
-        def added() -> tuple[np.ndarray, ...]:
-            a, b, n, xy = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((b, a))
-            a, b, n, xy = a[order], b[order], n[order], xy[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-            starts = np.flatnonzero(new)
-            return (a[starts], b[starts], np.add.reduceat(n, starts), np.add.reduceat(xy, starts)) if len(a) else (a, b, n, xy)
-
-        def told(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "together", "product"])
-            yield from (whole.slice(i, 1 << 18) for i in range(0, len(whole), 1 << 18))
-
         for batch in batches:
-            for indices, values in zip(batch.column(0), batch.column(1), strict=True):
-                at, x = indices.values.to_numpy(), values.values.to_numpy()
-                for i in range(len(at) - 1):  # a feature with all that come after it in the vector
-                    n = len(at) - 1 - i
-                    parts.append((np.full(n, at[i]), at[i + 1 :], np.ones(n, np.int64), x[i] * x[i + 1 :]))
-                    size += n
-                    if size >= held:
-                        found = added()
-                        if len(found[0]) > held // 2:
-                            yield from told(found)
-                            parts, size = [], 0
-                        else:
-                            parts, size = [found], len(found[0])
+            for part in pairs(batch):
+                parts.append(part)
+                size += len(part[0])
+                if size >= held:
+                    found = added(parts)
+                    parts, size = [found], len(found[0])
+                    if size > held // 2:
+                        yield from told(found)
+                        parts, size = [], 0
         if parts:
-            yield from told(added())
+            yield from told(added(parts))
 
     return vectors.select("indices", "values").mapInArrow(run, "a bigint, b bigint, together bigint, product double")
 

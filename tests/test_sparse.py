@@ -1,7 +1,10 @@
 """Sparse matrices and their correlations, against dense ones."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from hearthlake.operators import sparse
@@ -50,3 +53,23 @@ def test_vectors_and_correlations_match_a_dense_matrix(spark, rows):
     few = sparse.vocabulary(cells, 20)
     assert {r.feature for r in few.collect()} == {f for f in want.columns if (want[f] > 0).sum() >= 20}
     assert sparse.sparse_pearson(cells.limit(0), 5).count() == 0
+
+
+def test_pairs_are_held_as_flat_arrays():
+    class Caught:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    n = 100_000
+    ends = pa.array(np.arange(n + 1) * 2, pa.int32())
+    batch = pa.RecordBatch.from_arrays([
+        pa.ListArray.from_arrays(ends, pa.array(np.arange(2 * n))), pa.ListArray.from_arrays(ends, pa.array(np.full(2 * n, 2.0))),
+    ], names=["indices", "values"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(sparse._products(Caught(), n)(iter([batch.slice(0, 10), batch.slice(10)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["a"].to_pylist() == list(range(0, 2 * n, 2)) and set(got["product"].to_pylist()) == {4.0} and peak < 40e6
