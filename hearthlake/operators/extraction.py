@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlake import vocab
+from hearthlake.functions.arrays import let
 from hearthlake.functions.text import plain_text, usable_description
 
 #: texts of a batch, vocabulary -> JSON text {"resultados": [...]}
@@ -222,33 +223,35 @@ def extract_attributes(
 
 
 def keyword_record(text: Column | str, terms: list[str]) -> Column:
-    """Extraction record read off the text itself: a flag is set when its words occur."""
+    """Extraction record read off the text itself: a flag is set when its words occur. The text is made plain once per row."""
     from hearthlake.functions.text import slug_name
 
-    plain = plain_text(text)
+    unique = list(dict.fromkeys(flag_key(t) for t in terms))
 
-    def first_of(name: str) -> Column:
-        allowed, default = vocab.EXTRACTION_ENUMS[name]
-        case = None
-        for value in allowed:
-            hit = plain.rlike(r"\b" + value.lower() + r"\b")
-            case = F.when(hit, value) if case is None else case.when(hit, value)
-        return case.otherwise(F.lit(default))
+    def record(plain: Column) -> Column:
+        def first_of(name: str) -> Column:
+            allowed, default = vocab.EXTRACTION_ENUMS[name]
+            case = None
+            for value in allowed:
+                hit = plain.rlike(r"\b" + value.lower() + r"\b")
+                case = F.when(hit, value) if case is None else case.when(hit, value)
+            return case.otherwise(F.lit(default))
+
+        metres = F.regexp_extract(plain, r"(\d+)\s*(?:m|metros)\s+(?:da|do|ate a)\s+(?:praia|mar)\b", 1).try_cast("bigint")
+        flags = [
+            x for t in unique
+            for x in (F.lit(t), F.contains(plain, F.lit(slug_name(t).replace("_", " "))))
+        ]
+        return F.struct(
+            first_of("posicao_solar").alias("posicao_solar"),
+            metres.alias("distancia_praia_m"),
+            first_of("status_construcao").alias("status_construcao"),
+            first_of("tipo_unidade").alias("tipo_unidade"),
+            F.array().cast("array<string>").alias("diferenciais_unicos"),
+            (F.create_map(*flags) if flags else F.create_map().cast("map<string,boolean>")).alias("flags"),
+        )
 
-    metres = F.regexp_extract(plain, r"(\d+)\s*(?:m|metros)\s+(?:da|do|ate a)\s+(?:praia|mar)\b", 1).try_cast("bigint")
-    unique = list(dict.fromkeys(flag_key(t) for t in terms))
-    flags = [
-        x for t in unique
-        for x in (F.lit(t), F.contains(plain, F.lit(slug_name(t).replace("_", " "))))
-    ]
-    return F.struct(
-        first_of("posicao_solar").alias("posicao_solar"),
-        metres.alias("distancia_praia_m"),
-        first_of("status_construcao").alias("status_construcao"),
-        first_of("tipo_unidade").alias("tipo_unidade"),
-        F.array().cast("array<string>").alias("diferenciais_unicos"),
-        (F.create_map(*flags) if flags else F.create_map().cast("map<string,boolean>")).alias("flags"),
-    )
+    return let(plain_text(text), record)
 
 
 def keyword_extractor(texts: list[str], terms: list[str]) -> str:
