@@ -239,3 +239,23 @@ def test_spearman_ranks_distinct_values_not_rows(spark, monkeypatch):
     base = df.select(F.col("a").alias("c0"), F.nanvl("b", F.lit(None)).alias("c1"))
     table = correlation._Ranks(base, ["a", "b"], [("a", "b")], []).values
     assert table.count() == pdf.a.nunique() + pdf.b.nunique()
+
+
+def test_grouped_medians_rank_few_values(spark, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(ranks, "cumulative_counts", lambda counts, *a, whole=ranks.cumulative_counts: ranked.append(counts.count()) or whole(counts, *a))
+    df = spark.range(40_000).selectExpr("id % 2 AS g", "double((id * 7919) % 40009) AS v")
+    got = {r.g: r.median for r in ranks.grouped_medians(df, ["g"], "v").collect()}
+    pdf = df.toPandas()
+    assert got == pdf.groupby("g").v.median().to_dict() and ranked[0] < 200
+
+
+def test_keyword_records_make_the_text_plain_once(spark):
+    df = spark.createDataFrame([("Aceita PET, a 200 m da praia",)], "t string")
+
+    def steps(column):
+        return df.select(column)._jdf.queryExecution().analyzed().toString().count("lower(")
+
+    assert steps(extraction.keyword_record("t", ["piscina", "aceita pet"])) == steps(extraction.plain_text("t")) > 0
+    r = df.select(extraction.keyword_record("t", ["piscina", "aceita pet"]).alias("r")).first().r
+    assert r.distancia_praia_m == 200 and r.flags == {"piscina": False, "aceita_pet": True}
