@@ -4,8 +4,13 @@ import random
 from html import escape
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from hearthlake.session import spread_small_scan
 from hearthlake.sources import elements, markup
 
 
@@ -82,3 +87,24 @@ def test_sections_of_nested_lists(spark):
     old = {r.url: r for r in markup.legacy_fields(df).collect()}
     assert old["u"].secoes == {"lazer": "xn, n, y"} and old["v"].imagem == "Imagem não encontrada"
     assert markup.listing_fields(df.limit(0)).count() == 0
+
+
+def test_a_small_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    session = spark.newSession()
+    rows = 400_000  # one row group, which splits of 64 KB cannot share
+    pq.write_table(pa.table({"x": np.random.default_rng(1).random(rows)}), tmp_path / "one.parquet", row_group_size=rows)
+    session.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    scan = session.read.parquet(str(tmp_path / "one.parquet"))
+
+    def largest(df):
+        return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+    assert scan.rdd.getNumPartitions() >= 4 and largest(scan) == rows
+    assert largest(spread_small_scan(scan)) <= rows / 3
+
+
+def test_tags_without_attributes_skip_their_states(monkeypatch):
+    read = []
+    monkeypatch.setattr(elements, "attributes", lambda source, at, whole=elements.attributes: read.append(at) or whole(source, at))
+    assert words("<p><b>one</b ><i class=x>two</i><br/></p>three") == "one two three"
+    assert len(read) == 3  # </b >, <i class=x> and <br/>
