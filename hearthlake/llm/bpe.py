@@ -9,9 +9,10 @@ from __future__ import annotations
 import codecs
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -86,6 +87,17 @@ def at_blanks(text: str, buffer: int) -> Iterator[str]:
         yield text[at:]
 
 
+class _Words(dict):
+    """Ids by word; those of a word that is not held are computed, and held if `find` says so."""
+
+    def __init__(self, find: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> list[int]:
+        return self.find(word)
+
+
 class Encoder:
     """Ids of texts under one tokenizer file."""
 
@@ -109,7 +121,7 @@ class Encoder:
         self.symbols = byte_symbols()
         self.path = path
         # plain words, and pieces spelled in byte symbols: two tables, as one may look like the other
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = _Words(self.remembered)
         self.spelled_words: dict[str, list[int]] = {}
 
     def forget(self) -> None:
@@ -205,7 +217,7 @@ class Encoder:
 
     def plain(self, text: str, out: list[int], buffer: int) -> None:
         """Append the ids of a text that is below PLAIN_BELOW, in pieces of `buffer` characters."""
-        at, words, size = 0, self.words, len(text)
+        at, known, size = 0, self.words.__getitem__, len(text)
         while at < size:
             stop = min(size, at + buffer)
             if stop == size:
@@ -226,9 +238,7 @@ class Encoder:
                     else:  # a run of letters or of other characters that goes on
                         run = _LETTERS if _LETTERS.match(text, found.start(), limit) else _OTHERS
                         pieces, after = [], self.stream(run, text, found.start(), buffer, out)
-            for w in pieces:
-                ids = words.get(w)
-                out += self.remembered(w) if ids is None else ids
+            out.extend(chain.from_iterable(map(known, pieces)))
             at = after
 
     def segment(self, text: str, out: list[int], buffer: int) -> None:
