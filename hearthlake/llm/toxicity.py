@@ -166,15 +166,18 @@ def fit(
         return {"features": [sorted(features(t)) for t in rows]}
 
     found = with_python(once[0].unionByName(once[1]), "text", "features array<string>", work, ["positive"])
-    found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
+    found = checkpointed(found)
     sizes = {r["positive"]: r["n"] for r in found.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel({}, -2.0)
     names = sorted(r[0] for r in chosen_features(found, sizes[True], sizes[False]).collect())
-    places = found.sparkSession.createDataFrame(list(enumerate(names)), "place int, feature string")
-    held = found.select("row", "positive", F.explode("features").alias("feature")).join(F.broadcast(places), "feature")
-    by_row = held.groupBy("row", "positive").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    rows = sorted((r["positive"], list(r["places"])) for r in by_row.collect())
+    place = {f: i for i, f in enumerate(names)}
+
+    def placed(rows: list) -> dict:
+        return {"places": [sorted(place[f] for f in row if f in place) for row in rows]}
+
+    held = with_python(found, "features", "places array<int>", placed, ["positive"]).where(F.size("places") > 0)
+    rows = sorted((r["positive"], list(r["places"])) for r in held.collect())
 
     def side(kind: bool) -> Sparse:
         mine = [np.array(x, np.int32) for k, x in rows if k is kind]

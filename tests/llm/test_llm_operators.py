@@ -576,3 +576,22 @@ def test_toxicity_fit_matches_a_fit_on_texts(spark):
     assert not toxicity.fit(docs, labels.where("toxic = 0")).weights and not toxicity.fit(docs.limit(0), labels).weights
     hot = docs.limit(1).crossJoin(spark.range(3000)).drop("id").unionByName(docs)
     assert toxicity.fit(hot, labels, prior=0.2).weights == pytest.approx(got.weights, abs=1e-6)  # a hot key is one text
+
+
+def test_toxicity_fits_without_a_join_by_feature(spark, monkeypatch):
+    rows = [(i, f"vile scum number {i} {'plain' if i % 2 else 'talk'}" if i % 4 == 0 else f"a calm and plain talk {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 200, 2)], "doc_id long, toxic int")
+    keys = []
+    kind = type(docs)
+    monkeypatch.setattr(kind, "join", lambda df, other, on=None, how=None, whole=kind.join: keys.append(on) or whole(df, other, on, how))
+    model = toxicity.fit(docs, labels)
+    assert "feature" not in keys
+    assert model.score("vile scum") > model.score("a calm and plain talk")
+
+
+def test_words_not_met_before_are_looked_up_by_the_table():
+    encoder = bpe.Encoder(WORD_BPE)
+    long = "ab" * 40
+    assert encoder.words["hello"] == encoder.encode("hello") and encoder.words[long] == encoder.encode(long)
+    assert set(encoder.words) == {"hello"}  # very long words are not kept
