@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthlake.session import pack_small_splits
+
 #: Rows of the text reader end here; every object does too.
 MARK = "}"
 _QUOTE, _BACKSLASH, _CLOSE = ord('"'), ord("\\"), ord("}")
@@ -25,13 +27,13 @@ _STEP[[ord("{"), ord("[")]], _STEP[[ord("}"), ord("]")]] = 1, -1
 
 
 def _cut(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (file, split, size, text) in order within a split."""
+    """Rows (file, split, size, text) in order within a split; a task takes several splits where they are small."""
     rows = spark.read.option("lineSep", MARK).text(paths)
     meta = F.col("_metadata")
-    return rows.select(
+    return pack_small_splits(rows.select(
         meta["file_path"].alias("file"), meta["file_block_start"].alias("split"), meta["file_size"].alias("size"),
         F.col("value").cast("binary").alias("text"),
-    )
+    ))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, np.ndarray]]:

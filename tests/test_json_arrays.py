@@ -57,3 +57,13 @@ def test_rows_equal_the_whole_file_reader(spark, tmp_path, small_splits):
     assert [r.record_no for r in split.collect()] == list(range(200))
     (tmp_path / "empty.json").write_text("")
     assert json_arrays.read_json_arrays(spark, str(tmp_path / "empty.json"), schema).count() == 0
+
+
+def test_small_splits_share_tasks(spark, tmp_path, small_splits):
+    items = [{"url_anuncio": f"u{i}", "titulo": '}, {"' * (i % 3)} for i in range(400)]
+    (tmp_path / "a.json").write_text(json.dumps(items))
+    cut = json_arrays._cut(spark, [str(tmp_path / "a.json")])
+    splits = cut.select("split").distinct().count()
+    assert splits > 100 and cut.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    rows = json_arrays.records(spark, str(tmp_path / "a.json")).orderBy("record").collect()
+    assert [json.loads(r.text) for r in rows] == items and [r.record for r in rows] == list(range(400))
