@@ -15,6 +15,10 @@ from hearthlake.functions.text import (
     slug_text,
     with_canonical_flag,
 )
+from hearthlake.session import cut_lineage
+
+#: Flag names that meet their rows by broadcast.
+SHARED_NAMES = 50_000
 
 
 def column_values(df: DataFrame, column: str) -> list:
@@ -136,8 +140,14 @@ def fold_flags(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fold_flags_long(flags: DataFrame, key: str, flag: str = "flag") -> DataFrame:
-    """The same OR on (key, flag) rows of set flags: distinct canonical pairs."""
-    return with_canonical_flag(flags, flag).select(key, "canonical").distinct()
+    """The same OR on (key, flag) rows of set flags: distinct canonical pairs.
+
+    A name is made canonical once, not once a row. Up to SHARED_NAMES names meet the rows by broadcast, more by a shuffle.
+    """
+    names = cut_lineage(with_canonical_flag(flags.select(F.col(flag).alias("_flag")).distinct(), "_flag"))
+    if names.count() <= SHARED_NAMES:
+        names = F.broadcast(names)
+    return flags.join(names, F.col(flag).eqNullSafe(F.col("_flag"))).select(key, "canonical").distinct()
 
 
 def folded_groups(flags: DataFrame, flag: str = "flag") -> DataFrame:

@@ -259,3 +259,13 @@ def test_keyword_records_make_the_text_plain_once(spark):
     assert steps(extraction.keyword_record("t", ["piscina", "aceita pet"])) == steps(extraction.plain_text("t")) > 0
     r = df.select(extraction.keyword_record("t", ["piscina", "aceita pet"]).alias("r")).first().r
     assert r.distancia_praia_m == 200 and r.flags == {"piscina": False, "aceita_pet": True}
+
+
+@pytest.mark.parametrize("shared", [50_000, 1])
+def test_flags_are_folded_once_a_name(spark, monkeypatch, shared):
+    monkeypatch.setattr(amenities, "SHARED_NAMES", shared)
+    rows = [(1, "comodidade_Piscina_Infantil"), (1, "piscina"), (2, "piscina"), (2, None), (2, None), (3, "Supermercados"), (None, "piscina")]
+    out = amenities.fold_flags_long(spark.createDataFrame(rows, "k int, flag string"), "k")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "contains" not in plan.lower()  # the rows only look their names up
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "piscina"), (2, "piscina"), (2, ""), (3, "supermercados"), (None, "piscina")], key=str)
