@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import is_numeric, parse_fee, parse_number, parse_price
+from hearthlake.session import cut_lineage
 
 
 def _broken(name: str) -> Column:
@@ -40,12 +41,15 @@ def repair_numerics(
     columns = _repairable(df, columns)
     if not columns:
         return df
-    full = _with_raw_cells(df, raw, columns, order)
+    return _fixed(_with_raw_cells(df, raw, columns, order), columns, df.columns)
+
+
+def _fixed(full: DataFrame, columns: list[str], kept: list[str]) -> DataFrame:
     fixed = {
         c: F.when(_broken(c), F.when(is_numeric(f"_raw_{c}"), F.col(f"_raw_{c}"))).otherwise(F.col(c))
         for c in columns
     }
-    return full.withColumns(fixed).select(*df.columns)
+    return full.withColumns(fixed).select(*kept)
 
 
 def repair_counts(
@@ -53,7 +57,10 @@ def repair_counts(
 ) -> DataFrame:
     """Rows (column, broken, repaired) for the columns with broken cells."""
     columns = _repairable(df, columns)
-    full = _with_raw_cells(df, raw, columns, order)
+    return _counted(_with_raw_cells(df, raw, columns, order), columns)
+
+
+def _counted(full: DataFrame, columns: list[str]) -> DataFrame:
     counts = full.agg(*[
         F.struct(
             F.count_if(_broken(c)).alias("broken"),
@@ -65,6 +72,15 @@ def repair_counts(
     return long.select("column", "counts.broken", "counts.repaired").where(F.col("broken") > 0)
 
 
+def repair_and_count(
+    df: DataFrame, raw: DataFrame, order: list[str], columns: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """`repair_numerics` and `repair_counts` of one join, which is cut for both."""
+    columns = _repairable(df, columns)
+    full = cut_lineage(_with_raw_cells(df, raw, columns, order))
+    return _fixed(full, columns, df.columns), _counted(full, columns)
+
+
 def _repairable(df: DataFrame, columns: list[str] | None) -> list[str]:
     wanted = columns or vocab.REPAIRABLE_COLUMNS
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
