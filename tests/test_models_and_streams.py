@@ -202,3 +202,45 @@ def test_registered_resume_covers_all_pending_rows_and_reset(spark, tmp_path):
     for name in ("resume_all_extractions", "reset_extractions"):
         rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted((r.url_anuncio, r.the_and) for r in rows) == want
+
+
+def test_fold_fits_equal_fits_on_the_rows_outside(spark):
+    from hearthlake.models import estimators, preparation, search
+    from hearthlake.operators import ranks
+
+    rng = np.random.default_rng(5)
+    rows = [
+        (float(x) if i % 5 else None, 3.0 if i % 4 else float(i), None if i % 3 else 7.0, i % 2, float(2 + 0.01 * x + (i % 4)), i % 3 if i % 11 else 1)
+        for i, x in enumerate(rng.normal(50, 20, 301))
+    ]
+    df = spark.createDataFrame(rows, "a double, b double, c double, f int, label double, fold int").persist()
+    columns = ["a", "b", "c"]
+    stage = preparation.Preparation(numeric=columns, flags=["f"])
+    told, models = ranks.fold_medians(df, columns, "fold", 3), stage.fit_folds(df, "fold", 3)
+    baselines = estimators.MedianBaseline().fit_folds(df.withColumn("label", F.col("a")).where("a > 0"), "fold", 3)
+    for k, parts in enumerate([df.where(F.col("fold") != k) for k in range(3)] + [df]):
+        assert told[k] == ranks.bracketed_medians(parts, columns)
+        assert np.allclose(models[k].getOrDefault("scales"), stage.fit(parts).getOrDefault("scales"), rtol=1e-12)
+        assert baselines[k].getOrDefault("value") == np.median([r.a for r in parts.where("a > 0").select("a").collect()])
+    assert ranks.fold_medians(df.where("a is null"), ["a"], "fold", 3) == [{"a": None}] * 4
+
+    fitted, table = search.search(df, columns, ["f"], "ridge", {"alpha": [0.1, 100.0]}, folds=3)
+    got = {r.alpha: (r.mean_test_score, r.std_test_score) for r in table.collect()}
+    for alpha in (100.0,):
+        scores = []
+        for k in range(3):
+            rest, held = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
+            prepared = stage.fit(rest)
+            model = estimators.Ridge(alpha=alpha).fit(prepared.transform(rest))
+            scores.append(model.transform(prepared.transform(held)).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0])
+        assert got[alpha] == pytest.approx((np.mean(scores), np.std(scores)), rel=1e-7)
+    assert fitted.stages[-1].numFeatures == 6
+
+
+def test_all_folds_are_prepared_in_the_passes_of_one(spark, monkeypatch):
+    from hearthlake.models import preparation
+
+    monkeypatch.setattr(preparation.Preparation, "_fit", lambda *_: pytest.fail("a fold was prepared on its own"))
+    matrix = frame(spark, 200)
+    assert pipelines.train_models(matrix, ["baseline_mediana"], folds=3).count() == 1
+    assert pipelines.tune_models(matrix, {"ridge": {"alpha": [1.0]}}, folds=2)[1].count() == 1
