@@ -269,3 +269,13 @@ def test_flags_are_folded_once_a_name(spark, monkeypatch, shared):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "contains" not in plan.lower()  # the rows only look their names up
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "piscina"), (2, "piscina"), (2, ""), (3, "supermercados"), (None, "piscina")], key=str)
+
+
+def test_one_join_repairs_and_counts(spark):
+    rows = [("u", "x", 1), ("v", "3", 2), ("w", "y", 3), (None, "z", 4)]
+    df = spark.createDataFrame(rows, "url_anuncio string, quartos string, row_seq int")
+    raw = spark.createDataFrame([("u", "2", 1), ("u", "4", 2), ("w", "n", 1)], "url_anuncio string, quartos string, row_seq int")
+    fixed, counts = repair.repair_and_count(df, raw, ["row_seq"])
+    assert sorted(map(tuple, fixed.collect()), key=str) == sorted(map(tuple, repair.repair_numerics(df, raw, ["row_seq"]).collect()), key=str)
+    assert [tuple(r) for r in counts.collect()] == [tuple(r) for r in repair.repair_counts(df, raw, ["row_seq"]).collect()] == [("quartos", 3, 1)]
+    assert "Join" not in fixed._jdf.queryExecution().optimizedPlan().toString()
