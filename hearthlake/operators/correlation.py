@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hearthlake import vocab
 from hearthlake.functions.numbers import log_price, price_per_area
-from hearthlake.session import cut_lineage
+from hearthlake.session import cut_lineage, drop_unreachable
 
 #: Variance below this share of the second moment is rounding noise of a constant.
 FLAT = 1e-12
@@ -141,7 +142,8 @@ class _Ranks:
     """Ranks of columns over the rows that a partner has too, as a table of their distinct values.
 
     The ranks of a column depend on the partner only through the rows that the partner lacks, so a column is
-    ranked once for all partners that lack none of its rows (`patterns[c][partner]` is 0), and once more for each that does.
+    ranked once for all partners that lack none of its rows (`patterns[c][partner]` is 0), and once more for each that does. Columns of many
+    values are counted and ranked one after another, so that one's shuffle is gone before the next one's begins.
     """
 
     def __init__(self, base: DataFrame, columns: list[str], pairs: list[tuple[str, str]], flags: list[str]) -> None:
@@ -149,6 +151,7 @@ class _Ranks:
         self.place = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
         self.seen = base.agg(
             *[F.count(self.place[c]).alias(f"n{i}") for i, c in enumerate(columns)],
+            *[F.approx_count_distinct(self.place[c]).alias(f"d{i}") for i, c in enumerate(columns)],
             *[F.count_if(self.place[a].isNotNull() & self.place[b].isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
         ).first()
         self.alone = {c: self.seen[f"n{i}"] for i, c in enumerate(columns)}
@@ -163,7 +166,9 @@ class _Ranks:
                     self.patterns[c][partner] = len(self.partners[c])
                     self.partners[c].append(partner)
         self.size = max((len(x) for x in self.partners.values()), default=0)
-        self.values = cut_lineage(self._ranked(self._counted()))
+        many = [k for k in range(len(columns)) if self.seen[f"d{k}"] > FEW_VALUES]
+        groups = [[k for k in range(len(columns)) if k not in many], *([k] for k in many)]
+        self.values = reduce(DataFrame.unionByName, [self._kept(group) for group in groups if group])
         told = self.values.groupBy("k").agg(
             F.count(F.lit(1)).alias("distinct"),
             *[F.sum(F.col(f"w{i}") * F.col(f"r{i}") * F.col(f"r{i}")).alias(f"srr{i}") for i in range(self.size)],
@@ -172,29 +177,40 @@ class _Ranks:
         ).collect()
         self.told = {columns[r["k"]]: r for r in told}
 
-    def _counted(self) -> DataFrame:
+    def _kept(self, group: list[int]) -> DataFrame:
+        """Counts and ranks of the columns with these places: as many as their patterns, and none in the others."""
+        size = max(len(self.partners[self.columns[k]]) for k in group)
+        ranked = cut_lineage(self._ranked(self._counted(group, size), size))
+        drop_unreachable(ranked.sparkSession)
+        others = range(size, self.size)
+        return ranked.select(
+            "k", "v", *[f"w{i}" for i in range(size)], *[F.lit(0).cast("bigint").alias(f"w{i}") for i in others],
+            *[f"f{j}" for j in range(len(self.flags))], *[f"r{i}" for i in range(size)], *[F.lit(0.0).alias(f"r{i}") for i in others],
+        )
+
+    def _counted(self, group: list[int], size: int) -> DataFrame:
         """Rows (k, v, w0, w1, ..., f0, f1, ...): a column's value, its copies in each pattern, and the flags' totals there."""
         def present(partner: str | None) -> Column:
             return F.lit(1) if partner is None else self.place[partner].isNotNull().cast("int")
 
         cells = F.array(*[
             F.struct(F.lit(k).alias("k"), self.place[c].alias("v"), *[
-                (present(self.partners[c][i]) if i < len(self.partners[c]) else F.lit(0)).alias(f"w{i}") for i in range(self.size)
+                (present(self.partners[c][i]) if i < len(self.partners[c]) else F.lit(0)).alias(f"w{i}") for i in range(size)
             ])
-            for k, c in enumerate(self.columns)
+            for k, c in ((k, self.columns[k]) for k in group)
         ])
         totals = [f"f{j}" for j in range(len(self.flags))]
         long = self.base.select(*totals, F.inline(cells)).where(F.col("v").isNotNull())
         return long.groupBy("k", "v").agg(
-            *[F.sum(f"w{i}").alias(f"w{i}") for i in range(self.size)], *[F.sum(f).alias(f) for f in totals]
+            *[F.sum(f"w{i}").alias(f"w{i}") for i in range(size)], *[F.sum(f).alias(f) for f in totals]
         )
 
-    def _ranked(self, counts: DataFrame) -> DataFrame:
+    def _ranked(self, counts: DataFrame, size: int) -> DataFrame:
         """`counts` with r0, r1, ...: the average rank of a value in each pattern, less their mean.
 
         A range sort deals the values out; what lies in earlier partitions is added from a table of one row per partition and column.
         """
-        weights = [f"w{i}" for i in range(self.size)]
+        weights = [f"w{i}" for i in range(size)]
         placed = cut_lineage(counts.orderBy("k", "v").withColumn("_part", F.spark_partition_id()))
         earlier = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         smaller = Window.partitionBy("_part", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
@@ -222,59 +238,53 @@ class _Ranks:
         return F.col(f"r_{self.columns.index(column)}")[self.patterns[column][partner]]
 
     def joined(self, rows: DataFrame, column: str) -> DataFrame:
-        """`rows` with the column's ranks, NULL where it has no value. Rows without one are dealt over all partitions."""
+        """`rows` with the ranks of a column of few values, NULL where it has no value."""
         k = self.columns.index(column)
-        cell = self.place[column]
         table = self.of(column).select(F.col("v").alias("_v"), F.col("r").alias(f"r_{k}"))
-        if self.few(column):
-            return rows.join(F.broadcast(table), cell == F.col("_v"), "left").drop("_v")
-        spread = F.when(cell.isNull(), 1 + F.pmod(F.xxhash64(*self.place.values()), F.lit(10_007))).otherwise(F.lit(0).cast("bigint"))
-        return rows.withColumn("_spread", spread).join(
-            table.withColumn("_spread0", F.lit(0).cast("bigint")), (cell == F.col("_v")) & (F.col("_spread") == F.col("_spread0")), "left"
-        ).drop("_v", "_spread", "_spread0")
+        return rows.join(F.broadcast(table), self.place[column] == F.col("_v"), "left").drop("_v")
+
+    def cross_of_many(self, a: str, b: str) -> float | None:
+        """Sum of the products of both ranks for two columns of many values: only the two cells of a row are shuffled."""
+        rows = self.base.select(self.place[a].alias("_a"), self.place[b].alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+        first, second = (self.of(c).select(F.col("v").alias(n), F.col("r")[self.patterns[c][d]].alias(f"{n}r")) for c, d, n in ((a, b, "_a"), (b, a, "_b")))
+        by_value = rows.join(first, "_a").groupBy("_b").agg(F.sum("_ar").alias("_x"))
+        found = by_value.join(second, "_b").agg(F.sum(F.col("_x") * F.col("_br"))).first()[0]
+        del by_value
+        drop_unreachable(self.base.sparkSession)
+        return found
 
     def crosses(self) -> dict[tuple[str, str], float]:
         """Sum of the products of both ranks for each pair of numbers.
 
         Columns of few values take their ranks from a broadcast table of these values. Rows are added up by the value of a column of many, which only
-        then meets its ranks; where both have many values, the rows are joined with the ranks of one of them.
+        then meets its ranks; where both have many values, the rows' two cells are joined with the ranks of one of them first.
         """
-        many = sorted((c for c in self.columns if not self.few(c)), key=lambda c: -sum(c in p for p in self.both))
-        turn = {c: i for i, c in enumerate(many)}
-
-        def last(pair: tuple[str, str]) -> str | None:
-            """The column of many values whose turn the pair is dealt with at; None if both have few."""
-            return max((c for c in pair if c in turn), key=turn.__getitem__, default=None)
-
-        def other(pair: tuple[str, str]) -> str:
-            return pair[1] if pair[0] == last(pair) else pair[0]
-
+        many = [c for c in self.columns if not self.few(c)]
+        found: dict[tuple[str, str], float] = {p: self.cross_of_many(*p) for p in self.both if not (self.few(p[0]) or self.few(p[1]))}
         rows = self.base.select(*self.place.values())
-        carried = [c for c in many if any(last(p) and other(p) == c for p in self.both)]
-        for c in carried:
-            rows = self.joined(rows, c)
-        if carried:
-            rows = cut_lineage(rows)
-        found: dict[tuple[str, str], float] = {}
         for turned in [None, *many]:
-            mine = [p for p in self.both if last(p) == turned]
+            mine = [p for p in self.both if p not in found and (turned in p if turned else self.few(p[0]) and self.few(p[1]))]
             if not mine:
                 continue
             met = rows
-            for c in sorted({c for p in mine for c in p if c not in turn}):
+            for c in sorted({c for p in mine for c in p if c != turned}):
                 met = self.joined(met, c)
             if turned is None:
                 sums = met.agg(*[F.sum(self.rank(a, b) * self.rank(b, a)).alias(f"x{i}") for i, (a, b) in enumerate(mine)])
             else:
+                others = [a if b == turned else b for a, b in mine]
                 by_value = met.where(self.place[turned].isNotNull()).groupBy(self.place[turned].alias("_v0")).agg(
-                    *[F.sum(self.rank(other(p), turned)).alias(f"x{i}") for i, p in enumerate(mine)]
+                    *[F.sum(self.rank(c, turned)).alias(f"x{i}") for i, c in enumerate(others)]
                 )
-                table = self.of(turned)
-                sums = by_value.join(table, F.col("_v0") == F.col("v")).agg(
-                    *[F.sum(F.col(f"x{i}") * F.col("r")[self.patterns[turned][other(p)]]).alias(f"x{i}") for i, p in enumerate(mine)]
+                sums = by_value.join(self.of(turned), F.col("_v0") == F.col("v")).agg(
+                    *[F.sum(F.col(f"x{i}") * F.col("r")[self.patterns[turned][c]]).alias(f"x{i}") for i, c in enumerate(others)]
                 )
             row = sums.first()
             found.update({p: row[f"x{i}"] for i, p in enumerate(mine)})
+            del met, sums
+            if turned:
+                by_value = None
+                drop_unreachable(rows.sparkSession)
         return found
 
 
